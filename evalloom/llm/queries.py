@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm.capping import cap_per_contributor
-from evalloom.llm.common import blank_to_null, current_delivery, label_keys, scene_key, setting, squash, table
+from evalloom.llm.common import blank_to_null, current_delivery, label_keys, nearest_category, scene_key, setting, squash, table
+from evalloom.llm.linked_splits import assign_splits, hub_table, linked_blocks, reissue_base, shared_object_tags
 from evalloom.llm.overlap import overlap_pairs, parse_metres
+from evalloom.llm.quota_sample import quota_sample
 from evalloom.llm.stable import raise_thresholds, stable_sample
+from evalloom.session import cut_lineage
 from evalloom.llm.variety import density_weighted, varied_subset
 
 PAIR_WITHIN = 0.15
@@ -108,6 +111,102 @@ def p2_densities(spark: SparkSession, folder: str) -> DataFrame:
     return density_weighted(motion_settings(spark, folder), **_variety())
 
 
+# ---- 3: splits that keep related groups together ----
+
+
+def group_links(groups: DataFrame) -> DataFrame:
+    """(record, hub) of consistency groups: the scene, every tagged object, and the group that a re-issued one was made from."""
+    hubs = F.array_append(
+        F.array_prepend(F.transform(shared_object_tags(F.coalesce("anchor_ids", F.array().cast("array<string>"))), lambda x: F.concat(F.lit("2 object "), x)), F.concat(F.lit("1 scene "), scene_key(F.col("scene_id")))),
+        F.concat(F.lit("3 issue "), reissue_base(F.col("group_id"))),
+    )
+    return groups.select(F.col("group_id").alias("record"), F.explode(hubs).alias("hub")).where(F.col("hub").isNotNull())
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every group of a block that holds two or more scenes."""
+    groups = table(spark, folder, "consistency_groups").select("group_id", "scene_id", "anchor_ids")
+    blocks = linked_blocks(group_links(groups))
+    scenes = groups.select(F.col("group_id").alias("record"), scene_key(F.col("scene_id")).alias("scene")).groupBy("record").agg(F.min("scene").alias("lo"), F.max("scene").alias("hi"))
+    blocks = cut_lineage(blocks.join(scenes, "record"))
+    mixed = blocks.groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") != F.col("hi")).select("block")
+    return blocks.join(mixed, "block").select(F.col("block").alias("block_first"), F.col("record").alias("group_id"))
+
+
+def _split_targets(spark: SparkSession, folder: str) -> dict[str, float]:
+    return {r["split"]: r["target_share"] for r in table(spark, folder, "split_targets").collect()}
+
+
+def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """Every group with its block and split."""
+    blocks = linked_blocks(group_links(table(spark, folder, "consistency_groups")))
+    out = assign_splits(blocks, _split_targets(spark, folder))
+    return out.select(F.col("record").alias("group_id"), F.col("block").alias("block_first"), "split", "status")
+
+
+def p3_incremental_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """The same in two runs: groups delivered up to the middle of the time covered, then the rest against the tables the first run left."""
+    groups = table(spark, folder, "consistency_groups").select("group_id", "scene_id", "anchor_ids", "ingested_at")
+    seconds = F.col("ingested_at").cast("timestamp").cast("double")
+    middle = groups.agg(((F.min(seconds) + F.max(seconds)) / 2).alias("m")).head()[0] or 0.0
+    targets = _split_targets(spark, folder)
+    early, late = groups.where(seconds <= middle), groups.where(~F.coalesce(seconds <= middle, F.lit(False)))
+    blocks = cut_lineage(linked_blocks(group_links(early)))
+    hubs = cut_lineage(hub_table(group_links(early), blocks))
+    first = cut_lineage(assign_splits(blocks, targets).select("record", "split"))
+    out = assign_splits(linked_blocks(group_links(late), (blocks, hubs)), targets, first)
+    return out.select(F.col("record").alias("group_id"), F.col("block").alias("block_first"), "split", "status")
+
+
+# ---- 4: sample that meets target proportions ----
+
+AXES = ["question_family", "room_bucket", "motion_family"]
+FAMILY_OF_TYPE = {"object_dimensions": "size", "object_distance_to_camera": "camera_distance", "object_pair_distance_center": "pair_distance"}
+
+
+def categorised_groups(spark: SparkSession, folder: str, categories: dict[str, list[str]]) -> DataFrame:
+    """(group_id, question_family, room_bucket, motion_family) of the distinct groups in candidate_groups; null where a category is unknown."""
+    groups = table(spark, folder, "consistency_groups")
+    by_type = F.lit(None).cast("string")
+    for kind, family in FAMILY_OF_TYPE.items():
+        by_type = F.when(F.trim("question_type") == kind, family).otherwise(by_type)
+    known = groups.select(
+        "group_id", by_type.alias("typed"), nearest_category(F.col("room_bucket"), categories["room_bucket"]).alias("room"), nearest_category(F.col("motion_family"), categories["motion_family"]).alias("motion")
+    )
+    known = known.groupBy("group_id").agg(F.min("typed").alias("typed"), F.min("room").alias("room_bucket"), F.min("motion").alias("motion_family"))
+    wanted = table(spark, folder, "candidate_groups").where(F.col("group_id").isNotNull())
+    wanted = wanted.select("group_id", nearest_category(F.col("question_family"), categories["question_family"]).alias("family")).groupBy("group_id").agg(F.min("family").alias("family"))
+    return wanted.join(known, "group_id", "left").select("group_id", F.coalesce("family", "typed").alias("question_family"), "room_bucket", "motion_family")
+
+
+def _quota(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple]]:
+    rows = table(spark, folder, "sample_targets").collect()
+    categories = {a: [r["category"] for r in rows if r["axis"] == a] for a in AXES}
+    groups = cut_lineage(categorised_groups(spark, folder, categories))
+    targets = {(r["axis"], r["category"]): (r["target_share"], r["min_count"]) for r in rows}
+    share = setting(spark, folder, "sample_share")
+    size = groups.count() * share
+    sample, report = quota_sample(groups, "group_id", AXES, targets, round(size))
+    # What is needed refers to the exact share of the groups, not to the rounded size of the sample.
+    report = [(a, c, s, m, there, max(float(m), s * size), got, there < max(float(m), s * size)) for a, c, s, m, there, _, got, _ in report]
+    return sample, report
+
+
+def p4_target_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The sampled groups with their categories."""
+    return _quota(spark, folder)[0]
+
+
+def p4_target_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Every target with what is available, needed and sampled."""
+    schema = "axis string, category string, target_share double, min_count bigint, available bigint, needed double, sampled bigint, short boolean"
+    return spark.createDataFrame(_quota(spark, folder)[1], schema)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_target_report(spark, folder).where("short").select("axis", "category")
+
+
 # ---- 5: overlaps across splits ----
 
 
@@ -152,5 +251,5 @@ def p6_stable_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    names = [p1_found, p1_capped_clips, p1_reservoir_clips, p1_scene_counts, p2_varied_subset, p2_densities, p5_found, p5_overlap_counts, p6_stable_sample]
+    names = [p3_found, p3_splits, p3_incremental_splits, p4_found, p4_target_sample, p4_target_report, p1_found, p1_capped_clips, p1_reservoir_clips, p1_scene_counts, p2_varied_subset, p2_densities, p5_found, p5_overlap_counts, p6_stable_sample]
     return {f.__name__: f for f in names}
