@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,10 @@ SWITCH = 3.0  # log-odds that a change of language must bring
 FLOOR = -7.0
 HAN_WORD = 0.6  # words that a Han character counts for
 
-SENTENCE = re.compile(r"(?:[.!?…]+[\"'»”’)\]]*(?=\s)|[。！？]+[”’」』）]*|ã€‚|ï¼Ÿ|\n+)\s*")
+SENTENCE = re.compile(r"(?:[.!?…]+[\"'»”’)\]]*(?=\s)|[。！？]+[”’」』）]*|\n+)\s*")
 BRACKETS = re.compile(r"\([^()\n]*\)|\[[^\[\]\n]*\]|\{[^{}\n]*\}|（[^（）\n]*）|«[^«»\n]*»|„[^„“”\n]*[“”]|“[^“”\n]*”|「[^「」\n]*」|\"[^\"\n]*\"|(?<!\w)'[^'\n]*'(?!\w)|(?<!\w)‘[^‘’\n]*’(?!\w)")
-CODE = re.compile(r"\S*(?:[0-9_=|<>{}\\/@#$^~]|[a-zà-ÿ][A-Z]|->)\S*")
+_INK = r"[^\s一-鿿，。、：；？！（）]"
+CODE = re.compile(_INK + r"*(?:[0-9_=|<>{}\\/@#$^~]|[a-zà-ÿ][A-Z]|->)" + _INK + "*")
 HAN = re.compile(r"[㐀-鿿]")
 WORD = re.compile(r"[^\W\d_]+")
 MOJIBAKE = re.compile("[\x80-\xffŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]{2,}")
@@ -48,6 +50,21 @@ def _redecode(match: re.Match) -> str:
         return run
 
 
+def repaired(text: str) -> tuple[str, list[tuple[int, int]]]:
+    """The text with wrongly decoded runs decoded again, and pairs (place in it, place in ``text``) from which places run in step."""
+    if text.isascii():
+        return text, [(0, 0)]
+    out, steps, last, size = [], [(0, 0)], 0, 0
+    for m in MOJIBAKE.finditer(text):
+        new = _redecode(m)
+        if new != m.group():
+            out += [text[last : m.start()], new]
+            size += m.start() - last + len(new)
+            last = m.end()
+            steps.append((size, last))
+    return "".join([*out, text[last:]]), steps
+
+
 def word_count(text: str) -> float:
     han = len(HAN.findall(text))
     return han * HAN_WORD + len(WORD.findall(HAN.sub(" ", text) if han else text))
@@ -56,44 +73,32 @@ def word_count(text: str) -> float:
 def units(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, cleaned text, words): sentences and long quotations in reading order, without names, numbers, code and short quotations.
 
-    Text that was decoded wrongly is decoded again first for the classifier; the places refer to the text as it is.
+    Text that was decoded wrongly is decoded again first; the places refer to the text as it is stored.
     """
-    cuts = [0]
-    for m in SENTENCE.finditer(text):
-        cuts.append(m.end())
-    cuts.append(len(text))
-    out = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if a == b:
-            continue
-        raw, plain, last = text[a:b], [], 0
-        for m in BRACKETS.finditer(raw):
-            plain.append((a + last, a + m.start(), raw[last : m.start()]))
-            if word_count(m.group()) >= LEAST_WORDS:
-                plain.append((a + m.start(), a + m.end(), m.group()))
-            last = m.end()
-            plain.append(None)
-        plain.append((a + last, b, raw[last:]))
-        run: list = []
-        for piece in [*plain, "end"]:
-            # Pieces on both sides of a short quotation are one unit; a long quotation is a unit of its own.
-            if piece is None:
-                continue
-            if piece == "end" or (piece[2][:1] in "([{（«„“「\"'‘" and word_count(piece[2]) >= LEAST_WORDS and piece[2][:1]):
-                if run:
-                    out.append((run[0][0], run[-1][1], " ".join(x[2] for x in run)))
-                run = []
-                if piece != "end":
-                    out.append(piece)
-            elif piece[2]:
-                run.append(piece)
+    text, steps = repaired(text)
+    masked, cuts = text, {0, len(text)}
+    for m in BRACKETS.finditer(text):
+        if word_count(m.group()) < LEAST_WORDS:
+            masked = masked[: m.start()] + " " * (m.end() - m.start()) + masked[m.end() :]
+        else:
+            cuts |= {m.start(), m.end()}
+    cuts.update(m.end() for m in SENTENCE.finditer(masked))
+    at = sorted(cuts)
+    out = [(a, b, masked[a:b]) for a, b in zip(at, at[1:], strict=False)]
     cleaned = []
     for a, b, s in out:
-        s = MOJIBAKE.sub(_redecode, s) if not s.isascii() else s
         s = " ".join(w for w in CODE.sub(" ", s).split() if WORD.search(w)).lower()
         n = word_count(s)
         if n >= 1:
             cleaned.append((a, b, s, n))
+    if len(steps) > 1:
+        news = [x[0] for x in steps]
+
+        def stored(p: int) -> int:
+            new, old = steps[bisect_right(news, p) - 1]
+            return old + p - new
+
+        cleaned = [(stored(a), stored(b), s, n) for a, b, s, n in cleaned]
     return cleaned
 
 
@@ -170,12 +175,33 @@ def fit_on_samples(samples: DataFrame, text: str, lang: str, most: int = 20_000,
     rows = samples.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang).orderBy(F.xxhash64(text, lang)).limit(most).collect()
     if not rows:
         raise ValueError("no labelled text to learn from")
-    key = (seed, hash(tuple((r[0], r[1]) for r in rows)))
+    return _fit([(r[0], r[1]) for r in rows], seed)
+
+
+def _fit(rows: list[tuple[str, str]], seed: int, steps: int = 900) -> ByteCNN:
+    key = (seed, steps, hash(tuple(rows)))
     if key not in _fitted:
-        _fitted[key] = ByteCNN(sorted({r[1] for r in rows}), seed).fit([r[0] for r in rows], [r[1] for r in rows], seed=seed)
+        _fitted[key] = ByteCNN(sorted({r[1] for r in rows}), seed).fit([r[0] for r in rows], [r[1] for r in rows], steps=steps, seed=seed)
     return _fitted[key]
 
 
+def fit_on_documents(samples: list[tuple[str, str]], docs: DataFrame, ident: str, text: str, label: Column, most: int = 3000, characters: int = 4000, seed: int = 0) -> ByteCNN:
+    """A network fitted on clean samples and then again on them together with labelled documents.
+
+    Of the documents with a label that names a language, the ``most`` of the smallest hashes of their id are read, up to ``characters`` of
+    each (bounds of the training set only; everything is classified whole). The first network judges them, and those in which it finds
+    one stretch only, of the language of the label, give their sentences to the second fit. So wrong labels do not teach.
+    """
+    first = _fit(samples, seed)
+    rows = docs.where(F.col(text).isNotNull() & label.isNotNull()).select(F.substring(text, 1, characters).alias("t"), label.alias("l"), F.xxhash64(F.col(ident)).alias("h"))
+    rows = rows.orderBy("h", "t").limit(most).collect()
+    more = []
+    for r, found in zip(rows, classify([r["t"] for r in rows], first), strict=True):
+        if len(found) == 1 and first.labels[found[0][2]] == r["l"]:
+            more += [(u[2], r["l"]) for u in units(r["t"]) if u[3] >= LEAST_WORDS / 2]
+    return _fit(samples + sorted(set(more)), seed, 1500) if more else first
+
+
 def label_language(label: Column) -> Column:
     """The two-letter code that a label names, in any way of writing it; null where it is blank or names none of the languages.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.capping import cap_per_contributor
 from evalloom.llm.common import blank_to_null, current_delivery, label_keys, nearest_category, scene_key, setting, squash, table
+from evalloom.llm.language import fit_on_documents, label_language, language_stretches
 from evalloom.llm.linked_splits import assign_splits, hub_table, linked_blocks, reissue_base, shared_object_tags
 from evalloom.llm.overlap import overlap_pairs, parse_metres
 from evalloom.llm.quota_sample import quota_sample
@@ -107,7 +108,7 @@ def p2_varied_subset(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_densities(spark: SparkSession, folder: str) -> DataFrame:
-    """Every clip with the density of its setting and its draw key, for any subset size."""
+    """Every clip with the density of its setting and its draw key: the clips of the smallest keys are the subset, for any size."""
     return density_weighted(motion_settings(spark, folder), **_variety())
 
 
@@ -250,6 +251,41 @@ def p6_stable_sample(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+# ---- 9: languages of documents ----
+
+
+def document_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, label, stretches): label is the code that the lang column names, null if it names none."""
+    docs = table(spark, folder, "documents").select("doc_id", label_language(F.col("lang")).alias("label"), F.trim("lang").alias("lang"), "text")
+    samples = [(r["sample_text"], r["lang"]) for r in table(spark, folder, "lang_samples").orderBy("sample_id").limit(20_000).collect()]
+    model = fit_on_documents(samples, docs, "doc_id", "text", F.col("label"))
+    return language_stretches(docs, "doc_id", "text", model, ["label"])
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The stretches of every document whose label is missing or wrong or that holds several languages."""
+    found = document_languages(spark, folder)
+    wrong = F.col("label").isNull() | (F.col("label") != F.col("stretches")[0]["lang"])
+    wanted = found.where((F.size("stretches") > 1) | ((F.size("stretches") == 1) & wrong))
+    return wanted.select("doc_id", F.posexplode("stretches").alias("pos", "s")).select("doc_id", (F.col("pos") + 1).cast("bigint").alias("seg_no"), F.col("s.lang").alias("lang"))
+
+
+def p9_document_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the language of most of its words, the share of it and its confidence; null for wordless texts."""
+    found = document_languages(spark, folder)
+    total = F.aggregate("stretches", F.lit(0.0), lambda a, s: a + s["words"])
+    most = F.array_max(F.transform(F.array_distinct(F.transform("stretches", lambda s: s["lang"])), lambda x: F.struct(F.aggregate(F.filter("stretches", lambda s: s["lang"] == x), F.lit(0.0), lambda a, s: a + s["words"]).alias("words"), x.alias("lang"))))
+    mean = F.aggregate(F.filter("stretches", lambda s: s["lang"] == F.col("top.lang")), F.lit(0.0), lambda a, s: a + s["words"] * s["confidence"]) / F.col("top.words")
+    out = found.withColumn("top", most)
+    return out.select("doc_id", F.col("label").alias("given_lang"), F.col("top.lang").alias("lang"), (F.col("top.words") / total).alias("share"), mean.alias("confidence"), F.size("stretches").alias("stretches"))
+
+
+def p9_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch of every document with its place, language and confidence."""
+    found = document_languages(spark, folder).select("doc_id", F.posexplode("stretches").alias("pos", "s"))
+    return found.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("seg_no"), F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), F.col("s.lang").alias("lang"), F.col("s.confidence").alias("confidence"))
+
+
 def llm_queries() -> dict:
-    names = [p3_found, p3_splits, p3_incremental_splits, p4_found, p4_target_sample, p4_target_report, p1_found, p1_capped_clips, p1_reservoir_clips, p1_scene_counts, p2_varied_subset, p2_densities, p5_found, p5_overlap_counts, p6_stable_sample]
+    names = [p9_found, p9_document_labels, p9_stretches, p3_found, p3_splits, p3_incremental_splits, p4_found, p4_target_sample, p4_target_report, p1_found, p1_capped_clips, p1_reservoir_clips, p1_scene_counts, p2_densities, p2_varied_subset, p5_found, p5_overlap_counts, p6_stable_sample]
     return {f.__name__: f for f in names}
