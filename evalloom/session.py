@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +44,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor; done once a Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_evalloom_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    files = sorted(root.rglob("*.py"))
+    mark = hashlib.md5(b"".join(p.read_bytes() for p in files)).hexdigest()[:12]
+    path = pathlib.Path(tempfile.mkdtemp()) / f"evalloom-{mark}.zip"  # on the driver only; Spark serves it to the executors
+    with zipfile.ZipFile(path, "w") as z:
+        for p in files:
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._evalloom_shipped = True
