@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.byte_cnn import ByteCNN, stack, windows
+from evalloom.session import ship_package
 
 #: Names and codes of the ten languages, squashed and without accents. Fixed values.
 LANGUAGE_NAMES = {
@@ -224,6 +225,7 @@ def language_stretches(docs: DataFrame, ident: str, text: str, model: ByteCNN, k
     start and end are places in the text as stored. One pass over the rows in their partitions, whole texts, no shuffle.
     """
     keep = keep or []
+    ship_package(docs.sparkSession)
     slim = docs.select(ident, *keep, text)
     sc = docs.sparkSession.sparkContext
     if slim.rdd.getNumPartitions() < 2 * sc.defaultParallelism:

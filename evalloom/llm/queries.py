@@ -9,11 +9,14 @@ from evalloom.llm.capping import cap_per_contributor
 from evalloom.llm.common import blank_to_null, current_delivery, label_keys, nearest_category, scene_key, setting, squash, table
 from evalloom.llm.language import fit_on_documents, label_language, language_stretches
 from evalloom.llm.linked_splits import assign_splits, hub_table, linked_blocks, reissue_base, shared_object_tags
+from evalloom.llm.mixing import REPORT, mix, unique_texts
 from evalloom.llm.overlap import overlap_pairs, parse_metres
+from evalloom.llm.packing import pack_texts
 from evalloom.llm.quota_sample import quota_sample
 from evalloom.llm.stable import raise_thresholds, stable_sample
-from evalloom.session import cut_lineage
+from evalloom.llm.tokens import RANKS, measured
 from evalloom.llm.variety import density_weighted, varied_subset
+from evalloom.session import cut_lineage
 
 PAIR_WITHIN = 0.15
 
@@ -251,6 +254,50 @@ def p6_stable_sample(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+# ---- 7: containers of tokens ----
+
+
+def p7_containers(spark: SparkSession, folder: str, tokenizer: str = RANKS) -> DataFrame:
+    """Every text, or piece of a text larger than a container, with its container."""
+    docs = measured(table(spark, folder, "documents"), "text", ["doc_id"], tokenizer)
+    return pack_texts(docs, "doc_id", "tokens", "prompt_tokens", int(setting(spark, folder, "pack_capacity_tokens")))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers by how full they are, in tenths of the capacity, and the share of all room that is used."""
+    capacity = setting(spark, folder, "pack_capacity_tokens")
+    each = p7_containers(spark, folder).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+    tenth = F.least(F.floor(F.col("tokens") * 10 / F.lit(capacity)), F.lit(9)).cast("int")
+    out = each.groupBy(tenth.alias("filled_tenths")).agg(F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"))
+    return out.withColumn("used_share", F.col("tokens") / (F.col("containers") * F.lit(capacity)))
+
+
+# ---- 8: sources mixed to target weights ----
+
+
+def _mixed(spark: SparkSession, folder: str, tokenizer: str = RANKS) -> tuple[DataFrame, list[tuple]]:
+    rows = table(spark, folder, "source_weights").collect()
+    names = F.lit(None).cast("string")
+    for r in rows:
+        names = F.when(squash(F.col("source")) == "".join(ch for ch in r["source"].lower() if ch.isalnum()), r["source"]).otherwise(names)
+    docs = table(spark, folder, "documents").select("doc_id", names.alias("source"), "text").where(F.col("source").isNotNull())
+    sized = measured(docs, "text", ["doc_id", "source"], tokenizer)
+    # Quality: prose rather than tables, identifiers and numbers, and not a scrap of a few tokens.
+    sized = sized.withColumn("quality", F.least(F.lit(1.0), F.col("tokens") / 60.0) * F.col("letters"))
+    texts = unique_texts(sized, "doc_id", "source", "fingerprint", "tokens", "quality")
+    return mix(texts, {r["source"]: (r["target_share"], r["max_repeats"]) for r in rows})
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of the mix and how often each is used."""
+    return _mixed(spark, folder)[0].withColumnRenamed("ident", "doc_id")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Every source with its target and actual share of the tokens."""
+    return spark.createDataFrame(_mixed(spark, folder)[1], REPORT)
+
+
 # ---- 9: languages of documents ----
 
 
@@ -287,5 +334,10 @@ def p9_stretches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    names = [p9_found, p9_document_labels, p9_stretches, p3_found, p3_splits, p3_incremental_splits, p4_found, p4_target_sample, p4_target_report, p1_found, p1_capped_clips, p1_reservoir_clips, p1_scene_counts, p2_densities, p2_varied_subset, p5_found, p5_overlap_counts, p6_stable_sample]
-    return {f.__name__: f for f in names}
+    """In order of the problems; the first of each is the one with the whole result."""
+    listed = [
+        p1_found, p1_capped_clips, p1_reservoir_clips, p1_scene_counts, p2_densities, p2_varied_subset, p3_found, p3_splits, p3_incremental_splits,
+        p4_found, p4_target_sample, p4_target_report, p5_found, p5_overlap_counts, p6_stable_sample, p7_containers, p7_fill, p8_mix, p8_shares,
+        p9_found, p9_document_labels, p9_stretches,
+    ]
+    return {f.__name__: f for f in listed}
