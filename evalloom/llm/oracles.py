@@ -37,11 +37,69 @@ P5_PAIRS = f"""
 """
 
 
+HUBS = f"""
+    links AS (
+        SELECT DISTINCT group_id, unnest(list_concat(
+            list_transform(list_filter(anchor_ids, lambda x: regexp_matches(x, '[^0-9A-Za-z][0-9A-Fa-f]{{8}}$')), lambda x: 'o' || lower(right(x, 8))),
+            ['b' || regexp_extract(group_id, '^.*?_[0-9]{{8}}'), CASE WHEN trim(scene_id) <> '' THEN 's' || {SCENE} END])) AS hub
+        FROM consistency_groups
+    )
+"""
+
+
+def _category(column: str, axis: str) -> str:
+    plain = f"lower(regexp_replace({column}, '[^A-Za-z0-9]', '', 'g'))"
+    near = f"(SELECT category FROM sample_targets t WHERE t.axis = '{axis}' AND levenshtein(replace(category, '_', ''), {plain}) <= 2 ORDER BY levenshtein(replace(category, '_', ''), {plain}) LIMIT 1)"
+    return f"CASE WHEN trim({column}) <> '' THEN {near} END"
+
+
+P4_AVAILABLE = f"""
+    WITH spelled AS (
+        SELECT DISTINCT 'question_family' AS axis, question_family AS word FROM candidate_groups
+        UNION SELECT 'room_bucket', room_bucket FROM consistency_groups UNION SELECT 'motion_family', motion_family FROM consistency_groups
+    ), read AS (
+        SELECT axis, word, CASE axis WHEN 'question_family' THEN {_category("word", "question_family")} WHEN 'room_bucket' THEN {_category("word", "room_bucket")}
+            ELSE {_category("word", "motion_family")} END AS category
+        FROM spelled WHERE trim(word) <> ''
+    ), own AS (
+        SELECT group_id, min(r.category) AS room, min(m.category) AS motion,
+            min(CASE question_type WHEN 'object_dimensions' THEN 'size' WHEN 'object_distance_to_camera' THEN 'camera_distance' WHEN 'object_pair_distance_center' THEN 'pair_distance' END) AS typed
+        FROM consistency_groups LEFT JOIN read r ON r.axis = 'room_bucket' AND r.word = room_bucket LEFT JOIN read m ON m.axis = 'motion_family' AND m.word = motion_family
+        GROUP BY group_id
+    ), groups AS (
+        SELECT c.group_id, coalesce(min(q.category), min(typed)) AS family, min(room) AS room, min(motion) AS motion
+        FROM candidate_groups c LEFT JOIN own USING (group_id) LEFT JOIN read q ON q.axis = 'question_family' AND q.word = question_family GROUP BY c.group_id
+    ), counted AS (
+        SELECT 'question_family' AS axis, family AS category FROM groups UNION ALL SELECT 'room_bucket', room FROM groups UNION ALL SELECT 'motion_family', motion FROM groups
+    )
+    SELECT t.axis, t.category, count(c.category) AS available
+    FROM sample_targets t LEFT JOIN counted c ON t.axis = c.axis AND t.category = c.category GROUP BY t.axis, t.category
+"""
+
+
 def llm_oracles() -> dict[str, str]:
     return {
         "p1_found": f"{P1_RANKED} SELECT clip_id FROM ranked WHERE scene IS NOT NULL AND n > {CAP}",
         "p1_capped_clips": f"{P1_RANKED} SELECT clip_id, scene, quality_score FROM ranked WHERE scene IS NULL OR n <= {CAP}",
         "p1_scene_counts": f"{P1_RANKED} SELECT scene, count(*) AS clips, count(*) FILTER (WHERE scene IS NULL OR n <= {CAP}) AS kept_clips FROM ranked GROUP BY scene",
+        "p3_found": f"""
+            WITH RECURSIVE {HUBS}, pairs AS (
+                SELECT DISTINCT a.group_id AS g, b.group_id AS h FROM (SELECT hub, min(group_id) AS group_id FROM links WHERE hub IS NOT NULL GROUP BY hub) a JOIN links b USING (hub)
+            ), near AS (
+                SELECT g, h FROM pairs UNION SELECT h, g FROM pairs
+            ), reach AS (
+                SELECT g, h FROM near UNION SELECT reach.g, near.h FROM reach JOIN near ON reach.h = near.g
+            ), blocks AS (
+                SELECT g AS group_id, min(h) AS block_first FROM reach GROUP BY g
+            ), scenes AS (
+                SELECT block_first FROM blocks JOIN consistency_groups USING (group_id) WHERE trim(scene_id) <> '' GROUP BY block_first HAVING count(DISTINCT {SCENE}) >= 2
+            )
+            SELECT block_first, group_id FROM blocks JOIN scenes USING (block_first)
+        """,
+        "p4_found": f"""
+            SELECT axis, category FROM ({P4_AVAILABLE}) JOIN sample_targets USING (axis, category)
+            WHERE available < greatest(min_count, target_share * (SELECT amount FROM plan_settings WHERE setting = 'sample_share') * (SELECT count(DISTINCT group_id) FROM candidate_groups))
+        """,
         "p5_found": f"{P5_PAIRS} SELECT least(eval_id, train_id) AS clip_lo, greatest(eval_id, train_id) AS clip_hi FROM pairs",
         "p5_overlap_counts": f"{P5_PAIRS} SELECT split, engine, count(*) AS pairs, count(DISTINCT eval_id) AS eval_clips FROM pairs GROUP BY split, engine",
         "p6_stable_sample": """
