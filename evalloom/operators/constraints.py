@@ -14,7 +14,7 @@ def triplets(df: DataFrame, group: str, order: str, columns: list[str]) -> DataF
     # Only groups of three are collected: their sizes are counted first, on the map side.
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n = 3").select(group)
     out = df.join(sizes, group, "left_semi").groupBy(group).agg(rows.alias("_r"))
-    return out.select(group, *[F.transform("_r", lambda x, c=c: x[c]).alias(c) for c in columns])
+    return out.select(group, *[F.col("_r").getField(c).alias(c) for c in columns])
 
 
 def triangle_violation(v: Column) -> Column:

@@ -62,8 +62,8 @@ def group_key(*parts: Column) -> Column:
 
 
 def decimal_tag(x: Column) -> Column:
-    """1.5 as '1p5'."""
-    return F.replace(F.format_number(x, "0.0"), F.lit("."), F.lit("p"))
+    """1.5 as '1p5'; null for null."""
+    return F.when(x.isNotNull(), F.replace(F.format_string("%.1f", x.cast("double")), F.lit("."), F.lit("p")))
 
 
 def label_key(labels: Column, most: int = 2, sep: str = "–") -> Column:
