@@ -25,8 +25,9 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType,
 def corrupt_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """(file, record) of the lines that do not parse."""
     kept = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(kept).option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("file", F.col("_metadata.file_path"))
-    return rows.select(*kept.names, "file").where(F.col("_corrupt").isNotNull()).select("file", F.col("_corrupt").alias("record"))
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+    bad = F.from_json("value", kept, {"columnNameOfCorruptRecord": "_corrupt"})["_corrupt"]
+    return lines.select("file", bad.alias("record")).where(F.col("record").isNotNull())
 
 
 def keyed_lines(spark: SparkSession, path: str, record: T.DataType) -> DataFrame:
