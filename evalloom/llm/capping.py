@@ -26,7 +26,8 @@ def cap_per_contributor(df: DataFrame, ident: str, contributor: str, score: str,
 
     temperature 1 is sampling without replacement with probability proportional to the score; 0 keeps the best scores. Rows
     of blank, NaN or (temperature > 0) negative score come last; ties go to the smaller ident. Rows without a contributor are all kept.
-    ``ident`` must be unique; a null ident ranks first among ties. Other columns of ``df`` pass through unchanged.
+    ``ident`` must be unique; a null ident ranks first among ties. Returns (ident, contributor, score, reservoir_key, kept); other columns of
+    ``df`` are not looked at. An empty table gives none.
 
     The cap-th key of each contributor is found in two levels, over (contributor, salt) and then over at most salts * cap rows,
     so a contributor with a third of all rows is never sorted in one task. Only contributors with cap rows or more have such a
@@ -34,11 +35,15 @@ def cap_per_contributor(df: DataFrame, ident: str, contributor: str, score: str,
     """
     if cap < 1:
         raise ValueError("cap must be at least 1")
-    key = reservoir_key(F.col(score), F.col(ident), temperature, seed)
-    keyed = df.withColumn("_key", key).withColumn("_rank", F.struct(F.col("_key").isNull().alias("blank"), F.coalesce(-F.col("_key"), F.lit(0.0)).alias("neg"), F.col(ident).alias("id")))
-    slim = keyed.where(F.col(contributor).isNotNull()).select(F.col(contributor).alias("_c"), "_rank", salt_of(F.col(ident), salts).alias("_s"))
+    if {ident, contributor, score} & {"reservoir_key", "kept"}:
+        raise ValueError("reservoir_key and kept are names of the result")
+    base = df.select(F.col(ident).alias("_id"), F.col(contributor).alias("_c"), F.col(score).alias("_v"))
+    keyed = base.withColumn("_key", reservoir_key(F.col("_v"), F.col("_id"), temperature, seed))
+    keyed = keyed.withColumn("_rank", F.struct(F.col("_key").isNull().alias("blank"), F.coalesce(-F.col("_key"), F.lit(0.0)).alias("neg"), F.col("_id").alias("id")))
+    slim = keyed.where(F.col("_c").isNotNull()).select("_c", "_rank", salt_of(F.col("_id"), salts).alias("_s"))
     first = slim.withColumn("_n", F.row_number().over(Window.partitionBy("_c", "_s").orderBy("_rank"))).where(F.col("_n") <= cap)
     second = first.drop("_n").withColumn("_n", F.row_number().over(Window.partitionBy("_c").orderBy("_rank"))).where(F.col("_n") <= cap)
-    last = second.where(F.col("_n") == cap).select(F.col("_c"), F.col("_rank").alias("_last"))
-    joined = salted_join(keyed.withColumn("_c", F.col(contributor)), last, "_c", F.col(ident), salts, "left")
-    return joined.select(*df.columns, F.col("_key").alias("reservoir_key"), F.coalesce(F.col("_rank") <= F.col("_last"), F.lit(True)).alias("kept"))
+    last = second.where(F.col("_n") == cap).select("_c", F.col("_rank").alias("_last"))
+    joined = salted_join(keyed, last, "_c", F.col("_id"), salts, "left")
+    kept = F.coalesce(F.col("_rank") <= F.col("_last"), F.lit(True))
+    return joined.select(F.col("_id").alias(ident), F.col("_c").alias(contributor), F.col("_v").alias(score), F.col("_key").alias("reservoir_key"), kept.alias("kept"))

@@ -104,6 +104,7 @@ def assign_splits(blocks: DataFrame, targets: dict[str, float], earlier: DataFra
     shares = {k: v / total_target for k, v in targets.items()}
     quarantine = quarantine or max(sorted(shares), key=lambda k: shares[k])
     spark = blocks.sparkSession
+    blocks = blocks.select("record", "block").distinct()
     known = blocks.withColumn("split", F.lit(None).cast("string"))
     if earlier is not None:
         one = earlier.groupBy("record").agg(F.min("split").alias("split"))
