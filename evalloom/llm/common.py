@@ -86,13 +86,13 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread: Column, salt
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def take_by_budget(df: DataFrame, key: str, position: str, size: Column, ident: str, budgets: DataFrame, most_keys: int) -> DataFrame:
+def take_by_budget(df: DataFrame, key: str, position: str, size: Column, ident: str, budgets: DataFrame, most_keys: int, nearest: bool = True) -> DataFrame:
     """Rows of each key in order of ``position`` (a number in (0, 1)) and ``ident`` until their sizes use up the key's ``budget``.
 
     ``budgets``: (key, budget), one row a key, at most ``most_keys`` rows, which bounds what is broadcast. Positions fall into
     BUCKETS ranges; whole ranges below the one in which the budget runs out are taken without a sort, and only the rows of
-    that range are ranked. A row is taken if the sizes before it are less than the budget and it ends nearer to the budget with it than
-    without it. Returns the rows of ``df`` taken. The count of keys must be small; the count of rows of a key need not.
+    that range are ranked. A row is taken if the sizes before it are less than the budget and it fits or, if ``nearest``, the sum ends nearer
+    to the budget with it than without it. Returns the rows of ``df`` taken. The count of keys must be small; the count of rows of a key need not.
     """
     if most_keys * BUCKETS > 50_000_000:
         raise ValueError("too many keys for a table of ranges by key")
@@ -110,7 +110,8 @@ def take_by_budget(df: DataFrame, key: str, position: str, size: Column, ident:
     order = Window.partitionBy("_k").orderBy(position, ident)
     last = joined.where(F.col("_b") == F.col("_cb")).withColumn("_end", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     begin = F.col("_end") - F.col("_size")
-    last = last.where((begin < F.col("_left")) & (F.col("_end") - F.col("_left") <= F.col("_left") - begin)).select(*df.columns)
+    over = F.col("_end") - F.col("_left")
+    last = last.where((begin < F.col("_left")) & (over <= (F.col("_left") - begin if nearest else F.lit(0.0)))).select(*df.columns)
     return whole.unionAll(last)
 
 

@@ -9,6 +9,10 @@ from evalloom.llm.common import take_by_budget, unit_hash
 from evalloom.session import cut_lineage
 
 
+#: Passes over what is left of a budget; each passes over one text that does not fit.
+ROUNDS = 4
+
+
 def unique_texts(docs: DataFrame, ident: str, source: str, fingerprint: str, tokens: str, quality: str) -> DataFrame:
     """(ident, source, tokens, quality): one row a text (the smallest ident of those with its fingerprint), texts without tokens or source left out.
 
@@ -42,17 +46,31 @@ def mix(texts: DataFrame, targets: dict[str, tuple[float, int]], total: float |
             budget = min(w * total, float(m * there[s]))
             epochs = min(m, int(budget // there[s]))
             plan.append((s, epochs, budget - epochs * there[s], budget))
-    budgets = spark.createDataFrame([(s, r) for s, _, r, _ in plan], "source string, budget double")
     weight = F.least(F.greatest(F.coalesce(F.nanvl("quality", F.lit(0.0)), F.lit(0.0)), F.lit(0.05)), F.lit(1.0))
     # 1 - u**(1/w) grows with the key -ln(u)/w and lies in (0, 1).
     keyed = texts.withColumn("_at", 1 - F.pow(unit_hash(F.col("ident"), salt=f"mix{seed}"), 1 / weight))
-    part = take_by_budget(keyed, "source", "_at", F.col("tokens").cast("double"), "ident", budgets, len(targets))
-    used = part.select("ident", "source", "tokens", F.lit(1).alias("uses"))
+    left, reached = {s: r for s, _, r, _ in plan}, dict.fromkeys(there, -1.0)
+    parts = []
+    for _ in range(ROUNDS):
+        fits, after = F.lit(0.0), F.lit(2.0)
+        for s in left:
+            fits, after = F.when(F.col("source") == s, F.lit(left[s])).otherwise(fits), F.when(F.col("source") == s, F.lit(reached[s])).otherwise(after)
+        budgets = spark.createDataFrame([(s, float(r)) for s, r in left.items()], "source string, budget double")
+        open_texts = keyed.where((F.col("tokens") <= fits) & (F.col("_at") > after))
+        part = cut_lineage(take_by_budget(open_texts, "source", "_at", F.col("tokens").cast("double"), "ident", budgets, len(targets), nearest=False))
+        sums = part.groupBy("source").agg(F.sum("tokens").alias("n"), F.max("_at").alias("at")).collect()  # one row a source
+        parts.append(part.select("ident", "source", "tokens", F.lit(1).alias("uses")))
+        left = {r["source"]: left[r["source"]] - r["n"] for r in sums}
+        reached |= {r["source"]: r["at"] for r in sums}
+        if not any(left.values()):
+            break
     whole = F.lit(0)
     for s, epochs, _, _ in plan:
         whole = F.when(F.col("source") == s, F.lit(epochs)).otherwise(whole)
     every = texts.select("ident", "source", "tokens", whole.alias("uses")).where(F.col("uses") > 0)
-    out = every.unionByName(used).groupBy("ident", "source", "tokens").agg(F.sum("uses").cast("int").alias("uses"))
+    for part in parts:
+        every = every.unionByName(part)
+    out = every.groupBy("ident", "source", "tokens").agg(F.sum("uses").cast("int").alias("uses"))
     out = cut_lineage(out)
     got = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("n")).collect()}
     everything = sum(got.values())
