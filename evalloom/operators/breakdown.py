@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalloom.operators.consistency import group_cv
+from evalloom.operators.consistency import DIALECTS, cv_from, usable
 
 
 def by_axis(df: DataFrame, axes: dict[str, list[str]]) -> DataFrame:
@@ -20,16 +20,30 @@ def by_axis(df: DataFrame, axes: dict[str, list[str]]) -> DataFrame:
 def score_breakdown(df: DataFrame, axes: dict[str, list[str]], group: str, value: str, metrics: dict[str, Column], dialect: str = "strict") -> DataFrame:
     """(axis, value, n, <metrics>, n_groups, mean_cv): means of row metrics and mean group dispersion per slice.
 
-    Rows are sliced first and grouped second, so a group that spans two slices counts in each with its own rows. Level one keeps sums and
-    the pieces of the deviation per (axis, value, group); level two adds them up. One shuffle of rows, one of groups.
+    Rows are sliced first and grouped second, so a group that spans two slices counts in each with its own rows. Rows with a null group count
+    in n and the metrics only. Rows are first added up per (all axis columns, group), so what is multiplied by the axes and shuffled is
+    cells rather than rows; cells are merged per (axis, value, group) and groups per (axis, value). No join, each step combined on
+    the map side. Deviations of merged cells come from counts, means and squared deviations.
     """
-    v = F.col(value).cast("double")
-    base = df.select(*sorted({c for cols in axes.values() for c in cols}), group, v.alias("_v"), *[m.alias(k) for k, m in metrics.items()])
-    sliced = by_axis(base, axes)
-    cv = group_cv(sliced, ["axis", "value", group], "_v", dialect)
-    means = sliced.groupBy("axis", "value").agg(F.count(F.lit(1)).alias("n"), *[F.avg(k).alias(k) for k in metrics])
-    groups = cv.groupBy("axis", "value").agg(F.count("cv").alias("n_groups"), F.avg("cv").alias("mean_cv"))
-    return means.join(groups, ["axis", "value"], "left").select("axis", "value", "n", *metrics, F.coalesce("n_groups", F.lit(0)).alias("n_groups"), "mean_cv")
+    d = DIALECTS[dialect]
+    columns = sorted({c for cols in axes.values() for c in cols})
+    used = usable(F.col("_v"), d)
+    base = df.select(*columns, F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"), *[m.alias(f"_m_{k}") for k, m in metrics.items()])
+    cells = base.groupBy(*columns, "_g").agg(
+        F.count(F.lit(1)).alias("_n"), F.count(used).alias("_k"), F.avg(used).alias("_mean"), F.var_pop(used).alias("_var"), F.min(used).alias("_lo"), F.max(used).alias("_hi"),
+        *[F.sum(f"_m_{k}").alias(f"_s_{k}") for k in metrics], *[F.count(f"_m_{k}").alias(f"_c_{k}") for k in metrics],
+    )
+    sums = [f"_{x}_{k}" for k in metrics for x in "sc"]
+    k, mean = F.col("_k"), F.col("_mean")
+    groups = by_axis(cells, axes).groupBy("axis", "value", "_g").agg(
+        F.sum("_n").alias("_n"), F.sum("_k").alias("_k"), F.sum(k * mean).alias("_sum"), F.sum(k * F.col("_var")).alias("_in"), F.sum(k * mean * mean).alias("_sq"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), *[F.sum(x).alias(x) for x in sums],
+    )
+    average = F.try_divide(F.col("_sum"), F.col("_k"))
+    spread = F.col("_in") + F.greatest(F.lit(0.0), F.col("_sq") - F.col("_sum") * average)
+    std = F.when(F.col("_lo") == F.col("_hi"), 0.0).otherwise(F.sqrt(F.try_divide(spread, F.col("_k") - 1)))
+    cv = F.when(F.col("_g").isNotNull(), cv_from(d, F.col("_n"), F.col("_k"), average, std, F.col("_lo"), F.col("_hi")))
+    means = [F.try_divide(F.sum(f"_s_{k}"), F.sum(f"_c_{k}")).alias(k) for k in metrics]
+    return groups.withColumn("_cv", cv).groupBy("axis", "value").agg(F.sum("_n").alias("n"), *means, F.count("_cv").alias("n_groups"), F.avg("_cv").alias("mean_cv"))
 
 
 def long_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

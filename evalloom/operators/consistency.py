@@ -31,28 +31,35 @@ DIALECTS = {
 }
 
 
+def usable(value: Column, d: Dialect) -> Column:
+    """The value where it counts under the dialect, else null."""
+    v = value.cast("double")
+    ok = v.isNotNull() & ~F.isnan(v)
+    return F.when(ok & (F.abs(v) < F.lit(float("inf"))) if d.finite_only else ok, v)
+
+
+def cv_from(d: Dialect, rows: Column, parsed: Column, mean: Column, std: Column, low: Column, high: Column) -> Column:
+    """The coefficient of variation of a group from its counts and moments."""
+    constant = F.lit(0.0) if d.zero_const else F.lit(None).cast("double")
+    cv = F.when((low == 0) & (high == 0), constant).when(mean == 0, None)
+    cv = cv.otherwise(std / mean) if d.allow_negative else cv.when(mean > 0, std / mean)
+    enough = parsed >= 2
+    return F.when(enough & (parsed == rows) if d.drop_incomplete else enough, cv)
+
+
 def group_cv(df: DataFrame, keys: list[str], value: str, dialect: str = "strict") -> DataFrame:
     """(keys, rows, parsed, cv): sample deviation over mean of each group, null where the dialect gives none or fewer than two values count.
 
     One aggregation with map-side combine; null keys form no group. NaN values count as unparsed.
     """
     d = DIALECTS[dialect]
-    v = F.col(value).cast("double")
-    ok = v.isNotNull() & ~F.isnan(v)
-    if d.finite_only:
-        ok = ok & (F.abs(v) < F.lit(float("inf")))
-    used = F.when(ok, v)
+    used = usable(F.col(value), d)
     known = df
     for k in keys:
         known = known.where(F.col(k).isNotNull())
     stats = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count(used).alias("parsed"), F.avg(used).alias("_mean"), F.stddev_samp(used).alias("_std"), F.min(used).alias("_lo"), F.max(used).alias("_hi"))
-    mean, std = F.col("_mean"), F.col("_std")
-    cv = F.when((F.col("_lo") == 0) & (F.col("_hi") == 0), F.lit(0.0) if d.zero_const else F.lit(None).cast("double")).when(mean == 0, None)
-    cv = cv.otherwise(std / mean) if d.allow_negative else cv.when(mean > 0, std / mean)
-    enough = F.col("parsed") >= 2
-    if d.drop_incomplete:
-        enough = enough & (F.col("parsed") == F.col("rows"))
-    return stats.select(*keys, "rows", "parsed", F.when(enough, cv).alias("cv"))
+    cv = cv_from(d, *[F.col(c) for c in ("rows", "parsed", "_mean", "_std", "_lo", "_hi")])
+    return stats.select(*keys, "rows", "parsed", cv.alias("cv"))
 
 
 def mean_group_cv(groups: DataFrame, axes: list[str]) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.session import ship_package
@@ -14,48 +15,71 @@ from evalloom.session import ship_package
 MOST_SUMMARIES = 100_000
 
 
+def map_groups(df: DataFrame, group: str, columns: list[str], best: Column, pick: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """Rows (group, ident, position) that ``pick`` returns for the rows (group, *columns) of each group; ident is the first of the columns.
+    The rows come by falling ``best`` (null and NaN last), then ident.
+
+    One shuffle and sort by Spark; a task then runs through its groups in Arrow batches, holding one group at a time, so many
+    small groups cost no call each. A group must fit a task. Rows with a null group are left out.
+    """
+    ship_package(df.sparkSession)
+    score = best.cast("double")
+    slim = df.where(F.col(group).isNotNull()).select(group, *columns, F.when(~F.isnan(score), score).alias("_best"))
+    names = [group, *columns]
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    outputs = [group, columns[0], "position"]
+    schema = f"`{group}` {kinds[group]}, `{columns[0]}` {kinds[columns[0]]}, position int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for pdf in batches:
+            out: list[tuple] = []
+            for row in zip(*[pdf[c].tolist() for c in names], strict=True):
+                if held and row[0] != held[0][0]:
+                    out += pick(held)
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(out, columns=outputs)
+        if held:
+            yield pd.DataFrame(pick(held), columns=outputs)
+
+    return slim.repartition(group).sortWithinPartitions(group, F.desc_nulls_last("_best"), columns[0]).mapInPandas(run, schema)
+
+
 def clips_of_group(df: DataFrame, group: str, ident: str, features: list[str], quality: str, k: int) -> DataFrame:
     """(group, ident, position): per group, ``k`` rows, each the one with the fewest already picked equals in the features, then the best
     quality, then ident. For groups that fit a task (a group's clips); groups run in parallel."""
-    ship_package(df.sparkSession)
-    slim = df.select(group, ident, *features, quality)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name in (group, ident))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pick(rows: list[tuple]) -> list[tuple]:
         seen: Counter = Counter()
-        rows = pdf.assign(_q=pdf[quality].fillna(float("-inf"))).sort_values(["_q", ident], ascending=[False, True]).to_dict("records")
-        out = []
+        rows, out = list(rows), []
         while rows and len(out) < k:
-            best = min(range(len(rows)), key=lambda i: (sum(seen[f, rows[i][f]] for f in features), i))
+            best = min(range(len(rows)), key=lambda i: (sum(seen[f, v] for f, v in enumerate(rows[i][2:])), i))
             row = rows.pop(best)
-            seen.update((f, row[f]) for f in features)
-            out.append((row[group], row[ident], len(out) + 1))
-        return pd.DataFrame(out, columns=[group, ident, "position"])
+            seen.update(enumerate(row[2:]))
+            out.append((row[0], row[1], len(out) + 1))
+        return out
 
-    return slim.groupBy(group).applyInPandas(run, f"{schema}, position int")
+    return map_groups(df, group, [ident, *features], F.col(quality), pick)
 
 
 def scene_three_passes(df: DataFrame, scene: str, ident: str, kinds: list[str], anchor: str, reuse: str, cap: int) -> DataFrame:
     """(scene, ident, position): per scene up to ``cap`` candidates: one of each kind, then new anchors, then the rest, best reuse first."""
-    ship_package(df.sparkSession)
-    slim = df.select(scene, ident, *kinds, anchor, reuse)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name in (scene, ident))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.assign(_q=pdf[reuse].fillna(float("-inf"))).sort_values(["_q", ident], ascending=[False, True]).to_dict("records")
-        picked: list[dict] = []
+    def pick(rows: list[tuple]) -> list[tuple]:
+        picked: list[tuple] = []
         known_kinds, known_anchors, done = set(), set(), set()
         for rule in range(3):
             for i, row in enumerate(rows):
-                kind = tuple(row[c] for c in kinds)
-                if len(picked) < cap and i not in done and (rule == 2 or (rule == 0 and kind not in known_kinds) or (rule == 1 and row[anchor] not in known_anchors)):
+                kind, at = row[2:-1], row[-1]
+                if len(picked) < cap and i not in done and (rule == 2 or (rule == 0 and kind not in known_kinds) or (rule == 1 and at not in known_anchors)):
                     done.add(i)
                     known_kinds.add(kind)
-                    known_anchors.add(row[anchor])
-                    picked.append(row)
-        return pd.DataFrame([(r[scene], r[ident], i + 1) for i, r in enumerate(picked)], columns=[scene, ident, "position"])
+                    known_anchors.add(at)
+                    picked.append((row[0], row[1], len(picked) + 1))
+        return picked
 
-    return slim.groupBy(scene).applyInPandas(run, f"{schema}, position int")
+    return map_groups(df, scene, [ident, *kinds, anchor], F.col(reuse), pick)
 
 
 def _summaries(df: DataFrame, columns: list[str]) -> list[dict]:
@@ -140,19 +164,15 @@ def longest_first_shards(sizes: dict[str, int], shards: int) -> dict[str, int]:
 
 def hash_distinct(df: DataFrame, group: str, ident: str, bits: str, quality: str, least: int, k: int) -> DataFrame:
     """(group, ident, position): per group up to ``k`` rows, best first, whose integer hashes differ from every picked one in at least ``least`` bits;
-    if they run out, the best of the rest fill up."""
-    ship_package(df.sparkSession)
-    slim = df.select(group, ident, bits, quality)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name in (group, ident))
+    if they run out, the best of the rest fill up. Rows without a hash are left out."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values([quality, ident], ascending=[False, True]).to_dict("records")
-        picked = []
+    def pick(rows: list[tuple]) -> list[tuple]:
+        picked: list[tuple] = []
         for r in rows:
-            if len(picked) < k and all(bin((int(r[bits]) ^ int(p[bits])) & (2**64 - 1)).count("1") >= least for p in picked):
+            if len(picked) < k and all(((int(r[2]) ^ int(p[2])) & (2**64 - 1)).bit_count() >= least for p in picked):
                 picked.append(r)
-        ids = {p[ident] for p in picked}
-        picked += [r for r in rows if r[ident] not in ids][: k - len(picked)]
-        return pd.DataFrame([(r[group], r[ident], i + 1) for i, r in enumerate(picked)], columns=[group, ident, "position"])
+        ids = {p[1] for p in picked}
+        picked += [r for r in rows if r[1] not in ids][: k - len(picked)]
+        return [(r[0], r[1], i + 1) for i, r in enumerate(picked)]
 
-    return slim.where(F.col(bits).isNotNull()).groupBy(group).applyInPandas(run, f"{schema}, position int")
+    return map_groups(df.where(F.col(bits).isNotNull()), group, [ident, bits], F.col(quality), pick)
