@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILONS = (0.11, 0.22)
 
 
 def triplets(df: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
-    """(group, <column> array of three): the rows of each group in order, for groups of exactly three rows."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *columns)))
-    # Only groups of three are collected: their sizes are counted first, on the map side.
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n = 3").select(group)
-    out = df.join(sizes, group, "left_semi").groupBy(group).agg(rows.alias("_r"))
+    """(group, <column> array of three): the rows of each group in order, for groups of exactly three rows.
+
+    At most four rows of a group are ever gathered: a fourth only shows that there are too many.
+    """
+    at = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    few = df.select(group, order, *columns).withColumn("_i", at).where(F.col("_i") <= 4)
+    out = few.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_i", *columns))).alias("_r")).where(F.size("_r") == 3)
     return out.select(group, *[F.col("_r").getField(c).alias(c) for c in columns])
 
 
