@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -179,19 +180,20 @@ def fit_on_samples(samples: DataFrame, text: str, lang: str, most: int = 20_000,
     return _fit([(r[0], r[1]) for r in rows], seed)
 
 
-def _fit(rows: list[tuple[str, str]], seed: int, steps: int = 900) -> ByteCNN:
-    key = (seed, steps, hash(tuple(rows)))
+def _fit(rows: list[tuple[str, str]], seed: int, start: ByteCNN | None = None) -> ByteCNN:
+    key = (seed, start is None, hash(tuple(rows)))
     if key not in _fitted:
-        _fitted[key] = ByteCNN(sorted({r[1] for r in rows}), seed).fit([r[0] for r in rows], [r[1] for r in rows], steps=steps, seed=seed)
+        network = copy.deepcopy(start) if start else ByteCNN(sorted({r[1] for r in rows}), seed)
+        _fitted[key] = network.fit([r[0] for r in rows], [r[1] for r in rows], steps=600, seed=seed)
     return _fitted[key]
 
 
-def fit_on_documents(samples: list[tuple[str, str]], docs: DataFrame, ident: str, text: str, label: Column, most: int = 3000, characters: int = 4000, seed: int = 0) -> ByteCNN:
-    """A network fitted on clean samples and then again on them together with labelled documents.
+def fit_on_documents(samples: list[tuple[str, str]], docs: DataFrame, ident: str, text: str, label: Column, most: int = 2000, characters: int = 4000, seed: int = 0) -> ByteCNN:
+    """A network fitted on clean samples and then further on them together with labelled documents.
 
     Of the documents with a label that names a language, the ``most`` of the smallest hashes of their id are read, up to ``characters`` of
     each (bounds of the training set only; everything is classified whole). The first network judges them, and those in which it finds
-    one stretch only, of the language of the label, give their sentences to the second fit. So wrong labels do not teach.
+    one stretch only, of the language of the label, give their sentences to the second fit, which goes on from the first. So wrong labels do not teach.
     """
     first = _fit(samples, seed)
     rows = docs.where(F.col(text).isNotNull() & label.isNotNull()).select(F.substring(text, 1, characters).alias("t"), label.alias("l"), F.xxhash64(F.col(ident)).alias("h"))
@@ -200,7 +202,7 @@ def fit_on_documents(samples: list[tuple[str, str]], docs: DataFrame, ident: str
     for r, found in zip(rows, classify([r["t"] for r in rows], first), strict=True):
         if len(found) == 1 and first.labels[found[0][2]] == r["l"]:
             more += [(u[2], r["l"]) for u in units(r["t"]) if u[3] >= LEAST_WORDS / 2]
-    return _fit(samples + sorted(set(more)), seed, 1500) if more else first
+    return _fit(samples + sorted(set(more)), seed, first) if more else first
 
 
 def label_language(label: Column) -> Column:
