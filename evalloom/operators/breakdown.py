@@ -99,3 +99,9 @@ def preferred_order(label: Column, order: list[str]) -> Column:
     for i, x in reversed(list(enumerate(order))):
         out = F.when(label == x, F.lit(i)).otherwise(out)
     return out
+
+
+def scaled_means(df: DataFrame, keys: list[str], metrics: list[str], plain: list[str], skip: Column | None = None) -> DataFrame:
+    """(keys, n, metrics): means times 100, but for the ``plain`` ones. Rows for which ``skip`` holds are left out."""
+    rows = df if skip is None else df.where(~F.coalesce(skip, F.lit(False)))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[(F.avg(m) * (1 if m in plain else 100)).alias(m) for m in metrics])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.session import ship_package
+
 
 @dataclass(frozen=True)
 class Dialect:
@@ -96,3 +100,45 @@ def rank_correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFram
         ranks = counts.select(*keys, c, (upto - (F.col("_n") - 1) / 2.0).alias(f"_r{c}"))
         ranked = ranked.join(ranks, [*keys, c])
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("pearson"), F.corr("_r_x", "_r_y").alias("spearman"))
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function, by the modified Lentz method."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 400):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + top * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + top / c
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return h
+
+
+def correlation_p_value(r: float | None, n: int | None) -> float | None:
+    """Two-sided p-value of a correlation of ``n`` pairs: that of t = r sqrt((n - 2) / (1 - r r)) with n - 2 degrees of freedom. Null for n < 3."""
+    if r is None or n is None or n < 3 or math.isnan(r):
+        return None
+    if abs(r) >= 1:
+        return 0.0
+    a, b, x = (n - 2) / 2, 0.5, 1 - r * r
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) if x < 1 else 0.0
+    if x >= 1:
+        return 1.0
+    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+
+
+def with_p_values(df: DataFrame, n: str, correlations: list[str]) -> DataFrame:
+    """Adds p_<c> for correlation columns of a summary, in Arrow batches."""
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("double")
+    def p_value(r: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([correlation_p_value(None if pd.isna(a) else float(a), int(b)) for a, b in zip(r, k, strict=True)], dtype="float64")
+
+    return df.withColumns({f"p_{c}": p_value(F.col(c), F.col(n)) for c in correlations})

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.session import cut_lineage
+
 CELLS = 1024
 
 
@@ -79,6 +81,39 @@ def nearest_on_line(probes: DataFrame, probe: str, at: str, points: DataFrame, p
     return out.select(*group, F.col("_probe").alias(probe), F.col("_v").alias(at), F.col("_n.p").alias(point), F.col("_n.v").alias(place), F.col("_n.d").alias("distance"))
 
 
+def nearest_in_plane(probes: DataFrame, probe: str, points: DataFrame, point: str, xy: list[str], cell: float) -> DataFrame:
+    """(probe, point, distance): the nearest point of each probe in two dimensions, ties to the smaller point. Null coordinates are left out.
+
+    Both sides meet in a grid, a probe in its own cell and the eight around it. A point found within one cell's width is the nearest; probes
+    without one are tried again on cells four times as wide, so only they grow, and after few rounds all are done. Choose ``cell`` near
+    the usual spacing of points. No probe gets a row if there are no points.
+    """
+    x, y = xy
+    there = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).agg(F.min(point).alias("_point"))
+    rest = probes.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(probe).alias("_probe"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    there = cut_lineage(there)
+    edge = there.agg(F.min("_px"), F.max("_px"), F.min("_py"), F.max("_py")).head()
+    if edge[0] is None:
+        return rest.select(F.col("_probe").alias(probe), F.lit(None).cast(points.schema[point].dataType).alias(point), F.lit(0.0).alias("distance")).where("false")
+    ends = rest.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).head()
+    wide = max([abs(v) for v in (*edge, *ends) if v is not None], default=0.0) * 2
+    found = None
+    width = float(cell)
+    while True:
+        last = width > wide
+        at = lambda c, w=width: F.floor(F.col(c) / F.lit(w)).cast("long")
+        around = F.array(*[F.struct((at("_x") + i).alias("i"), (at("_y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        near = rest.withColumn("_c", F.explode(around)).join(there.withColumn("_c", F.struct(at("_px").alias("i"), at("_py").alias("j"))), "_c")
+        gap = F.sqrt((F.col("_px") - F.col("_x")) * (F.col("_px") - F.col("_x")) + (F.col("_py") - F.col("_y")) * (F.col("_py") - F.col("_y")))
+        best = near.groupBy("_probe", "_x", "_y").agg(F.min(F.struct(gap.alias("distance"), F.col("_point").alias("point"))).alias("_b"))
+        best = cut_lineage(best if last else best.where(F.col("_b.distance") <= width))
+        found = best if found is None else found.unionByName(best)
+        rest = cut_lineage(rest.join(best.select("_probe"), "_probe", "left_anti"))
+        if last or rest.isEmpty():
+            return found.select(F.col("_probe").alias(probe), F.col("_b.point").alias(point), F.col("_b.distance").alias("distance"))
+        width *= 4
+
+
 def in_boxes(points: DataFrame, coords: list[str], boxes: DataFrame, box: str, cell: float, pad: float = 0.0) -> DataFrame:
     """Points with the id of every box that holds them, borders included. ``boxes`` has <c>_min and <c>_max for each coordinate c.
 

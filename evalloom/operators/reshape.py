@@ -97,3 +97,10 @@ def merge_maps(left: Column, right: Column) -> Column:
     """Union of two maps; the right one wins."""
     kept = F.map_filter(left, lambda k, v: ~F.array_contains(F.map_keys(right), k))
     return F.map_concat(kept, right)
+
+
+def reconstruct_groups(df: DataFrame, group: str, order: Column, first: list[str], ident: str) -> DataFrame:
+    """(group, first columns, n, members): the first row's columns of each group, and its ids in order. Members of a group must fit a record."""
+    members = F.array_sort(F.collect_list(F.struct(order.alias("_o"), F.col(ident).alias("_i"))))
+    out = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.min_by(F.struct(*first), F.struct(order, F.col(ident))).alias("_f"), F.count(F.lit(1)).alias("n"), members.alias("_m"))
+    return out.select(group, "_f.*", "n", F.transform("_m", lambda x: x["_i"]).alias("members"))

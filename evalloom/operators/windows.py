@@ -110,3 +110,9 @@ def middle_third(i: Column, n: Column) -> Column:
 def quotas(total: int, n: int) -> list[int]:
     """``total`` in ``n`` near-equal parts, larger ones first."""
     return [total // n + (i < total % n) for i in range(n)]
+
+
+def top_distinct(df: DataFrame, group: str, item: str, order: list, n: int) -> DataFrame:
+    """Per group the best row of each item, then the ``n`` best of those. ``order`` should end in a unique column."""
+    best = df.withColumn("_in_item", F.row_number().over(Window.partitionBy(group, item).orderBy(*order))).where("_in_item = 1").drop("_in_item")
+    return top_k(best, [group], order, n)

@@ -127,6 +127,12 @@ CORR_SQL = """
 """
 
 
+def corr_p_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Correlations per nation with their p-values."""
+    out = consistency.with_p_values(group_corr(spark, folder), "n", ["pearson", "spearman"])
+    return out.select("c_nationkey", "n", r("p_pearson").alias("p_pearson"), r("p_spearman").alias("p_spearman"))
+
+
 def parse_numeric_last(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", parse.numeric_answer(F.col("text")).alias("answer"))
 
@@ -328,6 +334,7 @@ def catalog() -> dict:
         "completeness": (completeness, COMPLETENESS_SQL),
         "repeat_variance": (repeat_variance, REPEAT_SQL),
         "group_corr": (group_corr, CORR_SQL),
+        "corr_p_values": (corr_p_values, None),
         "parse_numeric_last": (parse_numeric_last, f"SELECT doc_id, {numeric_answer_sql('text')} AS answer FROM documents"),
         "parse_first_answer": (parse_first_answer, FIRST_SQL),
         "parse_answer_dict": (parse_answer_dict, ANSWER_DICT_SQL),

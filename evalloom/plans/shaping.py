@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.functions import arrays, text
-from evalloom.operators import breakdown, distribution, joins, reshape
+from evalloom.operators import breakdown, distribution, generation, joins, reshape, windows
 from evalloom.plans.tables import r, table
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -320,6 +320,90 @@ SETS_SQL = """
 """
 
 
+def group_reconstruction(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders rebuilt from their lines: first line's flag and the line numbers in order of shipping."""
+    lines = table(spark, folder, "lineitem").withColumn("line", F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")))
+    out = reshape.reconstruct_groups(lines, "l_orderkey", F.col("l_shipdate"), ["l_returnflag"], "line")
+    return out.select("l_orderkey", "n", F.concat_ws(" ", "members").alias("members"))
+
+
+RECONSTRUCTION_SQL = "SELECT l_orderkey, count(*) AS n, string_agg(l_linenumber || '-' || l_partkey, ' ' ORDER BY l_shipdate, l_linenumber || '-' || l_partkey) AS members FROM lineitem GROUP BY 1"
+
+
+def object_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as scene objects: the only one of their name in a brand, of usable size, of no skipped kind; with a question each."""
+    kept = generation.usable_objects(table(spark, folder, "part"), "p_brand", "p_name", F.col("p_size"), 5, 40, ["red widget", "small ring"])
+    return kept.select("p_partkey", generation.camera_question(F.col("p_name")).alias("question"))
+
+
+OBJECTS_SQL = """SELECT p_partkey, 'How far is the ' || p_name || ' from the camera, in metres?' AS question FROM (SELECT *, count(*) OVER (PARTITION BY p_brand, p_name) AS k FROM part)
+    WHERE k = 1 AND p_size BETWEEN 5 AND 40 AND p_name NOT IN ('red widget', 'small ring')"""
+
+
+def size_questions(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "embeddings").select("vec_id", F.concat(F.lit("box "), "label").alias("name"), *[F.round(F.abs(F.col("embedding")[i].cast("double")), 3).alias(d) for i, d in enumerate(("length", "width", "height"))])
+    return generation.size_questions(e, ["vec_id"], "name", ["length", "width", "height"], 2)
+
+
+SIZES_SQL = " UNION ALL ".join(f"SELECT vec_id, '{d}' AS dimension, 'What is the {d} of the box ' || label || ' in metres?' AS question, round(round(abs(embedding[{i + 1}]::DOUBLE), 3) + 1e-9, 2) AS answer FROM embeddings" for i, d in enumerate(("length", "width", "height")))
+
+
+def pair_questions(spark: SparkSession, folder: str) -> DataFrame:
+    return generation.pair_questions(table(spark, folder, "supplier"), "s_nationkey", "s_suppkey", "s_acctbal", 50.0, 400.0)
+
+
+PAIRQ_SQL = """SELECT a.s_nationkey, a.s_suppkey AS id_a, b.s_suppkey AS id_b, 'How far apart are the ' || a.s_suppkey || ' and the ' || b.s_suppkey || ', in metres?' AS question,
+    round(abs(a.s_acctbal - b.s_acctbal) + 1e-9, 1) AS answer FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
+    WHERE abs(a.s_acctbal - b.s_acctbal) BETWEEN 50 AND 400"""
+
+
+def frequent_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers that occur together in at least two orders."""
+    return generation.frequent_pairs(table(spark, folder, "lineitem"), "l_orderkey", "l_suppkey", 2)
+
+
+FREQUENT_SQL = """WITH s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT a.l_suppkey AS item_a, b.l_suppkey AS item_b, count(*) AS views FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey
+    GROUP BY 1, 2 HAVING count(*) >= 2"""
+
+
+def paired_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with the lines that apply to them: those shipped within 30 days."""
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"), "o_orderdate")
+    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_shipdate")
+    out = generation.paired_entries(orders, lines, "k", F.abs(F.datediff(F.col("q.l_shipdate"), F.col("v.o_orderdate"))) <= 30)
+    return out.groupBy(F.col("v.k").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+
+
+PAIRED_SQL = "SELECT o_orderkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND abs(date_diff('day', o_orderdate::DATE, l_shipdate::DATE)) <= 30 GROUP BY 1"
+
+
+def nearest_in_plane(spark: SparkSession, folder: str) -> DataFrame:
+    """For each embedding (first two numbers) the nearest one of label 0."""
+    e = table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    out = joins.nearest_in_plane(e, "vec_id", e.where("label = 0").withColumnRenamed("vec_id", "point"), "point", ["x", "y"], 0.05)
+    return out.select("vec_id", "point", r("distance").alias("distance"))
+
+
+PLANE_SQL = """WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)
+    SELECT a.vec_id, b.vec_id AS point, round(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)), 6) AS distance FROM e a JOIN e b ON b.label = 0
+    QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)), b.vec_id) = 1"""
+
+
+def scaled_means(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem").select("l_returnflag", F.col("l_discount").alias("rate"), F.col("l_quantity").alias("amount"), "l_linestatus")
+    out = breakdown.scaled_means(lines, ["l_returnflag"], ["rate", "amount"], ["amount"], F.col("l_linestatus") == "F")
+    return out.select("l_returnflag", "n", r("rate").alias("rate"), r("amount").alias("amount"))
+
+
+def top_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    out = windows.top_distinct(table(spark, folder, "part"), "p_type", "p_brand", [F.desc("p_retailprice"), F.col("p_partkey")], 5)
+    return out.select("p_type", "p_brand", "p_partkey", F.col("position").cast("bigint").alias("position"))
+
+
+DISTINCT_SQL = """WITH b AS (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_retailprice DESC, p_partkey) = 1)
+    SELECT p_type, p_brand, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS position FROM b QUALIFY position <= 5"""
+
+
 def catalog() -> dict:
     return {
         "flatten_qa": (flatten_qa, FLATTEN_SQL),
@@ -352,4 +436,13 @@ def catalog() -> dict:
         "crosstab_pivot": (crosstab_pivot, CROSSTAB_SQL),
         "pivot_scores": (pivot_scores, PIVOT_SQL),
         "set_ops": (set_ops, SETS_SQL),
+        "group_reconstruction": (group_reconstruction, RECONSTRUCTION_SQL),
+        "object_selection": (object_selection, OBJECTS_SQL),
+        "size_questions": (size_questions, SIZES_SQL),
+        "pair_questions": (pair_questions, PAIRQ_SQL),
+        "frequent_pairs": (frequent_pairs, FREQUENT_SQL),
+        "paired_entries": (paired_entries, PAIRED_SQL),
+        "nearest_in_plane": (nearest_in_plane, PLANE_SQL),
+        "scaled_means": (scaled_means, "SELECT l_returnflag, count(*) AS n, round(100 * avg(l_discount), 6) AS rate, round(avg(l_quantity), 6) AS amount FROM lineitem WHERE l_linestatus <> 'F' GROUP BY 1"),
+        "top_distinct": (top_distinct, DISTINCT_SQL),
     }
