@@ -1,9 +1,7 @@
-"""Schemas of the records that are read and written. Names and types are those of the artifacts."""
+"""Schemas, as DDL texts for spark.read.schema, of the records that are read and written. Names and types are those of the artifacts."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 _QUESTION = "question:string,answer:string,question_type:string,question_family:string,dimension:string,anchor_kind:string,anchor_ids:array<string>,anchor_labels:array<string>,primary_object:string"
 _CLIP = (
     "clip_id string, group_id string, engine string, scene_id string, room_bucket string, motion_family string, trajectory string, direction string, variation_tag string, radius double, "
@@ -13,10 +11,6 @@ _ASKED = "question string, ground_truth string, question_type string, question_f
 _SCORED = "prediction string, prediction_parse double, ground_truth_parse double, prediction_parse_success boolean, MRA double, `MRA:.5:.95:.05` double, CAPE double"
 
 
-def _ddl(text: str) -> StructType:
-    return StructType.fromDDL(text)
-
-
 def _struct(columns: str) -> str:
     """Top-level DDL columns as the inside of a struct type."""
     parts, depth, start = [], 0, 0
@@ -29,32 +23,32 @@ def _struct(columns: str) -> str:
     return "struct<" + ",".join(parts) + ">"
 
 
-MULTIVIEW = _ddl(
+MULTIVIEW = (
     "image_id string, image_path string, object_type string, object_id string, scene_id string, object_of_interest_id string, move_pattern string, camera_pitch_action string, agent_position string, "
     "field_of_view int, camera_pitch_degree int, agent_rotation int, pose_index int, num_objects_visible int, trajectory_id string, num_views_in_trajectory int, all_view_paths array<string>, "
     "qa_pairs array<struct<question:string,answer:string,question_type:string,question_id:string,primary_object:string>>"
 )
-CLIP = _ddl(f"{_CLIP}, {_ASKED}")
-NESTED_QA = _ddl(f"{_CLIP}, questions array<struct<{_QUESTION}>>")
-GROUP = _ddl(
+CLIP = f"{_CLIP}, {_ASKED}"
+NESTED_QA = f"{_CLIP}, questions array<struct<{_QUESTION}>>"
+GROUP = (
     "group_id string, engine string, scene_id string, room_bucket string, motion_family string, question_type string, question_family string, dimension string, radius double, anchor_kind string, "
     "anchor_ids array<string>, anchor_labels array<string>, shared_ground_truth string, clip_ids array<string>, target_group_size int, selected_group_size int"
 )
-IMAGE_GROUP = _ddl("group_id string, engine string, scene_id string, question_type string, question_family string, anchor_ids array<string>, anchor_labels array<string>, image_ids array<string>, images_selected int")
-SCORED = _ddl(f"doc_id bigint, filtered_resps array<string>, sceneshift_score {_struct(f'{_CLIP}, {_ASKED}, edit_type string, {_SCORED}')}")
-HIGHER_ORDER = _ddl("constraint_id string, constraint_row_index int, constraint_dimension string, higher_order_analysis string, prediction_parse double, ground_truth_parse double, prediction_parse_success boolean")
-SCENE_VARIATION = _ddl(
+IMAGE_GROUP = "group_id string, engine string, scene_id string, question_type string, question_family string, anchor_ids array<string>, anchor_labels array<string>, image_ids array<string>, images_selected int"
+SCORED = f"doc_id bigint, filtered_resps array<string>, sceneshift_score {_struct(f'{_CLIP}, {_ASKED}, edit_type string, {_SCORED}')}"
+HIGHER_ORDER = "constraint_id string, constraint_row_index int, constraint_dimension string, higher_order_analysis string, prediction_parse double, ground_truth_parse double, prediction_parse_success boolean"
+SCENE_VARIATION = (
     "image_path string, question string, ground_truth string, question_type string, edit_type string, scene_name string, image_id string, original_image_path string, question_id string, primary_object string, "
     "group_id string, translation_direction string, scene_edit_id string, camera_id string, translation_distance double, anchor_labels array<string>, anchor_kind string, dimension string"
 )
-CANDIDATE = _ddl(
+CANDIDATE = (
     "group_id string, scene_id string, question string, ground_truth string, question_type string, question_family string, anchor_ids array<string>, anchor_labels array<string>, "
     "available_clips array<struct<trajectory:string,direction:string,variation_tag:string,radius:double,start_angle_offset:double,cycle_count:int,quality_score:double>>"
 )
-SCAN = _ddl(
+SCAN = (
     "scene_id string, room_bucket string, eye_y double, objects map<string,struct<object_type:string,object_position:array<double>,centroid_xz:array<double>,centroid_height:double,obj_radius:double,"
     "buckets:map<string,array<struct<pos:array<double>,angle:double,distance:double>>>>>"
 )
-VISIBILITY = _ddl("anchor_ids array<string>, frames map<string,array<string>>")
-CONVERSATION = _ddl("video string, image string, conversations array<struct<`from`:string,value:string>>")
-RESULTS = _ddl("results map<string,map<string,map<string,double>>>, configs map<string,string>, model_name string")
+VISIBILITY = "anchor_ids array<string>, frames map<string,array<string>>"
+CONVERSATION = "video string, image string, conversations array<struct<`from`:string,value:string>>"
+RESULTS = "results map<string,map<string,map<string,double>>>, configs map<string,string>, model_name string"

@@ -11,12 +11,12 @@ from pyspark.sql import types as T
 from evalloom.operators.joins import require_present
 
 
-def json_array(spark: SparkSession, path: str | list[str], schema: T.StructType, **options) -> DataFrame:
+def json_array(spark: SparkSession, path: str | list[str], schema: T.StructType | str, **options) -> DataFrame:
     """Files that hold one JSON array (or object) each. Unknown fields are dropped, missing ones null."""
     return spark.read.schema(schema).options(multiLine=True, **options).json(path)
 
 
-def json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType, constants: dict | None = None, **options) -> DataFrame:
+def json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType | str, constants: dict | None = None, **options) -> DataFrame:
     """One record a line; ``constants`` are added as columns, such as the task a file belongs to."""
     out = spark.read.schema(schema).options(**options).json(path)
     return out.withColumns({k: F.lit(v) for k, v in (constants or {}).items()})

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evalloom import schemas
 from evalloom.operators import consistency, generation, joins, reshape, windows
@@ -67,7 +68,7 @@ def test_rebuilding(spark):
 
 
 def test_schemas(spark, tmp_path):
-    assert schemas.SCORED["sceneshift_score"].dataType["MRA:.5:.95:.05"].dataType.simpleString() == "double"
+    assert StructType.fromDDL(schemas.SCORED)["sceneshift_score"].dataType["MRA:.5:.95:.05"].dataType.simpleString() == "double"
     record = {"image_id": "i1", "scene_id": "s", "qa_pairs": [{"question": "q", "answer": "[0.4, 0.3, 0.1]", "question_type": "object_size", "question_id": "1", "primary_object": "bed"}]}
     (tmp_path / "qa.jsonl").write_text(json.dumps(record) + "\n")
     flat = reshape.flatten(readers.json_lines(spark, str(tmp_path / "qa.jsonl"), schemas.MULTIVIEW), ["image_id"], "qa_pairs")
