@@ -25,7 +25,7 @@ def best_constant(df: DataFrame, keys: list[str], target: str) -> DataFrame:
     near = candidates.withColumn("_cell", F.explode(F.array(cell(F.col("constant")) - 1, cell(F.col("constant")), cell(F.col("constant")) + 1)))
     pairs = near.join(positive.withColumn("_cell", cell(F.col("_t"))), [*keys, "_cell"])
     sums = pairs.groupBy(*keys, "constant").agg(F.sum(mra(F.col("constant"), F.col("_t")) * F.col("_n")).alias("_s"))
-    scored = sums.join(totals, keys) if keys else sums.crossJoin(F.broadcast(totals))  # totals is one row without keys
+    scored = sums.join(totals, keys) if keys else sums.withColumn("n", totals.scalar())
     scored = scored.withColumn("mean_mra", F.round(F.col("_s") / F.col("n"), 9))
     top = scored.withColumn("_r", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("mean_mra"), "constant"))).where("_r = 1")
     return top.select(*keys, "constant", "mean_mra", "n")

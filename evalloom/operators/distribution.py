@@ -13,7 +13,8 @@ def share_table(df: DataFrame, key: str, total: int | None = None, digits: int =
     """
     rows = df.where(F.col(key).isNotNull()) if drop_null else df
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    whole = F.lit(max(1, total)) if total is not None else F.sum("n").over(Window.partitionBy(F.lit(0)))
+    # A scalar subquery rather than a window over everything, which would bring all counts to one task.
+    whole = F.lit(max(1, total)) if total is not None else rows.agg(F.count(F.lit(1))).scalar()
     return counts.withColumn("share", F.round(F.lit(100.0 if percent else 1.0) * F.col("n") / whole, digits)).orderBy(F.desc("n"), F.col(key).cast("string"))
 
 

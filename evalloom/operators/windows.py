@@ -78,7 +78,8 @@ def water_fill(df: DataFrame, bucket: str, order: list, total: int) -> DataFrame
     for b, n in take.items():
         quota = F.when(F.col(bucket) == F.lit(b), F.lit(n)).otherwise(quota)
     ranked = df.where(quota > 0).withColumn("level", F.row_number().over(Window.partitionBy(bucket).orderBy(*order)))
-    return ranked.where(F.col("level") <= quota)
+    # The constant bound lets Spark limit each bucket before the shuffle; the quota is the bucket's own.
+    return ranked.where(F.col("level") <= F.lit(max(take.values(), default=0))).where(F.col("level") <= quota)
 
 
 def cap_running_size(df: DataFrame, bucket: str, order: list, size: str, cap: float) -> DataFrame:

@@ -92,4 +92,6 @@ def test_best_constant_against_brute_force(spark):
 
     candidates = sorted({t * f for t in targets if t > 0 for f in [1.0, *CANDIDATE_FACTORS, *[2 - f for f in CANDIDATE_FACTORS]]})
     best = max(candidates, key=lambda c: (score(c), -c))
+    whole = baseline.best_constant(df, [], "t").head()
+    assert (whole["constant"], whole["n"]) == (got["constant"], got["n"])
     assert got["constant"] == best and got["mean_mra"] == score(best) and got["n"] == len(targets)
