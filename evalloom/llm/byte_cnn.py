@@ -60,13 +60,14 @@ class ByteCNN:
 
     def _step(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> dict:
         """Gradients of the mean cross entropy on one batch of byte windows."""
-        n, e = len(x), self.embed[x]
+        n, e = len(x), self.embed[x.T]  # places first: maxima then run over long rows
         pooled, at, cols = [], {}, {}
         for w in WIDTHS:
-            c = np.lib.stride_tricks.sliding_window_view(e, w, axis=1).transpose(0, 1, 3, 2).reshape(n, WINDOW - w + 1, w * EMBED)
-            z = c @ self.filters[w] + self.bias[w]
-            at[w], cols[w] = z.argmax(axis=1), c
-            pooled.append(np.take_along_axis(z, at[w][:, None, :], axis=1)[:, 0])
+            c = np.concatenate([e[j : WINDOW - w + 1 + j] for j in range(w)], axis=2)
+            z = c.reshape(-1, w * EMBED) @ self.filters[w]
+            z = np.ascontiguousarray(z.reshape(WINDOW - w + 1, n * FILTERS).T)
+            at[w], cols[w] = z.argmax(axis=1).reshape(n, FILTERS), c
+            pooled.append(z.max(axis=1).reshape(n, FILTERS) + self.bias[w])
         h = np.concatenate(pooled, axis=1)
         active = (h > 0) & (rng.random(h.shape) > 0.3)
         h = np.where(active, h / 0.7, 0).astype(np.float32)
@@ -80,7 +81,7 @@ class ByteCNN:
         rows = np.arange(n)[:, None]
         for i, w in enumerate(WIDTHS):
             d = dh[:, i * FILTERS : (i + 1) * FILTERS]
-            picked = cols[w][rows, at[w]]
+            picked = cols[w][at[w], rows]
             grads["filters", w] = np.einsum("nf,nfk->kf", d, picked)
             grads["bias", w] = d.sum(axis=0)
             back = d[:, :, None] * self.filters[w].T[None]
@@ -120,13 +121,13 @@ class ByteCNN:
             self._tables = {w: [np.ascontiguousarray(self.embed @ self.filters[w][j * EMBED : (j + 1) * EMBED]) for j in range(w)] for w in WIDTHS}
         out = np.empty((len(x), len(self.labels)), np.float32)
         for s in range(0, len(x), 128):
-            b = x[s : s + 128].astype(np.intp)
+            b = np.ascontiguousarray(x[s : s + 128].T.astype(np.intp))  # places first, so that the maximum runs over long rows
             pooled = []
             for w in WIDTHS:
-                z = self._tables[w][0][b[:, : WINDOW - w + 1]]
+                z = self._tables[w][0].take(b[: WINDOW - w + 1], axis=0)
                 for j in range(1, w):
-                    z += self._tables[w][j][b[:, j : WINDOW - w + 1 + j]]
-                pooled.append(np.maximum(z.max(axis=1) + self.bias[w], 0))
+                    z += self._tables[w][j].take(b[j : WINDOW - w + 1 + j], axis=0)
+                pooled.append(np.maximum(z.max(axis=0) + self.bias[w], 0))
             z = np.concatenate(pooled, axis=1) @ self.out + self.out_bias
             z -= z.max(axis=1, keepdims=True)
             out[s : s + 128] = z - np.log(np.exp(z).sum(axis=1, keepdims=True))

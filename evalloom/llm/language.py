@@ -37,8 +37,11 @@ HAN_WORD = 0.6  # words that a Han character counts for
 
 SENTENCE = re.compile(r"(?:[.!?…]+[\"'»”’)\]]*(?=\s)|[。！？]+[”’」』）]*|\n+)\s*")
 BRACKETS = re.compile(r"\([^()\n]*\)|\[[^\[\]\n]*\]|\{[^{}\n]*\}|（[^（）\n]*）|«[^«»\n]*»|„[^„“”\n]*[“”]|“[^“”\n]*”|「[^「」\n]*」|\"[^\"\n]*\"|(?<!\w)'[^'\n]*'(?!\w)|(?<!\w)‘[^‘’\n]*’(?!\w)")
+CODE_MARK = r"0-9_=|<>{}\\/@#$^~"
 _INK = r"[^\s一-鿿，。、：；？！（）]"
-CODE = re.compile(_INK + r"*(?:[0-9_=|<>{}\\/@#$^~]|[a-zà-ÿ][A-Z]|->)" + _INK + "*")
+CODE = re.compile(f"{_INK}*(?:[{CODE_MARK}]|->){_INK}*")  # for texts without blanks between words
+PLAIN = re.compile(rf"(?<!\S)[^\s{CODE_MARK}]+(?!\S)")
+CAMEL = re.compile(r"[a-zà-ÿ][A-Z]")
 HAN = re.compile(r"[㐀-鿿]")
 WORD = re.compile(r"[^\W\d_]+")
 MOJIBAKE = re.compile("[\x80-\xffŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]{2,}")
@@ -68,7 +71,7 @@ def repaired(text: str) -> tuple[str, list[tuple[int, int]]]:
 
 
 def word_count(text: str) -> float:
-    han = len(HAN.findall(text))
+    han = 0 if text.isascii() else len(HAN.findall(text))
     return han * HAN_WORD + len(WORD.findall(HAN.sub(" ", text) if han else text))
 
 
@@ -89,7 +92,14 @@ def units(text: str) -> list[tuple[int, int, str, float]]:
     out = [(a, b, masked[a:b]) for a, b in zip(at, at[1:], strict=False)]
     cleaned = []
     for a, b, s in out:
-        s = " ".join(w for w in CODE.sub(" ", s).split() if WORD.search(w)).lower()
+        # Words with a digit or another mark of code, or with a capital inside, are names, numbers or code.
+        if not s.isascii() and HAN.search(s):
+            kept = CODE.sub(" ", s).split()
+        else:
+            kept = PLAIN.findall(s)
+            if CAMEL.search(s):
+                kept = [w for w in kept if not CAMEL.search(w)]
+        s = " ".join(kept).lower()
         n = word_count(s)
         if n >= 1:
             cleaned.append((a, b, s, n))
@@ -106,6 +116,9 @@ def units(text: str) -> list[tuple[int, int, str, float]]:
 
 def decode(scores: np.ndarray, words: list[float]) -> list[int]:
     """The most likely label of each unit if every change costs SWITCH; short units weigh less."""
+    top = scores.argmax(axis=1)
+    if (top == top[0]).all():
+        return [int(top[0])] * len(top)
     e = np.maximum(scores, FLOOR) * np.minimum(1.0, np.asarray(words) / LEAST_WORDS)[:, None]
     best, back = e[0], []
     for row in e[1:]:
