@@ -26,7 +26,7 @@ def cap_per_contributor(df: DataFrame, ident: str, contributor: str, score: str,
 
     temperature 1 is sampling without replacement with probability proportional to the score; 0 keeps the best scores. Rows
     of blank, NaN or (temperature > 0) negative score come last; ties go to the smaller ident. Rows without a contributor are all kept.
-    ``ident`` must be unique; a null ident ranks first among ties. Returns (ident, contributor, score, reservoir_key, kept); other columns of
+    A null ident ranks first among ties; rows that repeat an ident are ranked and counted as rows of their own. Returns (ident, contributor, score, reservoir_key, kept); other columns of
     ``df`` are not looked at. An empty table gives none.
 
     The cap-th key of each contributor is found in two levels, over (contributor, salt) and then over at most salts * cap rows,

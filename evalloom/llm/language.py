@@ -237,7 +237,7 @@ STRETCHES = "stretches array<struct<start:int,end:int,lang:string,confidence:dou
 def language_stretches(docs: DataFrame, ident: str, text: str, model: ByteCNN, keep: list[str] | None = None, chunk: int = 256) -> DataFrame:
     """(ident, kept columns, stretches): the stretches of each text in reading order; an empty array for a null, empty or wordless text.
 
-    start and end are places in the text as stored. One pass over the rows in their partitions, whole texts, no shuffle.
+    Rows are treated one by one, so repeated ones have equal results; a null ident is kept. start and end are places in the text as stored. One pass over the rows in their partitions, whole texts, no shuffle.
     """
     keep = keep or []
     ship_package(docs.sparkSession)

@@ -18,7 +18,8 @@ def overlap_pairs(records: DataFrame, ident: str, side: str, place: Column, toke
     """All pairs of an evaluation and a training record with the same ``place``, the same multiset of ``tokens`` and values less than ``within`` apart.
 
     ``side``: boolean column, true for evaluation. Records with a null place, tokens (or none of them) or value are in no pair.
-    Returns (eval_id, train_id, and for each column x of ``extra`` eval_x and train_x), one row a pair of records.
+    Returns (eval_id, train_id, and for each column x of ``extra`` eval_x and train_x), one row a pair of records; a repeated record gives its
+    pairs again. A null token is an empty one and must have been removed. An empty table gives none.
 
     A record is the set of shingles (place, one token with its count, cell of the value); cells are four times ``within`` wide and an
     evaluation record lies in every cell that values nearer than ``within`` fall into (one or two), so a pair meets in exactly one

@@ -60,7 +60,7 @@ def pack_texts(items: DataFrame, ident: str, tokens: str, prompt: str, capacity:
     Limits of a container: ``capacity`` tokens, ``most_segments`` pieces and ``most_loss`` loss-bearing tokens (those after the first
     ``prompt`` tokens of a text; capacity if not given). A text is cut only if it exceeds the capacity or, by itself, the loss limit: into
     pieces of the smaller of the two and one rest. A full piece is a container of its own; all else is packed. Texts without tokens (null,
-    empty) take no room and are left out. ``ident`` should be unique. The pieces of a text follow each other without gap or overlap.
+    empty) take no room and are left out. A row that repeats an ident is a text of its own. The pieces of a text follow each other without gap or overlap.
 
     Items go to ceil(items / block_items) blocks by hash, each packed in one task of bounded size, so work is proportional to the items.
     """

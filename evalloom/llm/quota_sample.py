@@ -99,7 +99,7 @@ def repair(counts: dict[tuple, int], targets: dict[tuple[int, str], tuple[float,
 def quota_sample(groups: DataFrame, ident: str, axes: list[str], targets: dict[tuple[str, str], tuple[float, int]], size: int, seed: int = 11) -> tuple[DataFrame, list[tuple]]:
     """The sampled rows of ``groups`` (ident, axes), and the report: (axis, category, target_share, min_count, available, needed, sampled, short).
 
-    ``ident`` must be unique. Within a signature rows are taken in hash order, so the choice is random but the same on every run. ``short`` marks
+    ``ident`` should be unique: a repeated row is a row of its own, though all repeats of it share one place in the order. Within a signature rows are taken in hash order, so the choice is random but the same on every run. ``short`` marks
     targets for which fewer rows exist than the larger of min_count and target_share * size.
     """
     spark: SparkSession = groups.sparkSession

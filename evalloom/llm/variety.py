@@ -46,7 +46,8 @@ def density_weighted(df: DataFrame, ident: str, setting: list[str], features: li
     """(ident, setting columns, density, draw_key) for every row: the exponential key of a weighted sample with weight 1/density.
 
     ``bound``: the most distinct settings there can be, from the domains of the setting columns; the table of settings is broadcast
-    only if that is at most BROADCAST_ROWS and joined by shuffle otherwise. Smaller keys are drawn first. An empty table gives none.
+    only if that is at most BROADCAST_ROWS and joined by shuffle otherwise. Smaller keys are drawn first. Rows that repeat an ident have the same
+    key and count each. Columns of ``df`` that are not named are not looked at. An empty table gives none.
     """
     base = df.select(ident, *setting)
     table = setting_density(base, setting, features, tables, hashes, width, seed).select(*[F.col(c).alias(f"_{c}") for c in setting], "density")
