@@ -78,3 +78,55 @@ def key_values(text: Column) -> Column:
 def stable_id(*parts: Column, seed: str = "") -> Column:
     """48 bits of SHA-256 over the parts: the same on every run and in every engine."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), *parts), 256), 1, 12), 16, 10).cast("long")
+
+
+def asked(conversations: Column) -> Column:
+    """The first human turn of a conversation without media tags."""
+    said = F.get(F.filter(conversations, lambda c: c["from"] == "human"), F.lit(0))["value"]
+    return F.trim(F.regexp_replace(said, "<(?:image|video)>", ""), F.lit(" \n\t"))
+
+
+def question_kind(question: Column) -> Column:
+    """pair_distance, camera_distance, size or unknown, by words. 'distance between' alone decides; 'distance from' only without a camera."""
+    q = F.lower(question)
+    has = lambda w: F.contains(q, F.lit(w))
+    pair = has("distance between") | (has("distance from") & ~has("camera"))
+    return F.when(pair, "pair_distance").when(has("distance") & has("camera"), "camera_distance").when(has("width") | has("height") | has("length"), "size").otherwise("unknown")
+
+
+def scene_edit(edit: Column) -> Column:
+    """Variation of an edited scene; a turned object is not a turning camera. Null for other edits."""
+    return F.when(edit == "rotate", "obj_rotation").when(edit.isin("translate", "remove"), edit)
+
+
+def camera_variation(motion: Column) -> Column:
+    return F.when(motion == "rotation", "cam_rotation").otherwise(motion)
+
+
+def motion_in_group_id(group_id: Column) -> Column:
+    """The motion word between the engine and the question type of a group id; null if it has another form. Fixed pattern."""
+    return F.nullif(F.regexp_extract(group_id, r"^[a-z]+_(\w+?)_object_(?:pair_distance_center|distance_to_camera|dimensions)(?:_|$)", 1), F.lit(""))
+
+
+def frame_number(name: Column) -> Column:
+    """12 for 'frame_00012.png'; null for other names."""
+    return F.nullif(F.regexp_extract(name, r"(?:^|/)frame_([0-9]+)(?:\.[^/]*)?$", 1), F.lit("")).cast("int")
+
+
+def after_last_slash(name: Column) -> Column:
+    return F.substring_index(name, "/", -1)
+
+
+def primary_label(object_id: Column) -> Column:
+    return F.nullif(F.substring_index(object_id, "|", 1), F.lit(""))
+
+
+def pair_in_question_id(question_id: Column) -> Column:
+    """Struct a, b: the two labels in a pair question's id, each followed by three coordinates. Fixed pattern."""
+    p = r"^object_pair_distance_center_(\w+?)\|[+-]?\d+\.\d+\|[+-]?\d+\.\d+\|[+-]?\d+\.\d+_(\w+?)\|[+-]?\d+\.\d+\|[+-]?\d+\.\d+\|[+-]?\d+\.\d+$"
+    return F.struct(F.nullif(F.regexp_extract(question_id, p, 1), F.lit("")).alias("a"), F.nullif(F.regexp_extract(question_id, p, 2), F.lit("")).alias("b"))
+
+
+def cycles_in_tag(tag: Column) -> Column:
+    """The number before an 'x' that stands as a part of its own: 2 for 'start90_2x'."""
+    return F.nullif(F.regexp_extract(tag, r"(?:^|_)([0-9]+)x(?:_|$)", 1), F.lit("")).cast("int")

@@ -31,9 +31,8 @@ def camera_triangle_violation(a: Column, b: Column, between: Column) -> Column:
 
 
 def scale_of(v: Column) -> Column:
-    """Largest absolute value of the three, 1 if that is 0: what violations are measured against."""
-    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    return F.when(top > 0, top).otherwise(1.0)
+    """Largest absolute value of the three, at least 1e-9: what violations are measured against. Null if one is null."""
+    return F.when(~F.exists(v, lambda x: x.isNull()), F.greatest(F.array_max(F.transform(v, lambda x: F.abs(x))), F.lit(1e-9)))
 
 
 def within(violation: Column, eps: float) -> Column:

@@ -9,10 +9,11 @@ from evalloom.operators.joins import band_pairs
 
 
 def usable_objects(df: DataFrame, scene: str, kind: str, size: Column, least: float, most: float, skip: list[str], visible: Column | None = None) -> DataFrame:
-    """Objects of no skipped kind, with a size within bounds, visible, and the only one of their kind in the scene (counted before the other filters)."""
+    """Objects of no skipped kind, with a size within bounds and visible, that are then the only one of their kind in the scene."""
+    kept = df.where(~F.lower(F.col(kind)).isin(*[s.lower() for s in skip]) & size.between(least, most))
+    kept = kept if visible is None else kept.where(visible)
     alone = F.count(F.lit(1)).over(Window.partitionBy(scene, kind)) == 1
-    kept = df.withColumn("_alone", alone).where("_alone").drop("_alone").where(~F.lower(F.col(kind)).isin(*[s.lower() for s in skip]) & size.between(least, most))
-    return kept if visible is None else kept.where(visible)
+    return kept.withColumn("_alone", alone).where("_alone").drop("_alone")
 
 
 def size_question(label: Column, dimension: Column) -> Column:

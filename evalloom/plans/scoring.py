@@ -211,7 +211,7 @@ def constraint_triangle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 TRIANGLE_SQL = f"""{THREE_SQL} SELECT l_orderkey, greatest(0.0, a - b - c, b - a - c, c - a - b) AS violation, greatest(0.0, abs(a - b) - c, c - a - b) AS camera_violation,
-    CASE WHEN greatest(abs(a), abs(b), abs(c)) > 0 THEN greatest(abs(a), abs(b), abs(c)) ELSE 1.0 END AS scale FROM trio"""
+    greatest(abs(a), abs(b), abs(c), 1e-9) AS scale FROM trio"""
 
 
 def ordered_triplet(spark: SparkSession, folder: str) -> DataFrame:

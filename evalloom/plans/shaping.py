@@ -123,6 +123,23 @@ PREDICATES_SQL = """SELECT len(list_filter(anchor_labels, lambda x: NOT list_con
     FROM clips WHERE anchor_labels IS NOT NULL GROUP BY 1, 2, 3"""
 
 
+def question_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """What the questions of training conversations ask about, read from their words, and the views that tasks vary."""
+    talk = reshape.conversation(F.col("question"), F.coalesce("ground_truth", F.lit("")))
+    task = F.when(F.col("engine") == "thor", "video").otherwise("edit")
+    tasks = {"video": ("video_view", text.camera_variation(F.col("motion_family"))), "edit": ("scene_edit", text.scene_edit(F.lit("rotate")))}
+    clips = table(spark, folder, "clips").select(text.question_kind(text.asked(talk)).alias("kind"), reshape.route(task, {k: F.lit(v[0]) for k, v in tasks.items()}).alias("bucket"), reshape.route(task, {k: v[1] for k, v in tasks.items()}).alias("pattern"))
+    return clips.groupBy("kind", "bucket", "pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+KINDS_SQL = """
+    WITH q AS (SELECT lower(trim(question)) AS q, engine, motion_family AS m FROM clips)
+    SELECT CASE WHEN contains(q, 'distance between') OR (contains(q, 'distance from') AND NOT contains(q, 'camera')) THEN 'pair_distance' WHEN contains(q, 'distance') AND contains(q, 'camera') THEN 'camera_distance'
+        WHEN contains(q, 'width') OR contains(q, 'height') OR contains(q, 'length') THEN 'size' ELSE 'unknown' END AS kind, CASE WHEN engine = 'thor' THEN 'video_view' ELSE 'scene_edit' END AS bucket,
+        CASE WHEN engine <> 'thor' THEN 'obj_rotation' WHEN m = 'rotation' THEN 'cam_rotation' ELSE m END AS pattern, count(*) AS n FROM q GROUP BY 1, 2, 3
+"""
+
+
 def covisible(spark: SparkSession, folder: str) -> DataFrame:
     """For each order the line numbers that all of its return flags share, and how many flags have both lines 1 and 2."""
     seen = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.array_sort(F.collect_set("l_linenumber")).alias("ids"))
@@ -336,8 +353,8 @@ def object_selection(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("p_partkey", generation.camera_question(F.col("p_name")).alias("question"))
 
 
-OBJECTS_SQL = """SELECT p_partkey, 'How far is the ' || p_name || ' from the camera, in metres?' AS question FROM (SELECT *, count(*) OVER (PARTITION BY p_brand, p_name) AS k FROM part)
-    WHERE k = 1 AND p_size BETWEEN 5 AND 40 AND p_name NOT IN ('red widget', 'small ring')"""
+OBJECTS_SQL = """SELECT p_partkey, 'How far is the ' || p_name || ' from the camera, in metres?' AS question FROM part WHERE p_size BETWEEN 5 AND 40 AND p_name NOT IN ('red widget', 'small ring')
+    QUALIFY count(*) OVER (PARTITION BY p_brand, p_name) = 1"""
 
 
 def size_questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -414,6 +431,7 @@ def catalog() -> dict:
         "group_keys": (group_keys, KEYS_SQL),
         "question_texts": (question_texts, QUESTION_SQL),
         "sft_stats": (conversations, CONVERSATIONS_SQL),
+        "question_kinds": (question_kinds, KINDS_SQL),
         "array_predicates": (array_predicates, PREDICATES_SQL),
         "covisible": (covisible, COVISIBLE_SQL),
         "latest_per_key": (latest_per_key, LATEST_SQL),

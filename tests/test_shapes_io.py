@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalloom.functions import arrays, geometry, text
+from evalloom.functions import arrays, frames, geometry, text
 from evalloom.operators import breakdown, reshape
-from evalloom.plans import hooks
+from evalloom.plans import config, hooks
 from evalloom.sources import readers, writers
 from evalloom.streaming import live
 
@@ -124,3 +124,29 @@ def test_stream(spark, tmp_path):
     assert last["n_groups"] == 2 and last["mean_cv"] == pytest.approx(0.5)
     live.append_sink(live.sample_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "copy"), str(tmp_path / "state2")).awaitTermination()
     assert spark.read.json(str(tmp_path / "copy")).count() == 6
+
+
+def test_identifiers(spark):
+    assert [one(spark, text.question_kind(F.lit(q))) for q in ("Distance between A and camera", "distance from A to B", "the distance from the camera", "What WIDTH", "?")] == ["pair_distance", "pair_distance", "camera_distance", "size", "unknown"]
+    assert [one(spark, text.scene_edit(F.lit(x))) for x in ("rotate", "remove", "paint")] == ["obj_rotation", "remove", None] and one(spark, text.camera_variation(F.lit("rotation"))) == "cam_rotation"
+    assert one(spark, text.motion_in_group_id(F.lit("thor_around_object_dimensions_length_1"))) == "around" and one(spark, text.motion_in_group_id(F.lit("x"))) is None
+    assert [one(spark, text.frame_number(F.lit(x))) for x in ("frame_00012", "a/frame_00007.png", "img_1")] == [12, 7, None]
+    pair = one(spark, text.pair_in_question_id(F.lit("object_pair_distance_center_Bed|+1.0|-2.5|0.0_Cup|1.0|2.0|3.0")))
+    assert tuple(pair) == ("Bed", "Cup") and tuple(one(spark, text.pair_in_question_id(F.lit("x")))) == (None, None)
+    assert one(spark, text.cycles_in_tag(F.lit("start90_2x"))) == 2 and one(spark, text.after_last_slash(F.lit("a/b"))) == "b" and one(spark, text.primary_label(F.lit("Bed|1|2"))) == "Bed"
+    talk = F.array(F.struct(F.lit("human").alias("from"), F.lit("<video>\n ask ").alias("value")))
+    assert one(spark, text.asked(talk)) == "ask"
+
+
+def test_frames_and_config(spark):
+    box = lambda p, a, x, y: one(spark, frames.usable_box(F.lit(p), F.lit(a), F.lit(x), F.lit(y)))
+    assert box("passby", 0.002, 0.1, 0.2) and not box("passby", 0.001, 0.5, 0.5) and not box("approach", 0.2, 0.8, 0.5) and box("around", 0.2, 0.9, 0.9) and not box("spherical", 0.2, 0.5, 0.9)
+    arr = lambda *v: F.array(*[F.lit(float(x)) for x in v]).cast("array<double>")
+    quality = lambda p, d, a, c: one(spark, frames.run_quality(F.lit(p), F.lit(d), a, c))
+    assert quality("approach", "fw", arr(0.1, 0.2, 0.3), arr(0.5, 0.5, 0.5)) == pytest.approx(300) and quality("passby", "bw", arr(0.1, 0.1), arr(0.2, 0.8)) == pytest.approx(260)
+    assert quality("spherical", "cw", arr(0.1), arr(0.4)) == pytest.approx(190) and quality("around", "cw", arr(), arr()) == 0
+    assert config.spread((3, 1, 2, 2), 2) == (1, 3) and config.spread((1, 2), 5) == (1, 2, 1, 2, 1) and config.spread((4,), 1) == (4,)
+    assert config.BuildConfig(scenes={"thor": ("a",), "interiorgs": ("b",)}).validate()
+    for bad in ({"group_size": 3}, {"engines": ()}, {"engines": ("x",)}, {}):
+        with pytest.raises(ValueError):
+            config.BuildConfig(**bad).validate()
