@@ -69,8 +69,9 @@ def linked_blocks(links: DataFrame, earlier: tuple[DataFrame, DataFrame] | None
         known = salted_join(given.where(F.col("hub").isNotNull()), hubs.select("hub", "block"), "hub", F.col("record"))
         for old in (known, records):
             rows = rows.unionByName(old.select("record", F.concat(F.lit("!"), "block").alias("hub")))
-    members = rows.repartition("record").dropDuplicates(["record", "hub"])
-    members = cut_lineage(members.withColumn("primary", F.min("hub").over(Window.partitionBy("record"))))
+    # Repeats go on the map side, and no step gathers the rows of one record: neither copies nor a record of very many hubs make a hot task.
+    members = cut_lineage(rows.distinct())
+    members = cut_lineage(members.join(members.groupBy("record").agg(F.min("hub").alias("primary")), "record"))
     pairs = members.select("primary", "hub").distinct()
     stars = pairs.groupBy("hub").agg(F.min("primary").alias("low"), F.max("primary").alias("high")).where(F.col("low") != F.col("high"))
     edges = pairs.join(stars.select("hub", "low"), "hub").select(F.col("primary").alias("u"), F.col("low").alias("v"))
