@@ -68,14 +68,14 @@ def test_rebuilding(spark):
 
 
 def test_schemas(spark, tmp_path):
-    assert StructType.fromDDL(schemas.SCORED)["sceneshift_score"].dataType["MRA:.5:.95:.05"].dataType.simpleString() == "double"
+    assert StructType.fromDDL(schemas.scored("score"))["score"].dataType["MRA:.5:.95:.05"].dataType.simpleString() == "double"
     record = {"image_id": "i1", "scene_id": "s", "qa_pairs": [{"question": "q", "answer": "[0.4, 0.3, 0.1]", "question_type": "object_size", "question_id": "1", "primary_object": "bed"}]}
     (tmp_path / "qa.jsonl").write_text(json.dumps(record) + "\n")
     flat = reshape.flatten(readers.json_lines(spark, str(tmp_path / "qa.jsonl"), schemas.MULTIVIEW), ["image_id"], "qa_pairs")
     assert flat.head()["answer"] == "[0.4, 0.3, 0.1]"
-    sample = {"doc_id": 1, "filtered_resps": ["1.5"], "sceneshift_score": {"clip_id": "c", "MRA": 0.9, "MRA:.5:.95:.05": 0.9, "prediction": "1.5"}}
+    sample = {"doc_id": 1, "filtered_resps": ["1.5"], "score": {"clip_id": "c", "MRA": 0.9, "MRA:.5:.95:.05": 0.9, "prediction": "1.5"}}
     (tmp_path / "s.jsonl").write_text(json.dumps(sample) + "\n")
-    row = readers.json_lines(spark, str(tmp_path / "s.jsonl"), schemas.SCORED, {"_task": "t"}).select("doc_id", "_task", "sceneshift_score.*").head()
+    row = readers.json_lines(spark, str(tmp_path / "s.jsonl"), schemas.scored("score"), {"_task": "t"}).select("doc_id", "_task", "score.*").head()
     assert row["MRA:.5:.95:.05"] == 0.9 and row["clip_id"] == "c"
     for name in ("CLIP", "NESTED_QA", "GROUP", "IMAGE_GROUP", "HIGHER_ORDER", "SCENE_VARIATION", "CANDIDATE", "SCAN", "VISIBILITY", "CONVERSATION", "RESULTS"):
         assert spark.createDataFrame([], getattr(schemas, name)).count() == 0
