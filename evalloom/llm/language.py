@@ -35,12 +35,12 @@ SWITCH = 3.0  # log-odds that a change of language must bring
 FLOOR = -7.0
 HAN_WORD = 0.6  # words that a Han character counts for
 
-SENTENCE = re.compile(r"(?:[.!?…]+[\"'»”’)\]]*(?=\s)|[。！？]+[”’」』）]*|\n+)\s*")
+SENTENCE = re.compile(r"(?:(?<![.!?…])[.!?…]++[\"'»”’)\]]*(?=\s)|[。！？]+[”’」』）]*|\n+)\s*")
 BRACKETS = re.compile(r"\([^()\n]*\)|\[[^\[\]\n]*\]|\{[^{}\n]*\}|（[^（）\n]*）|«[^«»\n]*»|„[^„“”\n]*[“”]|“[^“”\n]*”|「[^「」\n]*」|\"[^\"\n]*\"|(?<!\w)'[^'\n]*'(?!\w)|(?<!\w)‘[^‘’\n]*’(?!\w)")
 CODE_MARK = r"0-9_=|<>{}\\/@#$^~"
-_INK = r"[^\s一-鿿，。、：；？！（）]"
-CODE = re.compile(f"{_INK}*(?:[{CODE_MARK}]|->){_INK}*")  # for texts without blanks between words
-PLAIN = re.compile(rf"(?<!\S)[^\s{CODE_MARK}]+(?!\S)")
+INK = re.compile(r"[^\s一-鿿，。、：；？！（）]++")  # what stands for a word where there are no blanks between words
+CODE = re.compile(f"[{CODE_MARK}]")
+PLAIN = re.compile(rf"(?<!\S)[^\s{CODE_MARK}]++(?!\S)")
 CAMEL = re.compile(r"[a-zà-ÿ][A-Z]")
 HAN = re.compile(r"[㐀-鿿]")
 WORD = re.compile(r"[^\W\d_]+")
@@ -81,12 +81,14 @@ def units(text: str) -> list[tuple[int, int, str, float]]:
     Text that was decoded wrongly is decoded again first; the places refer to the text as it is stored.
     """
     text, steps = repaired(text)
-    masked, cuts = text, {0, len(text)}
+    pieces, last, cuts = [], 0, {0, len(text)}
     for m in BRACKETS.finditer(text):
         if word_count(m.group()) < LEAST_WORDS:
-            masked = masked[: m.start()] + " " * (m.end() - m.start()) + masked[m.end() :]
+            pieces += [text[last : m.start()], " " * (m.end() - m.start())]
+            last = m.end()
         else:
             cuts |= {m.start(), m.end()}
+    masked = "".join([*pieces, text[last:]])
     cuts.update(m.end() for m in SENTENCE.finditer(masked))
     at = sorted(cuts)
     out = [(a, b, masked[a:b]) for a, b in zip(at, at[1:], strict=False)]
@@ -94,7 +96,7 @@ def units(text: str) -> list[tuple[int, int, str, float]]:
     for a, b, s in out:
         # Words with a digit or another mark of code, or with a capital inside, are names, numbers or code.
         if not s.isascii() and HAN.search(s):
-            kept = CODE.sub(" ", s).split()
+            kept = INK.sub(lambda m: " " if CODE.search(m.group()) else m.group(), s).split()
         else:
             kept = PLAIN.findall(s)
             if CAMEL.search(s):

@@ -1,6 +1,7 @@
 """Packing, mixing and languages: limits, exact round trips, held-out accuracy and edge cases."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -135,3 +136,14 @@ def test_label_language(spark):
     labels = ["en-GB", "English", "espanol", "Español", "zh-Hans", "FRA", " DE ", "it_CH", "ca", "??", "", None, "unknown", "Português", "中文"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in labels], "l string").select(label_language(F.col("l"))).collect()]
     assert got == ["en", "en", "es", "es", "zh", "fr", "de", "it", None, None, None, None, None, "pt", "zh"]
+
+
+def test_hostile_long_texts_take_linear_time():
+    n = 300_000
+    began = time.perf_counter()
+    for text in ("." * n, "x" * n, "(" * n, "(a) " * (n // 4), "中" + "x" * n, "中" + "x1 " * (n // 3), "'" * n, '"a b" ' * (n // 6), "Ã¼" * (n // 2), "a. " * (n // 3), "\n" * n, "1" * n, "«" * n):
+        units(text)
+    assert time.perf_counter() - began < 20
+    assert sum(u[3] for u in units("word " * n)) == n
+    enc = tok.encoding(tok.RANKS)
+    assert len(enc.encode_ordinary("word " * n)) >= n
