@@ -221,16 +221,16 @@ def fit_on_documents(samples: list[tuple[str, str]], docs: DataFrame, ident: str
 
 
 def label_language(label: Column) -> Column:
-    """The two-letter code that a label names, in any way of writing it; null where it is blank or names none of the languages.
+    """The two-letter code of the first word of a label that names one of the languages, as a code or in words; null where none does."""
+    plain = F.translate(F.lower(label), "áàâäãåéèêëíìîïóòôöõúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn")
 
-    What follows '-' or '_' (a region or script) is no part of the name.
-    """
-    key = F.lower(F.trim(F.regexp_replace(F.substring_index(F.substring_index(F.trim(label), "-", 1), "_", 1), r"[^\p{L}\p{M}]", "")))
-    key = F.translate(key, "áàâäãåéèêëíìîïóòôöõúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn")
-    code = F.lit(None).cast("string")
-    for c, names in LANGUAGE_NAMES.items():
-        code = F.when(key.isin(*names), c).otherwise(code)
-    return code
+    def code(word: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for c, names in LANGUAGE_NAMES.items():
+            out = F.when(word.isin(*names), c).otherwise(out)
+        return out
+
+    return F.get(F.filter(F.transform(F.split(plain, r"[^\p{L}\p{M}]+"), code), lambda x: x.isNotNull()), F.lit(0))
 
 
 STRETCHES = "stretches array<struct<start:int,end:int,lang:string,confidence:double,words:double>>"

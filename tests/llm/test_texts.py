@@ -133,9 +133,9 @@ def test_pieces():
 
 
 def test_label_language(spark):
-    labels = ["en-GB", "English", "espanol", "Español", "zh-Hans", "FRA", " DE ", "it_CH", "ca", "??", "", None, "unknown", "Português", "中文"]
+    labels = ["en-GB", "English", "espanol", "Español", "zh-Hans", "FRA", " DE ", "it_CH", "ca", "??", "", None, "unknown", "Português", "中文", "Brazilian Portuguese", "English (UK)"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in labels], "l string").select(label_language(F.col("l"))).collect()]
-    assert got == ["en", "en", "es", "es", "zh", "fr", "de", "it", None, None, None, None, None, "pt", "zh"]
+    assert got == ["en", "en", "es", "es", "zh", "fr", "de", "it", None, None, None, None, None, "pt", "zh", "pt", "en"]
 
 
 def test_hostile_long_texts_take_linear_time():
