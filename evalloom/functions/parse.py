@@ -36,8 +36,14 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def last_line(text: Column) -> Column:
-    """The last line that is not blank, trimmed; null if there is none."""
-    return _last(F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != ""))
+    """The last line that is not blank, trimmed; null if there is none. Found from the end, without splitting the text."""
+    tail = F.substring_index(F.substring_index(F.rtrim(text, F.lit(" \n\r\t")), "\n", -1), "\r", -1)
+    return _blank(F.trim(tail))
+
+
+def _braced(text: Column, value: Column) -> Column:
+    """The value, looked for only in texts with a brace, which spares most of them a regular expression over the whole text."""
+    return F.when(F.contains(text, F.lit("{")), value)
 
 
 def _blank(text: str | Column) -> Column:
@@ -58,7 +64,7 @@ def numeric_answer(text: Column) -> Column:
     """The number that a response gives: its last line if that is a literal, else the last {{'answer': x}}, else the last
     {'answer': x}, else the last number anywhere. Null for null, empty or numberless text."""
     return F.coalesce(
-        number_literal(last_line(text)), number_literal(_last(_all(text, DOUBLE_DICT, 1))), number_literal(_last(_all(text, SINGLE_DICT, 1))), _last(_all(text, NUMBER)).try_cast("double")
+        number_literal(last_line(text)), _braced(text, F.coalesce(number_literal(_last(_all(text, DOUBLE_DICT, 1))), number_literal(_last(_all(text, SINGLE_DICT, 1))))), _last(_all(text, NUMBER)).try_cast("double")
     )
 
 
@@ -83,7 +89,8 @@ def triplet_answer(text: Column) -> Column:
 
     numbers = F.transform(_all(text, NUMBER), lambda x: x.try_cast("double"))
     tail = F.when(F.size(numbers) >= 3, F.slice(numbers, -3, 3))
-    return F.coalesce(_three(last_line(text)), last_of(_all(text, DOUBLE_DICT, 1)), last_of(_all(text, SINGLE_DICT, 1)), last_of(_all(text, r"\[[^\[\]]+\]")), tail)
+    dicts = _braced(text, F.coalesce(last_of(_all(text, DOUBLE_DICT, 1)), last_of(_all(text, SINGLE_DICT, 1))))
+    return F.coalesce(_three(last_line(text)), dicts, last_of(_all(text, r"\[[^\[\]]+\]")), tail)
 
 
 def _letter(text: Column) -> Column:
