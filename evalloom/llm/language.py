@@ -35,8 +35,9 @@ SWITCH = 3.0  # log-odds that a change of language must bring
 FLOOR = -7.0
 HAN_WORD = 0.6  # words that a Han character counts for
 
-SENTENCE = re.compile(r"(?:(?<![.!?…])[.!?…]++[\"'»”’)\]]*(?=\s)|[。！？]+[”’」』）]*|\n+)\s*")
-BRACKETS = re.compile(r"\([^()\n]*\)|\[[^\[\]\n]*\]|\{[^{}\n]*\}|（[^（）\n]*）|«[^«»\n]*»|„[^„“”\n]*[“”]|“[^“”\n]*”|「[^「」\n]*」|\"[^\"\n]*\"|(?<!\w)'[^'\n]*'(?!\w)|(?<!\w)‘[^‘’\n]*’(?!\w)")
+# The lookaheads spare the alternatives a try at every character.
+SENTENCE = re.compile(r"(?=[.!?…。！？\n])(?:(?<![.!?…])[.!?…]++[\"'»”’)\]]*(?=\s)|[。！？]+[”’」』）]*|\n+)\s*")
+BRACKETS = re.compile(r"(?=[(\[{（«„“「\"'‘])(?:\([^()\n]*\)|\[[^\[\]\n]*\]|\{[^{}\n]*\}|（[^（）\n]*）|«[^«»\n]*»|„[^„“”\n]*[“”]|“[^“”\n]*”|「[^「」\n]*」|\"[^\"\n]*\"|(?<!\w)'[^'\n]*'(?!\w)|(?<!\w)‘[^‘’\n]*’(?!\w))")
 CODE_MARK = r"0-9_=|<>{}\\/@#$^~"
 INK = re.compile(r"[^\s一-鿿，。、：；？！（）]++")  # what stands for a word where there are no blanks between words
 CODE = re.compile(f"[{CODE_MARK}]")
