@@ -6,6 +6,7 @@ import hashlib
 import os
 import pathlib
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,3 +61,25 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(path))
     sc._evalloom_shipped = True
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared folder and read from there, for loops.
+
+    A checkpoint keeps the constraints that the optimizer inferred, and in a loop of joins they double every few rounds; a table that is
+    read has none. See forget.
+    """
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._evalloom_path = path
+    return out
+
+
+def forget(df: DataFrame | None) -> None:
+    """Deletes the table behind a stored frame that is not read any more; does nothing for other frames."""
+    path = getattr(df, "_evalloom_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
