@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.llm.common import BUCKETS, salted_join, unit_hash
-from evalloom.session import cut_lineage
+from evalloom.session import cut_lineage, forget, stored
 
 MOST_ROUNDS = 60
 #: Blocks of at least this share of all records are assigned one by one; there can be at most its inverse of them.
@@ -18,34 +18,34 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every node to its smallest neighbour if that is smaller, jumps pointers until all point to roots, and contracts the
     edges to roots. Roots left over are local minima, so their number at least halves a round, and jumping halves the depth:
-    few jobs even for long chains. Every state is cut off by a checkpoint in the shared folder. Null ends, loops and
+    few jobs even for long chains. Every state is a table written to the shared folder, deleted once the next one stands. Null ends, loops and
     repeated edges are dropped.
     """
     edges = edges.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    edges = cut_lineage(edges)
+    edges = stored(edges)
     table: DataFrame | None = None
     for _ in range(MOST_ROUNDS):
         if edges.isEmpty():
             break
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         tree = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least"))
-        tree = cut_lineage(tree.select("node", F.least("node", "least").alias("up")))
-        for _ in range(MOST_ROUNDS):
+        tree = stored(tree.select("node", F.least("node", "least").alias("up"), F.lit(True).alias("moved")))
+        while True:
             above = tree.select(F.col("node").alias("up"), F.col("up").alias("next"))
-            jumped = cut_lineage(tree.join(above, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
-            moving = not jumped.where("moved").isEmpty()
-            tree = jumped.select("node", "up")
-            if not moving:
+            jumped = stored(tree.select("node", "up").join(above, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
+            forget(tree)
+            tree = jumped
+            if tree.where("moved").isEmpty():
                 break
         root = tree.select(F.col("node").alias("root"), F.col("up").alias("_to"))
-        if table is None:
-            table = tree.select("node", F.col("up").alias("root"))
-        else:
-            # Every root that still has edges is a node of this round's tree; nodes new to the table cannot occur, edges only join roots.
-            table = cut_lineage(table.join(root, "root", "left").select("node", F.coalesce("_to", "root").alias("root")))
+        # A root that still has edges is a node of this round's tree; nodes new to the table cannot occur, edges only join roots.
+        longer = stored(tree.select("node", F.col("up").alias("root")) if table is None else table.join(root, "root", "left").select("node", F.coalesce("_to", "root").alias("root")))
         ends = edges.join(root.select(F.col("root").alias("u"), F.col("_to").alias("a")), "u")
         ends = ends.join(root.select(F.col("root").alias("v"), F.col("_to").alias("b")), "v")
-        edges = cut_lineage(ends.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        fewer = stored(ends.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        for old in (tree, table, edges):
+            forget(old)
+        table, edges = longer, fewer
     else:
         raise RuntimeError("components did not settle")
     return table if table is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
