@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -9,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.operators.windows import top_k
 from evalloom.session import ship_package
 
-#: Most candidate summaries (one short row each) a driver-side selection accepts.
+#: Most candidate summaries (one short row each) a driver-side selection holds at a time.
 MOST_SUMMARIES = 100_000
 
 
@@ -82,44 +84,117 @@ def scene_three_passes(df: DataFrame, scene: str, ident: str, kinds: list[str],
     return map_groups(df, scene, [ident, *kinds, anchor], F.col(reuse), pick)
 
 
-def _summaries(df: DataFrame, columns: list[str]) -> list[dict]:
-    rows = df.select(*columns).limit(MOST_SUMMARIES + 1).collect()
-    if len(rows) > MOST_SUMMARIES:
-        raise ValueError(f"more than {MOST_SUMMARIES} candidates; reduce them first, for example by top_k per stratum")
-    return [r.asDict() for r in rows]
+def _pick_lazily(candidates: DataFrame, ident: str, columns: list[str], k: int, key: Callable[[tuple], tuple | None], spark_key: Callable[[], tuple[list[Column], Column]], note: Callable[[tuple], None], out: list, taken: Counter, most: int) -> None:
+    """Appends idents to ``out`` up to ``k``, each time the candidate of the least ``key``, ties by the ident's text. ``note`` counts a pick in,
+    ``taken`` has the rows picked so far.
+
+    Keys must only grow with picks (None: closed for good). So the ``most`` rows of the least keys are brought to the driver, and picked from as
+    long as the best of them is no worse than the last of them was, which no row outside can be below. Then the next ``most`` are fetched under
+    the keys of that time, which ``spark_key`` gives as columns, with the condition that a row is open.
+    """
+    tie = F.coalesce(F.col(ident).cast("string"), F.lit("None"))
+    while len(out) < k:
+        keys, is_open = spark_key()
+        size = most + sum(taken.values())
+        order = [f"_k{i}" for i in range(len(keys))]
+        found = candidates.where(is_open).select(*columns, *[c.alias(n) for c, n in zip(keys, order, strict=True)], tie.alias("_tie")).orderBy(*order, "_tie").limit(size).collect()
+        rows = [(tuple(tuple(v) if isinstance(v, list) else v for v in r[: len(columns)]), r["_tie"]) for r in found]
+        last = (tuple(found[-1][n] for n in order), found[-1]["_tie"]) if len(rows) == size else None
+        spare = Counter(taken)
+        heap = []
+        for i, (row, text) in enumerate(rows):
+            if spare[row]:
+                spare[row] -= 1
+            elif (now := key(row)) is not None:
+                heap.append((now, text, i))
+        heapq.heapify(heap)
+        while heap and len(out) < k:
+            was, text, i = heap[0]
+            row = rows[i][0]
+            now = key(row)
+            if now is None:
+                heapq.heappop(heap)
+            elif now != was:
+                heapq.heapreplace(heap, (now, text, i))
+            elif last is not None and (now, text) > last:
+                break
+            else:
+                heapq.heappop(heap)
+                note(row)
+                taken[row] += 1
+                out.append(row[0])
+        if last is None:
+            return
+
+
+def _is_in(c: str, values: set) -> Column:
+    known = [v for v in values if v is not None]
+    found = F.col(c).isin(known) if known else F.lit(False)
+    return F.when(F.col(c).isNull(), F.lit(None in values)).otherwise(found)
 
 
-def balanced_under_caps(candidates: DataFrame, ident: str, scene: str, label: str, k: int, scene_cap: int, label_cap: int) -> list:
+def _count_in(c: str, counts: Counter) -> Column:
+    out = F.when(F.col(c).isNull(), F.lit(counts[None]))
+    for n in sorted(set(counts.values())):
+        out = out.when(_is_in(c, {v for v, m in counts.items() if m == n}), F.lit(n))
+    return out.otherwise(F.lit(0))
+
+
+def balanced_under_caps(candidates: DataFrame, ident: str, scene: str, label: str, k: int, scene_cap: int, label_cap: int, most: int = MOST_SUMMARIES) -> list:
     """Up to ``k`` idents, each time the candidate of the least used label and scene. Caps hold first; then the scene cap is given up,
-    then both, if candidates run out. Ties by ident. Candidates are summaries, at most MOST_SUMMARIES."""
-    rows = sorted(_summaries(candidates, [ident, scene, label]), key=lambda r: str(r[ident]))
+    then both, if candidates run out. Ties by ident. All candidates count; only the first ``k`` of a scene and label can be picked, and at
+    most ``most`` rows besides the picks are on the driver at a time."""
     scenes: Counter = Counter()
     labels: Counter = Counter()
+    taken: Counter = Counter()
     out: list = []
-    for strict_scene, strict_label in ((True, True), (False, True), (False, False)):
-        while len(out) < k:
-            open_rows = [r for r in rows if (not strict_scene or scenes[r[scene]] < scene_cap) and (not strict_label or labels[r[label]] < label_cap)]
-            if not open_rows:
-                break
-            best = min(open_rows, key=lambda r: (labels[r[label]], scenes[r[scene]]))
-            rows.remove(best)
-            scenes[best[scene]] += 1
-            labels[best[label]] += 1
-            out.append(best[ident])
+    tie = F.coalesce(F.col(ident).cast("string"), F.lit("None"))
+    rows = top_k(candidates.select(ident, scene, label), [scene, label], [tie], k, "_place").select(ident, scene, label).persist()
+
+    def note(row: tuple) -> None:
+        scenes[row[1]] += 1
+        labels[row[2]] += 1
+
+    try:
+        for strict_scene, strict_label in ((True, True), (False, True), (False, False)):
+
+            def key(row: tuple, by_scene: bool = strict_scene, by_label: bool = strict_label) -> tuple | None:
+                closed = (by_scene and scenes[row[1]] >= scene_cap) or (by_label and labels[row[2]] >= label_cap)
+                return None if closed else (labels[row[2]], scenes[row[1]])
+
+            def spark_key(by_scene: bool = strict_scene, by_label: bool = strict_label) -> tuple[list[Column], Column]:
+                of_label, of_scene = _count_in(label, labels), _count_in(scene, scenes)
+                return [of_label, of_scene], (F.lit(not by_scene) | (of_scene < scene_cap)) & (F.lit(not by_label) | (of_label < label_cap))
+
+            _pick_lazily(rows, ident, [ident, scene, label], k, key, spark_key, note, out, taken, most)
+    finally:
+        rows.unpersist()
     return out
 
 
-def novelty_pick(candidates: DataFrame, ident: str, scene: str, anchors: str, room: str, k: int) -> list:
-    """Up to ``k`` idents by novelty: a new scene weighs 1000, each new anchor 50, a new room 10; ties by ident."""
-    rows = sorted(_summaries(candidates, [ident, scene, anchors, room]), key=lambda r: str(r[ident]))
+def novelty_pick(candidates: DataFrame, ident: str, scene: str, anchors: str, room: str, k: int, most: int = MOST_SUMMARIES) -> list:
+    """Up to ``k`` idents by novelty: a new scene weighs 1000, each new anchor 50, a new room 10; ties by ident. All candidates count; at most
+    ``most`` rows besides the picks are on the driver at a time."""
     scenes, known, rooms, out = set(), set(), set(), []
-    while rows and len(out) < k:
-        best = max(rows, key=lambda r: 1000 * (r[scene] not in scenes) + 50 * len(set(r[anchors] or []) - known) + 10 * (r[room] not in rooms))
-        rows.remove(best)
-        scenes.add(best[scene])
-        known |= set(best[anchors] or [])
-        rooms.add(best[room])
-        out.append(best[ident])
+    kind = candidates.schema[anchors].dataType
+    rows = candidates.select(ident, scene, anchors, room).persist()
+
+    def key(row: tuple) -> tuple:
+        return (-(1000 * (row[1] not in scenes) + 50 * len(set(row[2] or ()) - known) + 10 * (row[3] not in rooms)),)
+
+    def spark_key() -> tuple[list[Column], Column]:
+        new = F.size(F.array_except(F.coalesce(F.col(anchors), F.array().cast(kind)), F.array(*[F.lit(a) for a in known]).cast(kind)))
+        return [-(F.lit(1000) * (~_is_in(scene, scenes)).cast("int") + F.lit(50) * new + F.lit(10) * (~_is_in(room, rooms)).cast("int"))], F.lit(True)
+
+    def note(row: tuple) -> None:
+        scenes.add(row[1])
+        known.update(row[2] or ())
+        rooms.add(row[3])
+
+    try:
+        _pick_lazily(rows, ident, [ident, scene, anchors, room], k, key, spark_key, note, out, Counter(), most)
+    finally:
+        rows.unpersist()
     return out
 
 

@@ -226,18 +226,13 @@ def greedy_scene_passes(spark: SparkSession, folder: str) -> DataFrame:
     return greedy.scene_three_passes(orders, "o_custkey", "o_orderkey", ["o_orderpriority", "o_orderstatus"], "day", "o_totalprice", 5)
 
 
-def _candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """At most 40 parts a brand as summaries."""
-    return windows.top_k(table(spark, folder, "part"), ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 40)
-
-
 def greedy_balanced(spark: SparkSession, folder: str) -> DataFrame:
-    ids = greedy.balanced_under_caps(_candidates(spark, folder), "p_partkey", "p_brand", "p_type", 150, 5, 30)
+    ids = greedy.balanced_under_caps(table(spark, folder, "part"), "p_partkey", "p_brand", "p_type", 150, 5, 30)
     return spark.createDataFrame([(k, i + 1) for i, k in enumerate(ids)], "p_partkey bigint, position int")
 
 
 def greedy_novelty(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _candidates(spark, folder).withColumn("words", F.split("p_name", " "))
+    rows = table(spark, folder, "part").withColumn("words", F.split("p_name", " "))
     ids = greedy.novelty_pick(rows, "p_partkey", "p_brand", "words", "p_type", 60)
     return spark.createDataFrame([(k, i + 1) for i, k in enumerate(ids)], "p_partkey bigint, position int")
 
