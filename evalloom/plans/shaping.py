@@ -234,18 +234,36 @@ NEAREST_SQL = """SELECT c_nationkey AS nation, c_custkey, s_suppkey, round(abs(c
     QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_acctbal, s_suppkey) = 1"""
 
 
+def _part_boxes(parts: DataFrame) -> DataFrame:
+    return parts.select("p_partkey", (F.col("p_size") * 3.0).alias("value_min"), (F.col("p_size") * 3.0 + 0.5).alias("value_max"), F.lit(10.0).alias("k_min"), (F.lit(10.0) + F.col("p_partkey") % 7).alias("k_max"))
+
+
+def _box_events(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select("event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+
+
 def box_range_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Events in the boxes that parts span over value and key of the event."""
-    parts = table(spark, folder, "part").where("p_size <= 10")
-    boxes = parts.select("p_partkey", (F.col("p_size") * 3.0).alias("value_min"), (F.col("p_size") * 3.0 + 0.5).alias("value_max"), F.lit(10.0).alias("k_min"), (F.lit(10.0) + F.col("p_partkey") % 7).alias("k_max"))
-    events = table(spark, folder, "events").select("event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
-    return joins.in_boxes(events, ["value", "k"], boxes, "p_partkey", 1.0).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("events"))
+    """Events in the boxes that parts of a size up to 10 span over value and key of the event; box_range_join_all has those of all parts."""
+    boxes = _part_boxes(table(spark, folder, "part").where("p_size <= 10"))
+    return joins.in_boxes(_box_events(spark, folder), ["value", "k"], boxes, "p_partkey", 1.0).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("events"))
+
+
+def box_range_join_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Events in the boxes that all parts span. Parts of one size and key range span the same box, so events meet each distinct box once."""
+    extents = ["value_min", "value_max", "k_min", "k_max"]
+    boxes = _part_boxes(table(spark, folder, "part")).withColumn("box", F.struct(*extents))
+    counts = joins.in_boxes(_box_events(spark, folder), ["value", "k"], boxes.select("box", *extents).distinct(), "box", 1.0).groupBy("box").agg(F.count(F.lit(1)).alias("events"))
+    return boxes.select("p_partkey", "box").join(counts, "box").select("p_partkey", "events")
 
 
 BOX_SQL = """SELECT p_partkey, count(*) AS events FROM part JOIN events ON value BETWEEN p_size * 3.0 AND p_size * 3.0 + 0.5 AND CAST(props->>'$.k' AS DOUBLE) BETWEEN 10 AND 10 + p_partkey % 7
     WHERE p_size <= 10 GROUP BY 1"""
 
 
+BOX_ALL_SQL = """SELECT p_partkey, count(*) AS events FROM part JOIN events ON value BETWEEN p_size * 3.0 AND p_size * 3.0 + 0.5 AND CAST(props->>'$.k' AS DOUBLE) BETWEEN 10 AND 10 + p_partkey % 7
+    GROUP BY 1"""
+
+
 def pareto_frontier(spark: SparkSession, folder: str) -> DataFrame:
     each = table(spark, folder, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg("l_extendedprice"), 4).alias("price"), F.round(F.avg("l_discount"), 6).alias("discount"))
     return joins.pareto_frontier(each, "l_suppkey", "price", "discount")
@@ -443,6 +461,7 @@ def catalog() -> dict:
         "pair_theta_join": (pair_theta_join, THETA_SQL),
         "nearest_neighbor": (nearest_neighbor, NEAREST_SQL),
         "box_range_join": (box_range_join, BOX_SQL),
+        "box_range_join_all": (box_range_join_all, BOX_ALL_SQL),
         "pareto_frontier": (pareto_frontier, PARETO_SQL),
         "delta_report": (delta_report, DELTA_SQL),
         "share_table": (share_table, "SELECT l_returnflag, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1)::DOUBLE AS share FROM lineitem GROUP BY 1"),
