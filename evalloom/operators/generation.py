@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from evalloom.operators.joins import band_pairs
 
+#: Items of a view that meet in one piece; a larger view is cut into blocks of about as many.
+BLOCK = 64
+
 
 def usable_objects(df: DataFrame, scene: str, kind: str, size: Column, least: float, most: float, skip: list[str], visible: Column | None = None) -> DataFrame:
     """Objects of no skipped kind, with a size within bounds and visible, that are then the only one of their kind in the scene."""
@@ -45,21 +48,27 @@ def pair_questions(df: DataFrame, scene: str, ident: str, value: str, least: flo
     return pairs.select(scene, "id_a", "id_b", distance_question(a, b).alias("question"), F.round(F.abs(F.col("value_a") - F.col("value_b")) + F.lit(1e-9), 1).alias("answer"))
 
 
-def frequent_pairs(df: DataFrame, view: str, item: str, least: int, most_items: int = 64) -> DataFrame:
+def frequent_pairs(df: DataFrame, view: str, item: str, least: int, most_items: int | None = None) -> DataFrame:
     """(item_a, item_b, views) of items that occur together in at least ``least`` views.
 
     Only items in that many views can qualify, so others are dropped before pairs are formed. A view lists what one frame shows; one with
-    more than ``most_items`` such items raises rather than be cut.
+    more than BLOCK such items is cut into blocks by hash, and each two of its blocks meet under a key of their own, so a view of n items
+    gives n(n-1)/2 pairs in many small tasks. ``most_items``: a view with more such items raises.
     """
     seen = df.select(view, item).where(F.col(view).isNotNull() & F.col(item).isNotNull()).distinct()
     common = seen.groupBy(item).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(item)
     kept = seen.join(common, item)
     sizes = kept.groupBy(view).agg(F.count(F.lit(1)).alias("_n"))
-    fine = sizes.withColumn("_ok", F.when(F.col("_n") > most_items, F.raise_error(F.lit("a view shows too many items"))).otherwise(F.lit(True))).where("_ok").select(view)
-    a = kept.join(fine, view)
-    b = kept.select(view, F.col(item).alias("_b"))
-    pairs = a.join(b, view).where(F.col(item) < F.col("_b"))
-    return pairs.groupBy(F.col(item).alias("item_a"), F.col("_b").alias("item_b")).agg(F.count(F.lit(1)).alias("views")).where(F.col("views") >= least)
+    if most_items is not None:
+        sizes = sizes.withColumn("_n", F.when(F.col("_n") > most_items, F.raise_error(F.lit("a view shows too many items")).cast("bigint")).otherwise(F.col("_n")))
+    large = sizes.where(F.col("_n") > BLOCK)
+    blocks = F.coalesce(F.ceil(F.col("_n") / BLOCK), F.lit(1))
+    placed = kept.join(large, view, "left").select(view, item, blocks.alias("_blocks"), F.pmod(F.xxhash64(item), blocks).alias("_at"))
+    a = placed.select(view, F.col(item).alias("_a"), F.col("_at").alias("_i"), F.explode(F.sequence("_at", F.col("_blocks") - 1)).alias("_j"))
+    b = placed.select(view, F.col(item).alias("_b"), F.col("_at").alias("_j"), F.explode(F.sequence(F.lit(0).cast("bigint"), "_at")).alias("_i"))
+    pairs = a.join(b, [view, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("_a") < F.col("_b")))
+    ordered = pairs.select(F.least("_a", "_b").alias("item_a"), F.greatest("_a", "_b").alias("item_b"))
+    return ordered.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("views")).where(F.col("views") >= least)
 
 
 def paired_entries(videos: DataFrame, questions: DataFrame, scene: str, applies: Column) -> DataFrame:
