@@ -27,14 +27,25 @@ def k_per_stratum(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("p_brand", "p_type", "p_partkey", F.col("position").cast("bigint").alias("position"))
 
 
-def water_fill(spark: SparkSession, folder: str) -> DataFrame:
-    out = windows.water_fill(table(spark, folder, "customer").where("c_acctbal > 9000"), "c_nationkey", ["c_custkey"], 60)
+def _filled(customers: DataFrame) -> DataFrame:
+    out = windows.water_fill(customers, "c_nationkey", ["c_custkey"], 60)
     return out.select("c_nationkey", "c_custkey", F.col("level").cast("bigint").alias("level"))
 
 
+def water_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """60 customers of a balance above 9000, nations in turn; water_fill_all takes all customers."""
+    return _filled(table(spark, folder, "customer").where("c_acctbal > 9000"))
+
+
+def water_fill_all(spark: SparkSession, folder: str) -> DataFrame:
+    return _filled(table(spark, folder, "customer"))
+
+
 WATER_SQL = """SELECT c_nationkey, c_custkey, level FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS level FROM customer WHERE c_acctbal > 9000)
     ORDER BY level, c_nationkey LIMIT 60"""
 
+WATER_ALL_SQL = WATER_SQL.replace(" WHERE c_acctbal > 9000", "")
+
 
 def bucket_cap_running(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", F.round("o_totalprice").cast("bigint").alias("size"))
@@ -254,6 +265,7 @@ def catalog() -> dict:
         "topk_two_pass_diverse": (topk_two_pass_diverse, TWO_PASS_SQL),
         "k_per_stratum": (k_per_stratum, "SELECT p_brand, p_type, p_partkey, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_retailprice DESC, p_partkey) AS position FROM part QUALIFY position <= 3"),
         "water_fill": (water_fill, WATER_SQL),
+        "water_fill_all": (water_fill_all, WATER_ALL_SQL),
         "bucket_cap_running": (bucket_cap_running, CAP_SQL),
         "interleave": (interleave, INTERLEAVE_SQL),
         "even_fill_quota": (even_fill_quota, EVEN_SQL),

@@ -322,6 +322,7 @@ TOP_SQL = """SELECT question_type, label, n, row_number() OVER (PARTITION BY que
 
 
 def crosstab_pivot(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments of the customers of a balance above 9500, by nation; crosstab_pivot_all counts all customers."""
     nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
     rich = table(spark, folder, "customer").where("c_acctbal > 9500")
     return distribution.crosstab(rich, "c_nationkey", "c_mktsegment", nations, SEGMENTS)
@@ -330,6 +331,14 @@ def crosstab_pivot(spark: SparkSession, folder: str) -> DataFrame:
 CROSSTAB_SQL = "SELECT n_nationkey AS c_nationkey, " + ", ".join(f"count(*) FILTER (WHERE c_mktsegment = '{s}') AS \"{s}\"" for s in SEGMENTS) + " FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_acctbal > 9500 GROUP BY 1"
 
 
+def crosstab_pivot_all(spark: SparkSession, folder: str) -> DataFrame:
+    nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
+    return distribution.crosstab(table(spark, folder, "customer"), "c_nationkey", "c_mktsegment", nations, SEGMENTS)
+
+
+CROSSTAB_ALL_SQL = CROSSTAB_SQL.replace(" AND c_acctbal > 9500", "")
+
+
 def pivot_scores(spark: SparkSession, folder: str) -> DataFrame:
     return breakdown.pivot_table(table(spark, folder, "orders"), ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"], F.round(F.avg("o_totalprice"), 3))
 
@@ -471,6 +480,7 @@ def catalog() -> dict:
         "angle_bins": (angle_bins, BINS_SQL),
         "top_labels": (top_labels, TOP_SQL),
         "crosstab_pivot": (crosstab_pivot, CROSSTAB_SQL),
+        "crosstab_pivot_all": (crosstab_pivot_all, CROSSTAB_ALL_SQL),
         "pivot_scores": (pivot_scores, PIVOT_SQL),
         "set_ops": (set_ops, SETS_SQL),
         "group_reconstruction": (group_reconstruction, RECONSTRUCTION_SQL),

@@ -22,3 +22,15 @@ def test_boxes_of_all_parts(spark):
     got = {r["p_partkey"]: r["events"] for r in entry.queries()["box_range_join_all"](spark, DATA).collect()}
     assert got == {k: n for k, n in expected.items() if n}
     assert any(p["p_size"] > 10 and p["p_partkey"] in got for p in rows_of(spark, "part"))
+
+
+def test_all_customers_are_filled_and_counted(spark):
+    customers = [(c["c_nationkey"], c["c_custkey"], c["c_mktsegment"]) for c in rows_of(spark, "customer")]
+    nations = {}
+    for n, k, _ in sorted(customers):
+        nations.setdefault(n, []).append(k)
+    levels = sorted((i + 1, n, k) for n, ks in nations.items() for i, k in enumerate(ks))[:60]
+    got = sorted((r["level"], r["c_nationkey"], r["c_custkey"]) for r in entry.queries()["water_fill_all"](spark, DATA).collect())
+    assert got == levels
+    table = entry.queries()["crosstab_pivot_all"](spark, DATA).collect()
+    assert sum(v for r in table for c, v in r.asDict().items() if c != "c_nationkey") == len(customers)
