@@ -11,6 +11,7 @@ LITERAL = r"^(?i)(?:answer\s*[:=]\s*)?([-+]?[0-9]+\.?[0-9]*(?:[eE][-+]?[0-9]+)?)
 DOUBLE_DICT = r"(?is)\{\{\s*['\"]answer['\"]\s*:\s*([^{}]+?)\s*\}\}"
 SINGLE_DICT = r"(?is)\{\s*['\"]answer['\"]\s*:\s*([^{}]+?)\s*\}"
 FIRST_ANSWER = r"(?i)answer\s*['\"]?\s*[:=]\s*['\"]?([-+]?[0-9]+(?:\.[0-9]+)?)"
+LENGTH = r"(?i)^\s*~?\s*([-+]?[0-9]+(?:[.,][0-9]+)?)\s*(mm|cm|m|met(?:re|er)s?)?\s*$"
 NUMERIC_TEXT = r"^\s*[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\s*$"
 
 
@@ -22,6 +23,13 @@ def to_float(text: Column, finite: bool = False) -> Column:
     return value if finite else F.coalesce(value, named)
 
 
+def length_metres(text: Column) -> Column:
+    """A length as a double in metres: a plain number, or '120 cm', '1200mm', '1.2 m', '~1.2 metres', '1,2'; else null. Metres where no unit stands."""
+    value = F.regexp_replace(_blank(F.regexp_extract(text, LENGTH, 1)), ",", ".").try_cast("double")
+    unit = F.lower(F.regexp_extract(text, LENGTH, 2))
+    return F.coalesce(to_float(text), F.when(unit == "mm", value / 1000).when(unit == "cm", value / 100).otherwise(value))
+
+
 def finite_or_null(x: Column) -> Column:
     """The double, or null where it is NaN or infinite."""
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)

@@ -241,8 +241,16 @@ CHOICES_SQL = f"""{THREE_SQL} SELECT l_orderkey, CASE WHEN least(a, b, c) > 3 TH
 
 
 def chance_baseline(spark: SparkSession, folder: str) -> DataFrame:
-    """The constant that answers the distances and sizes of the clips best, by question type."""
-    clips = table(spark, folder, "clips").select("question_type", parse.to_float(F.col("ground_truth")).alias("target"))
+    """The constant that answers the distances and sizes of the clips best, by question type; of truths that are a plain number. chance_baseline_all reads units too."""
+    return _chance(table(spark, folder, "clips").select("question_type", parse.to_float(F.col("ground_truth")).alias("target")))
+
+
+def chance_baseline_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of all truths, with their units and decimal commas."""
+    return _chance(table(spark, folder, "clips").select("question_type", parse.length_metres(F.col("ground_truth")).alias("target")))
+
+
+def _chance(clips: DataFrame) -> DataFrame:
     out = baseline.best_constant(clips, ["question_type"], "target")
     return out.select("question_type", r("constant", 9).alias("constant"), r("mean_mra").alias("mean_mra"), "n")
 
@@ -255,6 +263,13 @@ CHANCE_SQL = f"""
     SELECT question_type, round(c, 9) AS constant, round(m, 6) AS mean_mra, n FROM s QUALIFY row_number() OVER (PARTITION BY question_type ORDER BY m DESC, c) = 1
 """
 
+_LENGTH = "'^\\s*~?\\s*([-+]?[0-9]+(?:[.,][0-9]+)?)\\s*(mm|cm|m|met(?:re|er)s?)?\\s*$'"
+CHANCE_ALL_SQL = f"""
+    WITH g AS (SELECT question_type, try_cast(replace(regexp_extract(lower(ground_truth), {_LENGTH}, 1), ',', '.') AS DOUBLE)
+        / CASE regexp_extract(lower(ground_truth), {_LENGTH}, 2) WHEN 'mm' THEN 1000 WHEN 'cm' THEN 100 ELSE 1 END AS t FROM clips),
+    t AS (SELECT question_type, t, count(*) AS n FROM g WHERE t IS NOT NULL GROUP BY 1, 2),
+    {CHANCE_SQL[CHANCE_SQL.index("f AS (SELECT unnest") :]}"""
+
 
 def _region_summaries(spark: SparkSession, folder: str) -> DataFrame:
     customers = table(spark, folder, "customer")
@@ -346,6 +361,7 @@ def catalog() -> dict:
         "constraint_report": (constraint_report, CONSTRAINT_SQL),
         "choice_transitivity": (choice_transitivity, CHOICES_SQL),
         "chance_baseline": (chance_baseline, CHANCE_SQL),
+        "chance_baseline_all": (chance_baseline_all, CHANCE_ALL_SQL),
         "weighted_merge": (weighted_merge, MERGE_SQL),
         "rank_models": (rank_models, f"SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY score DESC NULLS LAST, n_name) AS rank FROM ({SCORES_SQL})"),
         "best_per_column": (best_per_column, f"SELECT *, coalesce(score = CASE WHEN c_mktsegment <> 'BUILDING' THEN max(score) OVER (PARTITION BY c_mktsegment) ELSE min(score) OVER (PARTITION BY c_mktsegment) END, false) AS best FROM ({SCORES_SQL})"),
