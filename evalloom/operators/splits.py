@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def leak_free(df: DataFrame, key: list[str], need: int) -> DataFrame:
+def leak_free(df: DataFrame, key: list[str], need: int, train_need: int = 0) -> DataFrame:
     """(key, n, split): whole keys go to evaluation, smallest first (ties by key), as long as the records before them are fewer than ``need``.
+    If train is then short of ``train_need``, keys go back to it, smallest first, while evaluation keeps ``need``; raises if that does not suffice.
 
     Running totals come from counts per (size), then per key inside the one size where the need is met, so keys are not sorted in one task
     beyond that size class.
@@ -19,7 +20,18 @@ def leak_free(df: DataFrame, key: list[str], need: int) -> DataFrame:
     first = joined.where(F.col("_before") < need)
     # Within a size class every key adds the same, so the position of a key in its class gives its running total.
     ranked = first.withColumn("_r", F.row_number().over(Window.partitionBy("n").orderBy(*key)))
-    chosen = ranked.where(F.col("_before") + (F.col("_r") - 1) * F.col("n") < need).select(*key, F.lit("eval").alias("split"))
+    chosen = ranked.withColumn("_run", F.col("_before") + (F.col("_r") - 1) * F.col("n")).where(F.col("_run") < need)
+    if train_need > 0:
+        total = sizes.agg(F.sum("n")).head()[0] or 0
+        held = chosen.agg(F.sum("n")).head()[0] or 0
+        short = train_need - (total - held)
+        if short > 0:
+            # Evaluation is a prefix by size, and so is what goes back: its running totals are the same.
+            back = (F.col("_run") < short) & (F.col("_run") + F.col("n") <= held - need)
+            if (chosen.where(back).agg(F.sum("n")).head()[0] or 0) < short:
+                raise ValueError(f"no split of whole keys found with {need} records for evaluation and {train_need} for training")
+            chosen = chosen.where(~back)
+    chosen = chosen.select(*key, F.lit("eval").alias("split"))
     return sizes.join(chosen, key, "left").select(*key, "n", F.coalesce("split", F.lit("train")).alias("split"))
 
 
