@@ -65,9 +65,8 @@ def p1_scene_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 FAMILIES = ["approach", "passby", "around", "spherical", "rotation"]
 DIRECTIONS = ["cw", "ccw", "fw", "bw"]
-MOST_CYCLES = 20
-#: (families + other) x (directions + unknown) x whole degrees x (0 to MOST_CYCLES and unknown)
-MOTION_SETTINGS = 6 * 5 * 360 * (MOST_CYCLES + 2)
+#: (families + other) x (directions + unknown) x whole degrees x (0 to the largest int and unknown): more than is broadcast
+MOTION_SETTINGS = 6 * 5 * 360 * (2**31 + 1)
 
 
 def direction_key(direction, trajectory):
@@ -89,7 +88,7 @@ def motion_settings(spark: SparkSession, folder: str) -> DataFrame:
     angle = F.when(F.col("start_angle_offset").isNull() | F.isnan("start_angle_offset") | (F.abs("start_angle_offset") > 1e9), 0.0).otherwise(F.col("start_angle_offset"))
     slim = clips.select(
         "clip_id", "ingested_at", family.alias("family"), direction_key(F.col("direction"), F.col("trajectory")).alias("way"),
-        F.pmod(F.round(angle).cast("int"), F.lit(360)).alias("angle"), F.least(F.greatest(F.coalesce("cycle_count", F.lit(-1)), F.lit(-1)), F.lit(MOST_CYCLES)).alias("cycles"),
+        F.pmod(F.round(angle).cast("int"), F.lit(360)).alias("angle"), F.greatest(F.coalesce("cycle_count", F.lit(-1)), F.lit(-1)).alias("cycles"),
     )
     now = current_delivery(slim, "clip_id", "ingested_at", ["family", "way", "angle", "cycles"])
     return now.withColumnRenamed("way", "direction")
