@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +12,7 @@ from evalloom.operators.joins import last_wins
 from evalloom.operators.reshape import turn
 from evalloom.plans import hooks, scoring
 from evalloom.plans.tables import cape_sql, mra_sql, r, table
-from evalloom.session import shared_dir
+from evalloom.session import scratch
 from evalloom.sources import readers, writers
 from evalloom.streaming import live
 
@@ -109,9 +107,9 @@ NUMBERS_SQL = """
 
 def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Group records written as JSON lines to the shared folder and read again with an explicit schema."""
-    out = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    out = scratch(spark, "json")
     schema = T.StructType([T.StructField("group_id", T.StringType()), T.StructField("clip_ids", T.ArrayType(T.StringType())), T.StructField("radius", T.DoubleType()), T.StructField("anchor_labels", T.ArrayType(T.StringType()))])
-    table(spark, folder, "consistency_groups").select(*schema.names).write.json(out)
+    table(spark, folder, "consistency_groups").select(*schema.names).write.mode("overwrite").json(out)
     back = readers.json_lines(spark, out, schema, {"task": "groups"})
     return back.groupBy("task", "group_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("clip_ids")).cast("bigint").alias("clips"), F.max("radius").alias("radius"))
 
@@ -121,7 +119,7 @@ JSON_SQL = "SELECT 'groups' AS task, group_id, count(*) AS n, max(len(clip_ids))
 
 def conversation_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations of the current clips written as training lines and read again."""
-    out = f"{shared_dir(spark)}/talk-{uuid.uuid4().hex}"
+    out = scratch(spark, "talk")
     clips = last_wins(table(spark, folder, "clips"), ["clip_id"], "ingested_at", ["video_path", "question", "ground_truth"])
     writers.write_conversations(clips, F.col("question"), F.coalesce("ground_truth", F.lit("unknown")), "video_path", out)
     back = spark.read.schema("video string, conversations array<struct<`from`:string,value:string>>").json(out)
@@ -141,7 +139,7 @@ def table_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def streamed_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Events read as a stream; running scores per user, then, in each batch, mean dispersion per event type. The last batch is the whole."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     schema = table(spark, folder, "events").schema
     stream = live.sample_stream(spark, f"{folder}/event[s].parquet", schema, fmt="parquet").withColumn("target", F.lit(10.0))
     running = stream.groupBy("event_type", "user_id").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))

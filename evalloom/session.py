@@ -36,6 +36,26 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = os.path.join(tempfile.gettempdir(), f"evalloom-{os.getpid()}")
     spark.conf.set("spark.checkpoint.dir", folder)
+    _delete_at_end(spark, folder)
+    return folder
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Has the driver's JVM delete the folder when it ends."""
+    fs, target = _file_system(spark, path)
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder of its own in the shared folder, for tables that the run writes and reads; it goes with the application."""
+    folder = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _delete_at_end(spark, folder)
     return folder
 
 
@@ -44,6 +64,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
+    if not getattr(sc, "_evalloom_checkpoints", False):
+        _delete_at_end(df.sparkSession, sc.getCheckpointDir())  # Spark's own folder, unique to this application
+        sc._evalloom_checkpoints = True
     return df.checkpoint(eager=True)
 
 
@@ -67,10 +90,10 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared folder and read from there, for loops.
 
     A checkpoint keeps the constraints that the optimizer inferred, and in a loop of joins they double every few rounds; a table that is
-    read has none. See forget.
+    read has none. See forget; a table that is never forgotten goes with the application.
     """
-    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch(df.sparkSession, "stored")
+    df.write.mode("overwrite").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._evalloom_path = path
     return out
@@ -80,6 +103,6 @@ def forget(df: DataFrame | None) -> None:
     """Deletes the table behind a stored frame that is not read any more; does nothing for other frames."""
     path = getattr(df, "_evalloom_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        fs, target = _file_system(df.sparkSession, path)
+        fs.delete(target, True)
+        fs.cancelDeleteOnExit(target)
