@@ -75,6 +75,12 @@ def unit_hash(*parts: Column | str, salt: str | int = 0) -> Column:
     return (F.shiftrightunsigned(h, 12).cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def md5_unit(ident: Column, salt: str) -> Column:
+    """A number in (0, 1) from the first 48 bits of the MD5 of salt and ident: the same in any engine. A null ident has the draw of an empty one."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(ident.cast("string"), F.lit("")))), 1, 12), 16, 10)
+    return (bits.cast("double") + 0.5) / F.lit(float(2**48))
+
+
 def salt_of(c: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(c, F.lit("salt")), F.lit(salts)).cast("int")
 

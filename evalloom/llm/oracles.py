@@ -12,10 +12,14 @@ P1_RANKED = f"""
         SELECT group_id, min({SCENE}) AS gs FROM consistency_groups WHERE trim(scene_id) <> '' GROUP BY group_id
     ), placed AS (
         SELECT clip_id, coalesce(nullif(r.s, ''), gs) AS scene, r.q AS quality_score FROM now LEFT JOIN own ON r.g = group_id
+    ), clean AS (
+        SELECT clip_id, scene, CASE WHEN NOT isnan(quality_score) THEN quality_score END AS quality_score FROM placed
     ), ranked AS (
-        SELECT *, row_number() OVER (PARTITION BY scene ORDER BY (quality_score IS NULL OR isnan(quality_score)),
-            CASE WHEN NOT isnan(quality_score) THEN -quality_score END, clip_id) AS n
-        FROM placed
+        SELECT *, row_number() OVER (PARTITION BY scene ORDER BY quality_score IS NULL, -quality_score, clip_id) AS n FROM clean
+    ), keyed AS (
+        SELECT *, CASE WHEN quality_score > 0 THEN ln(quality_score) - ln(-ln((CAST('0x' || substr(md5('reservoir17:' || clip_id), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE)) END AS key FROM clean
+    ), drawn AS (
+        SELECT *, row_number() OVER (PARTITION BY scene ORDER BY key IS NULL, quality_score IS NULL, -coalesce(key, quality_score), clip_id) AS n FROM keyed
     )
 """
 
@@ -81,6 +85,7 @@ def llm_oracles() -> dict[str, str]:
     return {
         "p1_found": f"{P1_RANKED} SELECT clip_id FROM ranked WHERE scene IS NOT NULL AND n > {CAP}",
         "p1_capped_clips": f"{P1_RANKED} SELECT clip_id, scene, quality_score FROM ranked WHERE scene IS NULL OR n <= {CAP}",
+        "p1_reservoir_clips": f"{P1_RANKED} SELECT clip_id, scene, quality_score, round(key, 6) AS reservoir_key FROM drawn WHERE scene IS NULL OR n <= {CAP}",
         "p1_scene_counts": f"{P1_RANKED} SELECT scene, count(*) AS clips, count(*) FILTER (WHERE scene IS NULL OR n <= {CAP}) AS kept_clips FROM ranked GROUP BY scene",
         "p3_found": f"""
             WITH RECURSIVE {HUBS}, pairs AS (

@@ -35,29 +35,29 @@ def clips_with_scene(spark: SparkSession, folder: str) -> DataFrame:
     return placed.unionByName(lost.select("clip_id", "group_id", F.col("group_scene").alias("scene"), "quality_score")).drop("group_id")
 
 
-def _capped(spark: SparkSession, folder: str, temperature: float) -> DataFrame:
+def _capped(spark: SparkSession, folder: str, best: bool) -> DataFrame:
     cap = int(setting(spark, folder, "max_clips_per_scene"))
-    return cap_per_contributor(clips_with_scene(spark, folder), "clip_id", "scene", "quality_score", cap, temperature)
+    return cap_per_contributor(clips_with_scene(spark, folder), "clip_id", "scene", "quality_score", cap, best=best)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Clips ranked after the cap in their scene: the reservoir at temperature 0, where the best scores are the ones kept."""
-    return _capped(spark, folder, 0.0).where(~F.col("kept")).select("clip_id")
+    """Clips ranked after the cap in their scene: a cold reservoir, whose close calls are settled by score."""
+    return _capped(spark, folder, True).where(~F.col("kept")).select("clip_id")
 
 
 def p1_capped_clips(spark: SparkSession, folder: str) -> DataFrame:
-    """The clips that come out: no scene above the cap, the best of each kept."""
-    return _capped(spark, folder, 0.0).where("kept").select("clip_id", "scene", "quality_score")
+    """The clips that come out: no scene above the cap, the best of each kept. A quality of NaN is given as null."""
+    return _capped(spark, folder, True).where("kept").select("clip_id", "scene", "quality_score")
 
 
 def p1_reservoir_clips(spark: SparkSession, folder: str) -> DataFrame:
     """The same cap by a random reservoir weighted by quality (temperature 1)."""
-    return _capped(spark, folder, 1.0).where("kept").select("clip_id", "scene", "quality_score", "reservoir_key")
+    return _capped(spark, folder, False).where("kept").select("clip_id", "scene", "quality_score", F.round("reservoir_key", 6).alias("reservoir_key"))
 
 
 def p1_scene_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Clips of each scene before and after the cap."""
-    out = _capped(spark, folder, 0.0).groupBy("scene").agg(F.count(F.lit(1)).alias("clips"), F.count_if("kept").alias("kept_clips"))
+    out = _capped(spark, folder, True).groupBy("scene").agg(F.count(F.lit(1)).alias("clips"), F.count_if("kept").alias("kept_clips"))
     return out.select("scene", "clips", "kept_clips")
 
 

@@ -33,13 +33,25 @@ def best_first(rows, scene):
 @pytest.mark.parametrize("cap", [1, 7, 60, 10_000])
 def test_best_kept(spark, cap):
     rows = records()
-    got = {r["clip"]: r["kept"] for r in cap_per_contributor(frame(spark, rows), "clip", "scene", "score", cap, temperature=0).collect()}
+    got = {r["clip"]: r["kept"] for r in cap_per_contributor(frame(spark, rows), "clip", "scene", "score", cap, best=True).collect()}
     expected = {r[0]: True for r in rows}
     for scene in ("hot", "a", "b"):
         expected |= {r[0]: i < cap for i, r in enumerate(best_first(rows, scene))}
     assert got == expected
 
 
+def test_close_scores_are_settled(spark):
+    # Scores nearer to each other than the noise of a cold key, so that keys alone would keep wrong rows.
+    rng = random.Random(12)
+    rows = [(f"c{i:04d}", "s", 5.0 + rng.randrange(400) * 1e-6) for i in range(3000)] + [(f"d{i}", "t", 2.0) for i in range(300)]
+    got = {r["clip"] for r in cap_per_contributor(frame(spark, rows), "clip", "scene", "score", 250, best=True).where("kept").collect()}
+    assert got == {r[0] for s in "st" for r in best_first(rows, s)[:250]}
+    by_key = cap_per_contributor(frame(spark, rows), "clip", "scene", "score", 250, temperature=1e-4).where("kept").collect()
+    assert {r["clip"] for r in by_key} != got  # the settling step matters
+    with pytest.raises(ValueError):
+        cap_per_contributor(frame(spark, rows), "clip", "scene", "score", 250, temperature=0)
+
+
 def test_reservoir_is_weighted_and_repeatable(spark):
     rows = [(f"c{i:04d}", "s", 10.0 if i % 2 else 1.0) for i in range(4000)]
     df = frame(spark, rows)

@@ -54,7 +54,7 @@ def test_repeated_rows_change_nothing(spark, folders, name):
 
 def test_operators_on_repeated_rows(spark):
     rows = spark.createDataFrame([("a", "s", 1.0), ("a", "s", 1.0), ("b", "s", 2.0), (None, "s", 1.0)], "i string, c string, v double")
-    assert sorted(str(r["i"]) for r in cap_per_contributor(rows, "i", "c", "v", 2, temperature=0).where("kept").collect()) == ["None", "b"]
+    assert sorted(str(r["i"]) for r in cap_per_contributor(rows, "i", "c", "v", 2, best=True).where("kept").collect()) == ["None", "b"]
     pairs = spark.createDataFrame([("e", True, "p", ["x"], 1.0), ("t", False, "p", ["x"], 1.0), ("t", False, "p", ["x"], 1.0)], "i string, ev boolean, p string, w array<string>, v double")
     assert overlap_pairs(pairs, "i", "ev", F.col("p"), "w", "v", 0.1).count() == 2
     items = spark.createDataFrame([(1, 60, 5)] * 3, "d bigint, n bigint, p bigint")
