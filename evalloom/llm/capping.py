@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.llm.common import md5_unit, salt_of, salted_join
+from evalloom.session import cut_lineage
 
 #: -ln(-ln u) of the draws, which lie between 1 / 2**49 and 1 - 1 / 2**49, is within these bounds.
 NOISE = (-3.6, 34.0)
@@ -62,6 +63,7 @@ def cap_per_contributor(df: DataFrame, ident: str, contributor: str, score: str,
     keyed = base.withColumn("_key", reservoir_key(F.col("_v"), F.col("_id"), heat, seed))
     kind = F.when(F.col("_key").isNotNull(), 0).when(F.col("_v").isNotNull(), 1).otherwise(2)
     keyed = keyed.withColumn("_rank", F.struct(kind.alias("kind"), F.coalesce(-F.col("_key"), -F.col("_v"), F.lit(0.0)).alias("neg"), F.col("_id").alias("id")))
+    keyed = cut_lineage(keyed)  # read two or three times; what leads to it may be dear
     last = _cap_th(keyed.where(F.col("_c").isNotNull()), "_rank", F.lit(cap), cap, salts)
     if best:
         last = _settled(keyed, last, cap, salts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from evalloom.llm.variety import projections
+
 SCENE = "array_to_string(list_transform(regexp_extract_all(scene_id, '[0-9]+'), lambda x: regexp_replace(x, '^0+(.)', '\\1')), '_')"
 
 P1_RANKED = f"""
@@ -23,6 +25,42 @@ P1_RANKED = f"""
     )
 """
 
+def _density_sql() -> str:
+    """Settings, buckets and densities, with the projections of the operator written out."""
+    families, ways = ("approach", "passby", "around", "spherical", "rotation"), ("cw", "ccw", "fw", "bw")
+    turn = "radians(angle::DOUBLE)"
+    features = [f"(family = '{x}')::INT * 4.0::DOUBLE" for x in families] + [f"(direction = '{x}')::INT * 2.0::DOUBLE" for x in ways]
+    features += [f"cos({turn}) * 2.0::DOUBLE * (angle >= 0)::INT", f"sin({turn}) * 2.0::DOUBLE * (angle >= 0)::INT", "(angle >= 0)::INT * 4.0::DOUBLE", "cycles::DOUBLE"]
+    lists = []
+    for t, cells in enumerate(projections(len(features), 8, 4, 1.5, 5)):
+        sums = [" + ".join([f"{shift!r}::DOUBLE", *[f"({x}) * {f!r}::DOUBLE" for x, f in zip(features, factors, strict=True)]]) for shift, factors in cells]
+        lists.append(f"'{t}:' || concat_ws(',', {', '.join(f'floor(({x}) / 1.5)::BIGINT' for x in sums)})")
+
+    def way(word: str) -> str:
+        w = f"lower(regexp_replace({word}, '[^A-Za-z0-9]', '', 'g'))"
+        rules = (("(counterclockwise|anticlockwise|ccw)$", "ccw"), ("(clockwise|cw)$", "cw"), ("(forwards?|fw)$", "fw"), ("(backwards?|bw)$", "bw"))
+        return "CASE " + " ".join(f"WHEN regexp_matches({w}, '{a}') THEN '{b}'" for a, b in rules) + " END"
+
+    kind = f"nullif(regexp_extract(lower(regexp_replace(trajectory, '[^A-Za-z0-9]', '', 'g')), '^({'|'.join(families)})', 1), '')"
+    degrees = "round(start_angle_offset) - 360 * floor(round(start_angle_offset) / 360)"
+    return f"""
+        WITH now AS (
+            SELECT clip_id, coalesce({kind}, 'other') AS family, coalesce({way("direction")}, {way("trajectory")}, 'unknown') AS direction,
+                CASE WHEN isfinite(start_angle_offset) THEN CAST({degrees} AS INT) ELSE -1 END AS angle, greatest(coalesce(cycle_count, -1), -1) AS cycles
+            FROM clips WHERE clip_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY ingested_at DESC) = 1
+        ), settings AS (SELECT family, direction, angle, cycles, count(*) AS n FROM now GROUP BY ALL),
+        buckets AS (SELECT family, direction, angle, cycles, n, unnest([{", ".join(lists)}]) AS b FROM settings),
+        dense AS (SELECT family, direction, angle, cycles, avg(m) AS density FROM buckets JOIN (SELECT b, sum(n) AS m FROM buckets GROUP BY b) USING (b) GROUP BY ALL),
+        keyed AS (
+            SELECT clip_id, family, direction, angle, cycles, density,
+                -ln((CAST('0x' || substr(md5('variety5:' || clip_id), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE) * density AS draw_key
+            FROM now JOIN dense USING (family, direction, angle, cycles)
+        ), drawn AS (SELECT *, row_number() OVER (ORDER BY draw_key, clip_id) <= (SELECT amount FROM plan_settings WHERE setting = 'varied_subset_size') AS drawn FROM keyed)
+    """
+
+
+P2_DRAWN = _density_sql()
+
 CAP = "(SELECT amount FROM plan_settings WHERE setting = 'max_clips_per_scene')"
 
 P5_PAIRS = f"""
@@ -87,6 +125,11 @@ def llm_oracles() -> dict[str, str]:
         "p1_capped_clips": f"{P1_RANKED} SELECT clip_id, scene, quality_score FROM ranked WHERE scene IS NULL OR n <= {CAP}",
         "p1_reservoir_clips": f"{P1_RANKED} SELECT clip_id, scene, quality_score, round(key, 6) AS reservoir_key FROM drawn WHERE scene IS NULL OR n <= {CAP}",
         "p1_scene_counts": f"{P1_RANKED} SELECT scene, count(*) AS clips, count(*) FILTER (WHERE scene IS NULL OR n <= {CAP}) AS kept_clips FROM ranked GROUP BY scene",
+        "p2_densities": f"{P2_DRAWN} SELECT clip_id, family, direction, angle, cycles, round(density, 6) AS density, round(draw_key, 6) AS draw_key, drawn FROM drawn",
+        "p2_varied_subset": f"{P2_DRAWN} SELECT clip_id, family, direction, angle, cycles, round(density, 6) AS density, round(draw_key, 6) AS draw_key FROM drawn WHERE drawn",
+        "p2_setting_report": f"""{P2_DRAWN}, each AS (SELECT family, direction, angle, cycles, count(*) AS clips, count(*) FILTER (WHERE drawn) AS drawn FROM drawn GROUP BY ALL)
+            SELECT CAST(floor(log10(clips) + 1e-9) AS INT) AS tens, count(*) AS settings, CAST(sum(clips) AS BIGINT) AS clips, CAST(sum(drawn) AS BIGINT) AS drawn, count(*) FILTER (WHERE drawn > 0) AS settings_drawn,
+                round(sum(clips) * (SELECT sum(drawn) / sum(clips) FROM each), 6) AS plain_sample FROM each GROUP BY 1""",
         "p3_found": f"""
             WITH RECURSIVE {HUBS}, pairs AS (
                 SELECT DISTINCT a.group_id AS g, b.group_id AS h FROM (SELECT hub, min(group_id) AS group_id FROM links WHERE hub IS NOT NULL GROUP BY hub) a JOIN links b USING (hub)

@@ -65,8 +65,6 @@ def p1_scene_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 FAMILIES = ["approach", "passby", "around", "spherical", "rotation"]
 DIRECTIONS = ["cw", "ccw", "fw", "bw"]
-#: (families + other) x (directions + unknown) x whole degrees x (0 to the largest int and unknown): more than is broadcast
-MOTION_SETTINGS = 6 * 5 * 360 * (2**31 + 1)
 
 
 def direction_key(direction, trajectory):
@@ -82,36 +80,53 @@ def direction_key(direction, trajectory):
 
 
 def motion_settings(spark: SparkSession, folder: str) -> DataFrame:
-    """(clip_id, family, direction, angle, cycles): current deliveries with their motion setting written one way; angles to whole degrees in [0, 360)."""
+    """(clip_id, family, direction, angle, cycles): current deliveries with their motion setting written one way; angles to whole degrees in [0, 360).
+
+    An unknown angle is -1, an unknown count of cycles -1: settings of their own.
+    """
     clips = table(spark, folder, "clips")
     family = F.coalesce(F.nullif(F.regexp_extract(squash(F.col("trajectory")), "^(" + "|".join(FAMILIES) + ")", 1), F.lit("")), F.lit("other"))
-    angle = F.when(F.col("start_angle_offset").isNull() | F.isnan("start_angle_offset") | (F.abs("start_angle_offset") > 1e9), 0.0).otherwise(F.col("start_angle_offset"))
+    angle = F.pmod(F.round("start_angle_offset"), F.lit(360.0))
     slim = clips.select(
         "clip_id", "ingested_at", family.alias("family"), direction_key(F.col("direction"), F.col("trajectory")).alias("way"),
-        F.pmod(F.round(angle).cast("int"), F.lit(360)).alias("angle"), F.greatest(F.coalesce("cycle_count", F.lit(-1)), F.lit(-1)).alias("cycles"),
+        F.when(angle.between(0.0, 360.0), angle.cast("int")).otherwise(-1).alias("angle"), F.greatest(F.coalesce("cycle_count", F.lit(-1)), F.lit(-1)).alias("cycles"),
     )
     now = current_delivery(slim, "clip_id", "ingested_at", ["family", "way", "angle", "cycles"])
     return now.withColumnRenamed("way", "direction")
 
 
 def _motion_features():
-    turn = F.radians(F.col("angle").cast("double"))
+    turn, known = F.radians(F.col("angle").cast("double")), (F.col("angle") >= 0).cast("double")
     hot = [(F.col("family") == x).cast("double") * 4.0 for x in FAMILIES] + [(F.col("direction") == x).cast("double") * 2.0 for x in DIRECTIONS]
-    return [*hot, F.cos(turn) * 2.0, F.sin(turn) * 2.0, F.col("cycles").cast("double")]
+    return [*hot, F.cos(turn) * 2.0 * known, F.sin(turn) * 2.0 * known, known * 4.0, F.col("cycles").cast("double")]
+
 
+SETTING = ["family", "direction", "angle", "cycles"]
 
-def _variety() -> dict:
-    return {"ident": "clip_id", "setting": ["family", "direction", "angle", "cycles"], "features": _motion_features(), "bound": MOTION_SETTINGS}
+
+def _variety(spark: SparkSession, folder: str) -> dict:
+    return {"ident": "clip_id", "setting": SETTING, "features": _motion_features(), "size": int(setting(spark, folder, "varied_subset_size"))}
+
+
+def p2_densities(spark: SparkSession, folder: str) -> DataFrame:
+    """Every clip with the density of its setting, its draw key and whether it is drawn into the subset of varied_subset_size clips."""
+    out = density_weighted(motion_settings(spark, folder), **_variety(spark, folder))
+    return out.withColumns({"density": F.round("density", 6), "draw_key": F.round("draw_key", 6)})
 
 
 def p2_varied_subset(spark: SparkSession, folder: str) -> DataFrame:
     """varied_subset_size clips, drawn with probability inverse to the density of their motion setting."""
-    return varied_subset(motion_settings(spark, folder), int(setting(spark, folder, "varied_subset_size")), **_variety())
+    out = varied_subset(motion_settings(spark, folder), **_variety(spark, folder))
+    return out.withColumns({"density": F.round("density", 6), "draw_key": F.round("draw_key", 6)})
 
 
-def p2_densities(spark: SparkSession, folder: str) -> DataFrame:
-    """Every clip with the density of its setting and its draw key: the clips of the smallest keys are the subset, for any size."""
-    return density_weighted(motion_settings(spark, folder), **_variety())
+def p2_setting_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Settings by how many clips share them (powers of ten): settings, clips, drawn clips, settings with a drawn clip, and the clips that a plain sample of that size would have."""
+    keyed = density_weighted(motion_settings(spark, folder), **_variety(spark, folder))
+    each = keyed.groupBy(*SETTING).agg(F.count(F.lit(1)).alias("clips"), F.count_if("drawn").alias("drawn"))
+    out = each.groupBy(F.floor(F.log10("clips") + 1e-9).cast("int").alias("tens")).agg(F.count(F.lit(1)).alias("settings"), F.sum("clips").alias("clips"), F.sum("drawn").alias("drawn"), F.count_if(F.col("drawn") > 0).alias("settings_drawn"))
+    whole = out.agg(F.sum("drawn") / F.sum("clips")).scalar()
+    return out.withColumn("plain_sample", F.round(F.col("clips") * whole, 6))
 
 
 # ---- 3: splits that keep related groups together ----
@@ -335,7 +350,7 @@ def p9_stretches(spark: SparkSession, folder: str) -> DataFrame:
 def llm_queries() -> dict:
     """In order of the problems; the first of each is the one with the whole result."""
     listed = [
-        p1_found, p1_capped_clips, p1_reservoir_clips, p1_scene_counts, p2_densities, p2_varied_subset, p3_found, p3_splits, p3_incremental_splits,
+        p1_found, p1_capped_clips, p1_reservoir_clips, p1_scene_counts, p2_densities, p2_varied_subset, p2_setting_report, p3_found, p3_splits, p3_incremental_splits,
         p4_found, p4_target_sample, p4_target_report, p5_found, p5_overlap_counts, p6_stable_sample, p7_containers, p7_fill, p8_mix, p8_shares,
         p9_found, p9_document_labels, p9_stretches,
     ]

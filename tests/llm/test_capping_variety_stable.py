@@ -107,7 +107,7 @@ def test_budget(spark):
 def variety(size, df):
     turn = F.radians(F.col("angle").cast("double"))
     features = [(F.col("family") == "x").cast("double") * 4, F.cos(turn), F.sin(turn)]
-    return varied_subset(df, size, ident="i", setting=["family", "angle"], features=features, bound=1000)
+    return varied_subset(df, size=size, ident="i", setting=["family", "angle"], features=features)
 
 
 def test_varied_subset(spark):
@@ -123,9 +123,9 @@ def test_varied_subset(spark):
 
 def test_density_counts_buckets(spark):
     df = spark.createDataFrame([(i, float(i // 50)) for i in range(100)], "i int, v double")
-    got = density_weighted(df, "i", ["v"], [F.col("v") * 1e6], bound=10)
+    got = density_weighted(df, "i", ["v"], [F.col("v") * 1e6], size=10)
     assert {r["density"] for r in got.collect()} == {50.0}
-    same = density_weighted(df, "i", ["v"], [F.col("v") * 1e-9], bound=10**9)
+    same = density_weighted(df, "i", ["v"], [F.col("v") * 1e-9], size=10)
     assert {r["density"] for r in same.collect()} == {100.0}
 
 
