@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Ranges of a hash into which running totals are cut.
 BUCKETS = 1024
 
 
@@ -92,33 +93,30 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread: Column, salt
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def take_by_budget(df: DataFrame, key: str, position: str, size: Column, ident: str, budgets: DataFrame, most_keys: int, nearest: bool = True) -> DataFrame:
-    """Rows of each key in order of ``position`` (a number in (0, 1)) and ``ident`` until their sizes use up the key's ``budget``.
+def budget_cuts(df: DataFrame, key: str, position: str, size: Column, ident: str, budgets: DataFrame, keys: int) -> DataFrame:
+    """(key, taken, last): for each key of ``budgets`` (key, budget; ``keys`` rows) how much the longest prefix of its rows in order of
+    ``position`` and ``ident`` that fits the budget adds up to, and the (position, ident) of its last row; 0 and null where not even the first row fits.
 
-    ``budgets``: (key, budget), one row a key, at most ``most_keys`` rows, which bounds what is broadcast. Positions fall into
-    BUCKETS ranges; whole ranges below the one in which the budget runs out are taken without a sort, and only the rows of
-    that range are ranked. A row is taken if the sizes before it are less than the budget and it fits or, if ``nearest``, the sum ends nearer
-    to the budget with it than without it. Returns the rows of ``df`` taken. The count of keys must be small; the count of rows of a key need not.
+    Positions, in [0, 1], fall into equal ranges. Ranges are added up on the map side, and only the rows of the one range in which a
+    key's budget runs out are sorted, so a key with most of all rows is no hot task. Rows of a null key or size are in no prefix.
     """
-    if most_keys * BUCKETS > 50_000_000:
-        raise ValueError("too many keys for a table of ranges by key")
-    b = df.withColumn("_b", F.least(F.floor(F.col(position) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")).withColumn("_size", size)
-    sums = b.groupBy(F.col(key).alias("_k"), "_b").agg(F.sum("_size").alias("_s"))
-    run = Window.partitionBy("_k").orderBy("_b")
-    sums = sums.withColumn("_before", F.sum("_s").over(run) - F.col("_s"))
-    cuts = sums.join(F.broadcast(budgets.select(F.col(key).alias("_k"), "budget")), "_k")
-    cuts = cuts.groupBy("_k").agg(
-        F.max(F.when(F.col("_before") < F.col("budget"), F.struct("_b", "_before", "budget"))).alias("_cut")
-    )
-    cuts = cuts.where(F.col("_cut").isNotNull()).select("_k", F.col("_cut._b").alias("_cb"), (F.col("_cut.budget") - F.col("_cut._before")).alias("_left"))
-    joined = b.join(F.broadcast(cuts), F.col(key) == F.col("_k"))
-    whole = joined.where(F.col("_b") < F.col("_cb")).select(*df.columns)
-    order = Window.partitionBy("_k").orderBy(position, ident)
-    last = joined.where(F.col("_b") == F.col("_cb")).withColumn("_end", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    begin = F.col("_end") - F.col("_size")
-    over = F.col("_end") - F.col("_left")
-    last = last.where((begin < F.col("_left")) & (over <= (F.col("_left") - begin if nearest else F.lit(0.0)))).select(*df.columns)
-    return whole.unionAll(last)
+    ranges = max(64, min(65_536, 4_000_000 // max(1, keys)))
+    b = df.select(F.col(key).alias("_k"), F.col(position).alias("_p"), F.col(ident).alias("_i"), size.alias("_size")).where(F.col("_k").isNotNull() & F.col("_size").isNotNull())
+    b = b.withColumn("_b", F.least(F.floor(F.col("_p") * ranges), F.lit(ranges - 1)).cast("int"))
+    sums = b.groupBy("_k", "_b").agg(F.sum("_size").alias("_s"), F.max(F.struct("_p", "_i")).alias("_end"))
+    upto = F.sum("_s").over(Window.partitionBy("_k").orderBy("_b"))
+    plan = budgets.select(F.col(key).alias("_bk"), "budget")
+    sums = sums.withColumn("_upto", upto).join(plan, F.col("_k") == F.col("_bk"))
+    fits = F.col("_upto") <= F.col("budget")
+    cuts = sums.groupBy("_k").agg(
+        F.max(F.when(fits, F.col("_upto"))).alias("_before"), F.max(F.when(fits, F.col("_end"))).alias("_end"), F.min(F.when(~fits, F.col("_b"))).alias("_cb"), F.first("budget").alias("_budget"))
+    cuts = cuts.withColumn("_before", F.coalesce("_before", F.lit(0).cast(sums.schema["_upto"].dataType)))
+    # One row a key, at most one a row of ``budgets``: whether it is broadcast Spark decides by its size.
+    open_ = b.join(cuts.where(F.col("_cb").isNotNull()).select(F.col("_k").alias("_ck"), "_cb", "_before", "_budget"), (F.col("_k") == F.col("_ck")) & (F.col("_b") == F.col("_cb")))
+    run = F.sum("_size").over(Window.partitionBy("_k").orderBy("_p", "_i").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    more = open_.withColumn("_run", run).where(F.col("_run") <= F.col("_budget")).groupBy("_k").agg(F.max("_run").alias("_run"), F.max(F.struct("_p", "_i")).alias("_more"))
+    out = cuts.join(more.withColumnRenamed("_k", "_mk"), F.col("_k") == F.col("_mk"), "left")
+    return out.select(F.col("_k").alias(key), F.greatest("_before", "_run").alias("taken"), F.greatest("_end", "_more").alias("last"))
 
 
 def finite(x: float) -> bool:

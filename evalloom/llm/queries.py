@@ -9,10 +9,11 @@ from evalloom.llm.capping import cap_per_contributor
 from evalloom.llm.common import blank_to_null, current_delivery, label_keys, nearest_category, scene_key, setting, squash, table
 from evalloom.llm.language import fit_on_documents, label_language, language_stretches
 from evalloom.llm.linked_splits import assign_splits, hub_table, linked_blocks, reissue_base, shared_object_tags
-from evalloom.llm.mixing import REPORT, mix, unique_texts
+from evalloom.llm import mixing
+from evalloom.llm.mixing import mix, unique_texts
 from evalloom.llm.overlap import overlap_pairs, parse_metres
 from evalloom.llm.packing import pack_texts
-from evalloom.llm.quota_sample import quota_sample
+from evalloom.llm.quota_sample import REPORT, quota_sample
 from evalloom.llm.stable import raise_thresholds, stable_sample
 from evalloom.llm.tokens import RANKS, measured
 from evalloom.llm.variety import density_weighted, varied_subset
@@ -202,12 +203,7 @@ def _quota(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple]]:
     categories = {a: [r["category"] for r in rows if r["axis"] == a] for a in AXES}
     groups = cut_lineage(categorised_groups(spark, folder, categories))
     targets = {(r["axis"], r["category"]): (r["target_share"], r["min_count"]) for r in rows}
-    share = setting(spark, folder, "sample_share")
-    size = groups.count() * share
-    sample, report = quota_sample(groups, "group_id", AXES, targets, round(size))
-    # What is needed refers to the exact share of the groups, not to the rounded size of the sample.
-    report = [(a, c, s, m, there, max(float(m), s * size), got, there < max(float(m), s * size)) for a, c, s, m, there, _, got, _ in report]
-    return sample, report
+    return quota_sample(groups, "group_id", AXES, targets, groups.count() * setting(spark, folder, "sample_share"))
 
 
 def p4_target_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,13 +212,14 @@ def p4_target_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_target_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Every target with what is available, needed and sampled."""
-    schema = "axis string, category string, target_share double, min_count bigint, available bigint, needed double, sampled bigint, short boolean"
-    return spark.createDataFrame(_quota(spark, folder)[1], schema)
+    """Every target with what is available, needed and sampled, whether it is missed and why."""
+    return spark.createDataFrame(_quota(spark, folder)[1], REPORT)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p4_target_report(spark, folder).where("short").select("axis", "category")
+    """Targets that the repaired sample misses, and, checked after that, that no sample can meet as there are too few groups."""
+    missed = p4_target_report(spark, folder).where("unmet")
+    return missed.where(F.col("available") < F.col("needed")).select("axis", "category")
 
 
 # ---- 5: overlaps across splits ----
@@ -309,7 +306,7 @@ def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Every source with its target and actual share of the tokens."""
-    return spark.createDataFrame(_mixed(spark, folder)[1], REPORT)
+    return spark.createDataFrame(_mixed(spark, folder)[1], mixing.REPORT)
 
 
 # ---- 9: languages of documents ----

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalloom.llm.capping import cap_per_contributor
-from evalloom.llm.common import current_delivery, label_keys, nearest_category, scene_key, take_by_budget, unit_hash
+from evalloom.llm.common import budget_cuts, current_delivery, label_keys, nearest_category, scene_key, unit_hash
 from evalloom.llm.stable import raise_thresholds, salted_position, stable_sample
 from evalloom.llm.variety import density_weighted, varied_subset
 
@@ -91,17 +91,22 @@ def test_current_delivery(spark):
 
 def test_budget(spark):
     rng = random.Random(4)
-    rows = [(i, rng.choice("abc"), rng.random() ** 4, rng.randint(1, 9)) for i in range(900)]
-    budgets = {"a": 300.0, "b": 0.0, "c": 1e9}
+    rows = [(i, rng.choice("abcd"), rng.choice([rng.random() ** 4, 0.25]), rng.randint(1, 9)) for i in range(900)] + [(1000, None, 0.1, 1), (1001, "a", 0.0, None)]
+    budgets = {"a": 300, "b": 0, "c": 10**9, "x": 5, "d": 1}
     df = spark.createDataFrame(rows, "i int, k string, p double, n int")
-    plan = spark.createDataFrame(list(budgets.items()), "k string, budget double")
-    got = Counter(r["k"] for r in take_by_budget(df, "k", "p", F.col("n").cast("double"), "i", plan, 3).collect())
-    run, count = 0, 0
-    for r in sorted((r for r in rows if r[1] == "a"), key=lambda r: (r[2], r[0])):
-        if run < 300 and abs(run + r[3] - 300) <= 300 - run:
-            count += 1
-        run += r[3]
-    assert got["a"] == count and got["b"] == 0 and got["c"] == sum(r[1] == "c" for r in rows)
+    plan = spark.createDataFrame(list(budgets.items()), "k string, budget bigint")
+    got = {r["k"]: (r["taken"], r["last"]) for r in budget_cuts(df, "k", "p", F.col("n"), "i", plan, 5).collect()}
+    for k, budget in budgets.items():
+        run, last = 0, None
+        for r in sorted((r for r in rows if r[1] == k and r[3]), key=lambda r: (r[2], r[0])):
+            if run + r[3] > budget:
+                break
+            run, last = run + r[3], (r[2], r[0])
+        if k == "x":
+            assert k not in got
+        else:
+            assert got[k][0] == run and (got[k][1] and tuple(got[k][1])) == last
+    assert budget_cuts(df.where("false"), "k", "p", F.col("n"), "i", plan, 5).count() == 0
 
 
 def variety(size, df):

@@ -107,6 +107,48 @@ def test_repair_reaches_targets():
     assert repair({}, targets, 10) == {} and sum(repair(counts, {}, 10**9).values()) == sum(counts.values())
 
 
+def exchange_gain(counts, targets, take, i, j, size):
+    """Fall of the total cost when one row of signature i is exchanged for one of j, counted from scratch."""
+
+    def cost(t):
+        total = 0.0
+        for (a, c), (share, least) in targets.items():
+            n = sum(x for s, x in t.items() if s[a] == c)
+            total += (n - share * size) ** 2 + 1e6 * size * max(0, least - n)
+        return total
+
+    moved = Counter(take)
+    moved[i] -= 1
+    moved[j] += 1
+    return cost(take) - cost(moved)
+
+
+def test_repair_ends_where_no_exchange_helps():
+    rng = random.Random(21)
+    for trial in range(12):
+        counts = {(a, b, c): rng.randint(1, 40) for a in "pqr" for b in ["u", "v", "w", None] for c in ["x", "y"] if rng.random() < 0.8}
+        targets = {(0, "p"): (0.5, 3), (0, "q"): (0.4, 9), (0, "r"): (0.1, 2), (1, "u"): (0.2, 30), (1, "v"): (0.7, 1), (2, "x"): (0.9, 0), (2, "y"): (0.1, 5)}
+        size = rng.randint(40, 200)
+        take = repair(counts, targets, size, seed=trial)
+        size = min(size, sum(counts.values()))
+        assert sum(take.values()) == size
+        for i in take:
+            for j in counts:
+                if i != j and take.get(j, 0) < counts[j]:
+                    assert exchange_gain(counts, targets, take, i, j, size) <= 1e-6
+    starts = {tuple(sorted(repair(dict.fromkeys([("a",), ("b",)], 50), {}, 30, seed=k).items())) for k in range(8)}
+    assert len(starts) > 1  # the start is random
+
+
+def test_report_names_joint_misses(spark):
+    # Enough rows of each category, but all of p are u, so p and v cannot both be met.
+    df = spark.createDataFrame([(i, "p", "u") for i in range(50)] + [(50 + i, "q", "v") for i in range(50)] + [(200, "other", "u")], "g int, a string, b string")
+    _, report = quota_sample(df, "g", ["a", "b"], {("a", "p"): (0.8, 0), ("a", "q"): (0.2, 0), ("b", "v"): (0.8, 0), ("b", "u"): (0.2, 0)}, 40)
+    causes = {r[1]: r[8] for r in report}
+    assert causes["p"] == causes["v"] == "joint" and {r[7] for r in report if r[1] in "pv"} == {True}
+    assert "available" not in causes.values()
+
+
 def test_quota_sample(spark):
     rng = random.Random(9)
     rows = [(f"g{i}", rng.choice("ab" if i % 7 else "c"), rng.choice(["x", "x", "x", "y", None])) for i in range(1500)]
@@ -115,8 +157,8 @@ def test_quota_sample(spark):
     sample, report = quota_sample(df, "g", ["a", "b"], targets, 300)
     got = sample.collect()
     assert len(got) == len({r["g"] for r in got}) == 300
-    by = {(a, c): (there, needed, sampled, short) for a, c, _, _, there, needed, sampled, short in report}
-    assert by["b", "z"] == (0, 3.0, 0, True) and not by["a", "a"][3]
+    by = {(a, c): (there, needed, sampled, cause) for a, c, _, _, there, needed, sampled, _, cause in report}
+    assert by["b", "z"] == (0, 3.0, 0, "available") and by["a", "a"][3] in (None, "rounding")
     for (axis, c), (_, needed, sampled, _) in by.items():
         assert sampled == sum(r[axis] == c for r in got)
         if c != "z":

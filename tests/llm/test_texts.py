@@ -12,6 +12,7 @@ from evalloom.llm.byte_cnn import ByteCNN, stack, strip_accents, windows, wrongl
 from evalloom.llm.language import LANGUAGE_NAMES, classify, decode, label_language, language_stretches, repaired, units
 from evalloom.llm.mixing import mix, unique_texts
 from evalloom.llm.packing import pack, pack_texts
+from evalloom.llm.queries import p8_shares
 
 SAMPLES = "/root/testdata/sf0.001/lang_samples.parquet"
 
@@ -84,6 +85,33 @@ def test_mix(spark):
     assert empty.count() == 0 and all(r[2] == 0 for r in report)
 
 
+def test_no_source_starves(spark):
+    # Texts larger than their budget, no quality, huge and tiny qualities.
+    rng = random.Random(7)
+    rows = [(i, "tiny", 10, 1.0) for i in range(20)] + [(100 + i, "large", 900 + i, 5.0) for i in range(3)] + [(200 + i, "odd", rng.randint(1, 40), rng.choice([None, 0.0, -1.0, float("nan"), 1e-9, 1e9, 2.0])) for i in range(400)]
+    texts = spark.createDataFrame(rows, "ident bigint, source string, tokens bigint, quality double")
+    out, report = mix(texts, {"tiny": (0.4, 2), "large": (0.2, 1), "odd": (0.4, 1)})
+    by = {r[0]: r for r in report}
+    assert by["tiny"][3] == by["tiny"][4] == 400 and by["large"][3] == 900 and by["odd"][4] == 400
+    sizes = {r[0]: r[2] for r in rows}
+    got = {r["ident"]: r["uses"] for r in out.collect()}
+    left = [sizes[i] for i in sizes if i not in got and 200 <= i]
+    miss = by["odd"][3] - 400
+    assert all(abs(miss) <= abs(miss + n) for n in left)  # no single text more would end nearer
+    picked = {i for i in got if i >= 200}
+    blank = {r[0] for r in rows if r[0] >= 200 and not (r[3] and r[3] > 0)}
+    assert len(blank & picked) <= 1  # only as the closing text
+    assert all(sum(sizes[i] * n for i, n in got.items() if lo <= i < lo + 100) == by[s][3] for s, lo in (("tiny", 0), ("large", 100)))
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_shares_of_the_test_tables(spark, scale):
+    rows = p8_shares(spark, f"/root/testdata/{scale}").collect()
+    reached = [r for r in rows if r["available_tokens"]]
+    assert all(r["tokens"] > 0 for r in reached)
+    assert sum(abs(r["tokens"] - r["budget"]) <= 0.15 * r["budget"] for r in reached) >= len(reached) - 1  # one source has a single text
+
+
 def test_unique_texts(spark):
     rows = [(2, "a", "f", 5, 0.1), (1, "a", "f", 5, 0.2), (3, "b", None, 0, 0.0), (4, None, "g", 3, 0.1), (5, "b", "h", 3, 0.1)]
     got = unique_texts(spark.createDataFrame(rows, "d int, s string, f string, n bigint, q double"), "d", "s", "f", "n", "q").collect()
