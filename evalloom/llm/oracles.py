@@ -72,12 +72,14 @@ P5_PAIRS = f"""
         FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY ingested_at DESC) AS n FROM clips)
         WHERE n = 1 AND trim(scene_id) <> '' AND trim(ground_truth) <> ''
     ), pairs AS (
-        SELECT e.clip_id AS eval_id, t.clip_id AS train_id, e.split, e.engine
+        SELECT e.clip_id AS eval_id, t.clip_id AS train_id, e.split, e.engine, t.engine AS train_engine
         FROM now e JOIN now t ON e.split <> 'train' AND t.split = 'train' AND e.scene = t.scene AND e.question_type = t.question_type
             AND e.dim = t.dim AND e.labels = t.labels AND e.labels <> '' AND round(abs(e.metres - t.metres), 9) < 0.15
     )
 """
 
+MULTISET = "list_transform(string_split({x}, '~'), lambda v, i: v || len(list_filter(string_split({x}, '~')[1:i], lambda w: w = v)))"
+
 
 HUBS = f"""
     links AS (
@@ -149,7 +151,13 @@ def llm_oracles() -> dict[str, str]:
             WHERE available < greatest(min_count, target_share * (SELECT amount FROM plan_settings WHERE setting = 'sample_share') * (SELECT count(DISTINCT group_id) FROM candidate_groups))
         """,
         "p5_found": f"{P5_PAIRS} SELECT least(eval_id, train_id) AS clip_lo, greatest(eval_id, train_id) AS clip_hi FROM pairs",
-        "p5_overlap_counts": f"{P5_PAIRS} SELECT split, engine, count(*) AS pairs, count(DISTINCT eval_id) AS eval_clips FROM pairs GROUP BY split, engine",
+        "p5_overlap_counts": f"{P5_PAIRS} SELECT split, engine, train_engine, count(*) AS pairs, count(DISTINCT eval_id) AS eval_clips FROM pairs GROUP BY ALL",
+        "p5_similar_clips": f"""{P5_PAIRS.split("), pairs AS")[0]})
+            SELECT e.split, count(*) AS pairs, count(*) FILTER (WHERE e.labels <> t.labels) AS near_pairs
+            FROM now e JOIN now t ON e.split <> 'train' AND t.split = 'train' AND e.scene = t.scene AND e.question_type = t.question_type AND e.dim = t.dim AND e.labels <> '' AND t.labels <> ''
+                AND round(abs(e.metres - t.metres), 9) < 0.15 AND len(list_intersect({MULTISET.format(x="e.labels")}, {MULTISET.format(x="t.labels")})) * 2
+                    >= len(list_distinct(list_concat({MULTISET.format(x="e.labels")}, {MULTISET.format(x="t.labels")})))
+            GROUP BY 1""",
         "p6_stable_sample": """
             WITH ids AS (
                 SELECT 'clip' AS kind, clip_id AS ident, min(engine || '/' || question_type) AS stratum FROM clips GROUP BY clip_id

@@ -245,9 +245,17 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_overlap_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs, and the distinct clips in them, by evaluation split and engine."""
-    pairs = _overlaps(spark, folder).groupBy("eval_split", "eval_engine", "eval_id").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.groupBy(F.col("eval_split").alias("split"), F.col("eval_engine").alias("engine")).agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("eval_clips"))
+    """Pairs, and the distinct evaluation clips in them, by evaluation split and the engines of both sides."""
+    pairs = _overlaps(spark, folder).groupBy("eval_split", "eval_engine", "train_engine", "eval_id").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy(F.col("eval_split").alias("split"), F.col("eval_engine").alias("engine"), "train_engine").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("eval_clips"))
+
+
+def p5_similar_clips(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs across splits that share half of their labels or more, by evaluation split: the overlaps that equality does not find are among them."""
+    records = split_records(spark, folder)
+    pairs = overlap_pairs(records, "clip_id", "is_eval", F.col("place"), "labels", "metres", PAIR_WITHIN, ["split", "labels"], share=0.5)
+    same = F.col("eval_labels") == F.col("train_labels")
+    return pairs.groupBy(F.col("eval_split").alias("split")).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(~same).alias("near_pairs"))
 
 
 # ---- 6: stable sample ----
@@ -348,7 +356,7 @@ def llm_queries() -> dict:
     """In order of the problems; the first of each is the one with the whole result."""
     listed = [
         p1_found, p1_capped_clips, p1_reservoir_clips, p1_scene_counts, p2_densities, p2_varied_subset, p2_setting_report, p3_found, p3_splits, p3_incremental_splits,
-        p4_found, p4_target_sample, p4_target_report, p5_found, p5_overlap_counts, p6_stable_sample, p7_containers, p7_fill, p8_mix, p8_shares,
+        p4_found, p4_target_sample, p4_target_report, p5_found, p5_overlap_counts, p5_similar_clips, p6_stable_sample, p7_containers, p7_fill, p8_mix, p8_shares,
         p9_found, p9_document_labels, p9_stretches,
     ]
     return {f.__name__: f for f in listed}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalloom.llm.linked_splits import assign_splits, components, hub_table, linked_blocks, reissue_base, shared_object_tags
-from evalloom.llm.overlap import overlap_pairs, parse_metres
+from evalloom.llm.overlap import numbered, overlap_pairs, parse_metres, similar_sets
 from evalloom.llm.quota_sample import quota_sample, repair
 
 
@@ -186,3 +186,36 @@ def test_overlap_pairs(spark):
     expected = {(a[0], b[0]) for a in clean if a[1] for b in clean if not b[1] and a[2] == b[2] and sorted(a[3]) == sorted(b[3]) and round(abs(a[4] - b[4]), 9) < 0.15}
     assert len(got) == len(set(got)) and set(got) == expected and ("e", "g") in expected and ("e", "f") not in expected
     assert overlap_pairs(df.where("false"), "i", "ev", F.col("p"), "w", "v", 0.15).count() == 0
+
+
+def multiset_similarity(a, b):
+    x, y = Counter(a), Counter(b)
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+@pytest.mark.parametrize("share", [0.3, 0.5, 0.6, 0.8, 1.0])
+def test_similar_sets_lose_no_pair(spark, share):
+    rng = random.Random(int(share * 100))
+    make = lambda n: {(rng.choice("pq"), tuple(sorted({rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))}))) for _ in range(n)}
+    left, right = make(60), make(120)
+    frame_of = lambda rows: spark.createDataFrame([(p, list(s)) for p, s in rows], "place string, set array<string>")
+    got = [(r["place"], tuple(r["a"]), tuple(r["b"])) for r in similar_sets(frame_of(left), frame_of(right), share).collect()]
+    want = {(p, a, b) for p, a in left for q, b in right if p == q and len(set(a) & set(b)) / len(set(a) | set(b)) >= share - 1e-9}
+    assert len(got) == len(set(got)) and set(got) == want and want
+    with pytest.raises(ValueError):
+        similar_sets(frame_of(left), frame_of(right), 0.0)
+
+
+def test_overlaps_below_equality(spark):
+    rng = random.Random(31)
+    rows = [(f"r{i:03d}", rng.random() < 0.4, rng.choice(["s", "s", "t"]), [rng.choice("abc") for _ in range(rng.randint(1, 4))] + rng.choice([[], [None]]), round(rng.uniform(0, 1), 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "i string, ev boolean, p string, w array<string>, v double")
+    got = [(r["eval_id"], r["train_id"]) for r in overlap_pairs(df, "i", "ev", F.col("p"), "w", "v", 0.2, share=0.5).collect()]
+    clean = [(i, e, p, [t for t in w if t], v) for i, e, p, w, v in rows]
+    want = {(a[0], b[0]) for a in clean if a[1] for b in clean if not b[1] and a[2] == b[2] and multiset_similarity(a[3], b[3]) >= 0.5 and round(abs(a[4] - b[4]), 9) < 0.2}
+    assert len(got) == len(set(got)) and set(got) == want and any(sorted(a[3]) != sorted(b[3]) for a in clean for b in clean if (a[0], b[0]) in want)
+
+
+def test_numbered_tokens(spark):
+    got = spark.createDataFrame([(["b", "a", "b", "b"],)], "w array<string>").select(numbered(F.col("w"))).head()[0]
+    assert [t.replace("\x1f", "#") for t in got] == ["a#0", "b#0", "b#1", "b#2"]
