@@ -14,10 +14,10 @@ from evalloom.llm.mixing import mix, unique_texts
 from evalloom.llm.overlap import overlap_pairs, parse_metres
 from evalloom.llm.packing import pack_texts
 from evalloom.llm.quota_sample import REPORT, quota_sample
-from evalloom.llm.stable import raise_thresholds, stable_sample
+from evalloom.llm.stable import load_thresholds, raise_thresholds, save_thresholds, stable_sample
 from evalloom.llm.tokens import RANKS, measured
 from evalloom.llm.variety import density_weighted, varied_subset
-from evalloom.session import cut_lineage
+from evalloom.session import cut_lineage, scratch
 
 PAIR_WITHIN = 0.15
 
@@ -261,16 +261,41 @@ def p5_similar_clips(spark: SparkSession, folder: str) -> DataFrame:
 # ---- 6: stable sample ----
 
 
+ENGINES = ["thor", "interiorgs"]
+SCARCE_TYPE = "object_pair_distance_center"
+
+
+def _strata(share: float, scarce: float) -> dict[str, float]:
+    """The fixed rate of each stratum, engine and question type; any other has ``share``, under the key ""."""
+    return {"": share, **{f"{e}/{t}": scarce if t == SCARCE_TYPE else share for e in ENGINES for t in FAMILY_OF_TYPE}}
+
+
+def _stable(spark: SparkSession, folder: str, thresholds: dict[str, float], keep=lambda df: df) -> DataFrame:
+    stratum = F.concat_ws("/", "engine", "question_type")
+    parts = [stable_sample(keep(table(spark, folder, name)), f"{kind}_id", stratum, thresholds, salt=kind).withColumn("kind", F.lit(kind)) for kind, name in (("clip", "clips"), ("group", "consistency_groups"))]
+    return parts[0].unionByName(parts[1]).select("kind", "ident", "stratum")
+
+
 def p6_stable_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """(kind, ident, stratum): stable_sample_share of the clip ids and of the group ids, by engine and question type."""
+    """(kind, ident, stratum): stable_sample_share of the clip ids and of the group ids, the same rate in each stratum of engine and question type."""
     share = setting(spark, folder, "stable_sample_share")
-    stratum = F.concat_ws("/", "engine", "question_type")
-    out = None
-    for kind, name in (("clip", "clips"), ("group", "consistency_groups")):
-        picked = stable_sample(table(spark, folder, name), f"{kind}_id", stratum, raise_thresholds({}, default=share), salt=kind)
-        picked = picked.select(F.lit(kind).alias("kind"), "ident", "stratum")
-        out = picked if out is None else out.unionByName(picked)
-    return out
+    return _stable(spark, folder, raise_thresholds(_strata(share, share)))
+
+
+def p6_grown_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, ident, stratum, first, now): the sample of the batches up to the middle one, and that of all batches after the rate of the
+    scarce question type was doubled against the stored thresholds and that of the others was asked to fall, which it may not. now is true for every row."""
+    share = setting(spark, folder, "stable_sample_share")
+    clips = table(spark, folder, "clips")
+    middle = clips.agg(((F.min("batch_no") + F.max("batch_no")) / 2).alias("m")).head()[0] or 0.0
+    early = clips.where(F.col("batch_no") <= middle)
+    kept = scratch(spark, "thresholds")
+    save_thresholds(spark, raise_thresholds(_strata(share, share)), f"{kept}/1")
+    first = _stable(spark, folder, load_thresholds(spark, f"{kept}/1"), lambda df: df.where(F.col("batch_no") <= middle) if "batch_no" in df.columns else df.join(early.select("group_id").distinct(), "group_id", "left_semi"))
+    save_thresholds(spark, raise_thresholds(_strata(share / 2, min(1.0, 2 * share)), load_thresholds(spark, f"{kept}/1")), f"{kept}/2")
+    now = _stable(spark, folder, load_thresholds(spark, f"{kept}/2"))
+    both = first.withColumns({"first": F.lit(True), "now": F.lit(False)}).unionByName(now.withColumns({"first": F.lit(False), "now": F.lit(True)}))
+    return both.groupBy("kind", "ident").agg(F.min("stratum").alias("stratum"), F.max("first").alias("first"), F.max("now").alias("now"))
 
 
 # ---- 7: containers of tokens ----
@@ -356,7 +381,7 @@ def llm_queries() -> dict:
     """In order of the problems; the first of each is the one with the whole result."""
     listed = [
         p1_found, p1_capped_clips, p1_reservoir_clips, p1_scene_counts, p2_densities, p2_varied_subset, p2_setting_report, p3_found, p3_splits, p3_incremental_splits,
-        p4_found, p4_target_sample, p4_target_report, p5_found, p5_overlap_counts, p5_similar_clips, p6_stable_sample, p7_containers, p7_fill, p8_mix, p8_shares,
+        p4_found, p4_target_sample, p4_target_report, p5_found, p5_overlap_counts, p5_similar_clips, p6_stable_sample, p6_grown_sample, p7_containers, p7_fill, p8_mix, p8_shares,
         p9_found, p9_document_labels, p9_stretches,
     ]
     return {f.__name__: f for f in listed}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import chain
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = 16**12
@@ -29,6 +31,16 @@ def raise_thresholds(rates: dict[str, float], earlier: dict[str, float] | None =
     return new
 
 
+def save_thresholds(spark: SparkSession, thresholds: dict[str, float], folder: str) -> None:
+    """Writes the thresholds (stratum, threshold) for the runs to come; ``folder`` must be new, so that no earlier state is lost if the write fails."""
+    spark.createDataFrame(sorted(thresholds.items()), "stratum string, threshold double").coalesce(1).write.parquet(folder)
+
+
+def load_thresholds(spark: SparkSession, folder: str) -> dict[str, float]:
+    """What save_thresholds wrote: one row a stratum that was given a rate."""
+    return {r["stratum"]: r["threshold"] for r in spark.read.parquet(folder).collect()}
+
+
 def stable_sample(df: DataFrame, ident: str, stratum: Column, thresholds: dict[str, float], salt: str = "stable") -> DataFrame:
     """(ident, stratum): the distinct ids whose salted position is under their stratum's threshold. Null ids are dropped.
 
@@ -39,9 +51,8 @@ def stable_sample(df: DataFrame, ident: str, stratum: Column, thresholds: dict[s
     """
     limit = F.lit(float(thresholds.get("", 0.0)))
     name = F.coalesce(stratum.cast("string"), F.lit(""))
-    for key, rate in thresholds.items():
-        if key:
-            limit = F.when(name == key, F.lit(float(rate))).otherwise(limit)
+    if own := {k: float(v) for k, v in thresholds.items() if k}:
+        limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for x in chain(*own.items())]), name), limit)
     slim = df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("ident"), name.alias("stratum"), limit.alias("_limit"))
     picked = slim.where(salted_position(F.col("ident"), salt) < F.col("_limit") * F.lit(float(SPACE)))
     return picked.groupBy("ident").agg(F.min("stratum").alias("stratum"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.capping import cap_per_contributor
 from evalloom.llm.common import budget_cuts, current_delivery, label_keys, nearest_category, scene_key, unit_hash
-from evalloom.llm.stable import raise_thresholds, salted_position, stable_sample
+from evalloom.llm.stable import load_thresholds, raise_thresholds, salted_position, save_thresholds, stable_sample
 from evalloom.llm.variety import density_weighted, varied_subset
 
 
@@ -159,3 +159,12 @@ def test_hashes(spark):
     assert all(0 < x < 1 for x in u) and abs(sum(u) / 4000 - 0.5) < 0.03
     p = spark.range(1).select(salted_position(F.lit("abc"), "s")).head()[0]
     assert p == int(hashlib.md5(b"s:abc").hexdigest()[:12], 16)
+
+
+def test_thresholds_are_kept_between_runs(spark, tmp_path):
+    save_thresholds(spark, {"": 0.1, "a": 0.3}, f"{tmp_path}/one")
+    assert load_thresholds(spark, f"{tmp_path}/one") == {"": 0.1, "a": 0.3}
+    assert raise_thresholds({"a": 0.2, "b": 0.5}, load_thresholds(spark, f"{tmp_path}/one")) == {"": 0.1, "a": 0.3, "b": 0.5}
+    df = spark.range(3000).select(F.concat(F.lit("c"), "id").alias("c"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit(None)), (F.col("id") % 3 + 1).cast("int")).alias("s"))
+    got = Counter(r["stratum"] for r in stable_sample(df, "c", F.col("s"), {"a": 0.5, "b": 0.0}).collect())
+    assert 430 < got["a"] < 570 and got["b"] == got[""] == 0
