@@ -126,7 +126,7 @@ P6_IDS = """
         SELECT 'clip' AS kind, clip_id AS ident, min(engine || '/' || question_type) AS stratum, clip_id IN (SELECT clip_id FROM early) AS early FROM clips GROUP BY clip_id
         UNION ALL SELECT 'group', group_id, min(engine || '/' || question_type), group_id IN (SELECT group_id FROM early) FROM consistency_groups GROUP BY group_id
     ), ids AS (
-        SELECT *, CAST('0x' || substr(md5(kind || ':' || ident), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS at, (SELECT amount FROM plan_settings WHERE setting = 'stable_sample_share') AS share FROM listed
+        SELECT *, CAST('0x' || substr(md5(kind || ':' || ident), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS place, (SELECT amount FROM plan_settings WHERE setting = 'stable_sample_share') AS share FROM listed
     )
 """
 
@@ -168,7 +168,7 @@ def llm_oracles() -> dict[str, str]:
                 AND round(abs(e.metres - t.metres), 9) < 0.15 AND len(list_intersect({MULTISET.format(x="e.labels")}, {MULTISET.format(x="t.labels")})) * 2
                     >= len(list_distinct(list_concat({MULTISET.format(x="e.labels")}, {MULTISET.format(x="t.labels")})))
             GROUP BY 1""",
-        "p6_stable_sample": f"{P6_IDS} SELECT kind, ident, stratum FROM ids WHERE at < share",
-        "p6_grown_sample": f"""{P6_IDS} SELECT kind, ident, stratum, early AND at < share AS first, true AS now FROM ids
-            WHERE at < share * CASE WHEN stratum LIKE '%/object_pair_distance_center' THEN 2 ELSE 1 END""",
+        "p6_stable_sample": f"{P6_IDS} SELECT kind, ident, stratum FROM ids WHERE place < share",
+        "p6_grown_sample": f"""{P6_IDS} SELECT kind, ident, stratum, early AND place < share AS first, true AS now FROM ids
+            WHERE place < share * CASE WHEN stratum LIKE '%/object_pair_distance_center' THEN 2 ELSE 1 END""",
     }
