@@ -119,5 +119,11 @@ def budget_cuts(df: DataFrame, key: str, position: str, size: Column, ident: str
     return out.select(F.col("_k").alias(key), F.greatest("_before", "_run").alias("taken"), F.greatest("_end", "_more").alias("last"))
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """``df`` for work that is slow a row: a table in fewer pieces than there are cores, and so a small one, is dealt out to all of them; any other is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def finite(x: float) -> bool:
     return not (math.isnan(x) or math.isinf(x))

@@ -301,18 +301,28 @@ def p6_grown_sample(spark: SparkSession, folder: str) -> DataFrame:
 # ---- 7: containers of tokens ----
 
 
+#: Limits of a container besides its tokens: texts, and the share of the capacity that may bear loss (text after a first sentence does).
+MOST_SEGMENTS = 24
+LOSS_SHARE = 0.96
+
+
 def p7_containers(spark: SparkSession, folder: str, tokenizer: str = RANKS) -> DataFrame:
     """Every text, or piece of a text larger than a container, with its container."""
     docs = measured(table(spark, folder, "documents"), "text", ["doc_id"], tokenizer)
-    return pack_texts(docs, "doc_id", "tokens", "prompt_tokens", int(setting(spark, folder, "pack_capacity_tokens")))
+    capacity = int(setting(spark, folder, "pack_capacity_tokens"))
+    return pack_texts(docs, "doc_id", "tokens", "prompt_tokens", capacity, MOST_SEGMENTS, int(LOSS_SHARE * capacity))
 
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """Containers by how full they are, in tenths of the capacity, and the share of all room that is used."""
+    """Containers by how full they are, in tenths of the capacity: how many, the pieces and tokens in them, the share of their room that is used, and how many reach
+    each of the limits (tokens, segments, loss-bearing tokens) to within a hundredth, or go past the last as a text alone."""
     capacity = setting(spark, folder, "pack_capacity_tokens")
-    each = p7_containers(spark, folder).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+    each = p7_containers(spark, folder).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss"), F.count(F.lit(1)).alias("pieces"))
     tenth = F.least(F.floor(F.col("tokens") * 10 / F.lit(capacity)), F.lit(9)).cast("int")
-    out = each.groupBy(tenth.alias("filled_tenths")).agg(F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"))
+    out = each.groupBy(tenth.alias("filled_tenths")).agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") >= 0.99 * capacity).alias("at_tokens"),
+        F.count_if(F.col("pieces") >= MOST_SEGMENTS).alias("at_segments"), F.count_if(F.col("loss") >= 0.99 * LOSS_SHARE * capacity).alias("at_loss"),
+    )
     return out.withColumn("used_share", F.col("tokens") / (F.col("containers") * F.lit(capacity)))
 
 

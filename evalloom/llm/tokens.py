@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -10,8 +11,10 @@ from functools import lru_cache
 import pandas as pd
 import tiktoken
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
+from evalloom.llm.common import spread_small
 from evalloom.session import ship_package
 
 #: A rank file of a public byte-level BPE vocabulary; the path is a parameter everywhere.
@@ -23,6 +26,16 @@ PROMPT = re.compile(r".*?(?:[.!?](?=\s)|[。！？\n]|\Z)", re.DOTALL)
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Name under which the workers of every executor find the rank file; sent from the driver, once a Spark context."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_evalloom_files", set())
+    if path not in sent:
+        sc.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
+
+
 @lru_cache(maxsize=4)
 def encoding(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
@@ -38,13 +51,11 @@ def measured(docs: DataFrame, text: str, keep: list[str], path: str = RANKS) ->
     that are letters. ``keep`` must not hold these names.
     """
     ship_package(docs.sparkSession)
-    slim = docs.select(*keep, text)
-    sc = docs.sparkSession.sparkContext
-    if slim.rdd.getNumPartitions() < 2 * sc.defaultParallelism:
-        slim = slim.repartition(3 * sc.defaultParallelism)  # a small table in few files would leave cores idle
+    slim = spread_small(docs.select(*keep, text))
+    name = shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
+        enc = encoding(SparkFiles.get(name))
         for pdf in batches:
             rows = []
             for t in pdf[text]:
