@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm.capping import cap_per_contributor
-from evalloom.llm.common import blank_to_null, current_delivery, label_keys, nearest_category, scene_key, setting, squash, table
+from evalloom.llm.common import blank_to_null, current_delivery, label_keys, nearest_category, salted_join, scene_key, setting, squash, table
 from evalloom.llm.language import fit_on_documents, label_language, language_stretches
-from evalloom.llm.linked_splits import assign_splits, hub_table, linked_blocks, reissue_base, shared_object_tags
+from evalloom.llm.linked_splits import ComponentTable, reissue_base, shared_object_tags
 from evalloom.llm import mixing
 from evalloom.llm.mixing import mix, unique_texts
 from evalloom.llm.overlap import overlap_pairs, parse_metres
@@ -143,13 +143,14 @@ def group_links(groups: DataFrame) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every group of a block that holds two or more scenes."""
+    """Every group of a block that holds two or more scenes, from the component table."""
     groups = table(spark, folder, "consistency_groups").select("group_id", "scene_id", "anchor_ids")
-    blocks = linked_blocks(group_links(groups))
+    known = ComponentTable(spark, scratch(spark, "components"))
+    known.extend(group_links(groups))
     scenes = groups.select(F.col("group_id").alias("record"), scene_key(F.col("scene_id")).alias("scene")).groupBy("record").agg(F.min("scene").alias("lo"), F.max("scene").alias("hi"))
-    blocks = cut_lineage(blocks.join(scenes, "record"))
+    blocks = cut_lineage(known.blocks().join(scenes, "record"))
     mixed = blocks.groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") != F.col("hi")).select("block")
-    return blocks.join(mixed, "block").select(F.col("block").alias("block_first"), F.col("record").alias("group_id"))
+    return salted_join(blocks, mixed, "block", F.col("record")).select(F.col("block").alias("block_first"), F.col("record").alias("group_id"))
 
 
 def _split_targets(spark: SparkSession, folder: str) -> dict[str, float]:
@@ -157,24 +158,30 @@ def _split_targets(spark: SparkSession, folder: str) -> dict[str, float]:
 
 
 def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
-    """Every group with its block and split."""
-    blocks = linked_blocks(group_links(table(spark, folder, "consistency_groups")))
-    out = assign_splits(blocks, _split_targets(spark, folder))
-    return out.select(F.col("record").alias("group_id"), F.col("block").alias("block_first"), "split", "status")
+    """Every group with its block and split, of one run over all deliveries."""
+    known = ComponentTable(spark, scratch(spark, "components"))
+    known.extend(group_links(table(spark, folder, "consistency_groups")), _split_targets(spark, folder))
+    return known.splits().select(F.col("record").alias("group_id"), F.col("block").alias("block_first"), "split", "status")
 
 
 def p3_incremental_splits(spark: SparkSession, folder: str) -> DataFrame:
-    """The same in two runs: groups delivered up to the middle of the time covered, then the rest against the tables the first run left."""
+    """The same in three runs over thirds of the time that the deliveries cover, each extending the component table that the ones before left."""
     groups = table(spark, folder, "consistency_groups").select("group_id", "scene_id", "anchor_ids", "ingested_at")
     seconds = F.col("ingested_at").cast("timestamp").cast("double")
-    middle = groups.agg(((F.min(seconds) + F.max(seconds)) / 2).alias("m")).head()[0] or 0.0
-    targets = _split_targets(spark, folder)
-    early, late = groups.where(seconds <= middle), groups.where(~F.coalesce(seconds <= middle, F.lit(False)))
-    blocks = cut_lineage(linked_blocks(group_links(early)))
-    hubs = cut_lineage(hub_table(group_links(early), blocks))
-    first = cut_lineage(assign_splits(blocks, targets).select("record", "split"))
-    out = assign_splits(linked_blocks(group_links(late), (blocks, hubs)), targets, first)
-    return out.select(F.col("record").alias("group_id"), F.col("block").alias("block_first"), "split", "status")
+    lo, hi = groups.agg(F.min(seconds), F.max(seconds)).head()
+    third = F.coalesce(F.least(F.floor((seconds - F.lit(lo or 0.0)) / F.lit(max(1.0, ((hi or 0.0) - (lo or 0.0)) / 3))), F.lit(2)), F.lit(2))
+    known = ComponentTable(spark, scratch(spark, "components"))
+    for i in range(3):
+        known.extend(group_links(groups.where(third == i)), _split_targets(spark, folder))
+    return known.splits().select(F.col("record").alias("group_id"), F.col("block").alias("block_first"), "split", "status")
+
+
+def p3_split_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of the groups in each split, and the largest block in it."""
+    rows = p3_splits(spark, folder)
+    sizes = rows.groupBy("split", "block_first").agg(F.count(F.lit(1)).alias("n")).groupBy("split").agg(F.sum("n").alias("groups"), F.max("n").alias("largest_block"))
+    targets = table(spark, folder, "split_targets").join(sizes, "split", "left").select("split", "target_share", F.coalesce("groups", F.lit(0)).alias("groups"), F.coalesce("largest_block", F.lit(0)).alias("largest_block"))
+    return targets.withColumn("actual_share", F.round(F.try_divide(F.col("groups"), targets.agg(F.sum("groups")).scalar()), 6))
 
 
 # ---- 4: sample that meets target proportions ----
@@ -390,7 +397,7 @@ def p9_stretches(spark: SparkSession, folder: str) -> DataFrame:
 def llm_queries() -> dict:
     """In order of the problems; the first of each is the one with the whole result."""
     listed = [
-        p1_found, p1_capped_clips, p1_reservoir_clips, p1_scene_counts, p2_densities, p2_varied_subset, p2_setting_report, p3_found, p3_splits, p3_incremental_splits,
+        p1_found, p1_capped_clips, p1_reservoir_clips, p1_scene_counts, p2_densities, p2_varied_subset, p2_setting_report, p3_found, p3_splits, p3_incremental_splits, p3_split_shares,
         p4_found, p4_target_sample, p4_target_report, p5_found, p5_overlap_counts, p5_similar_clips, p6_stable_sample, p6_grown_sample, p7_containers, p7_fill, p8_mix, p8_shares,
         p9_found, p9_document_labels, p9_stretches,
     ]

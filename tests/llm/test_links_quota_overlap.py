@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from evalloom.llm.linked_splits import assign_splits, components, hub_table, linked_blocks, reissue_base, shared_object_tags
+from evalloom.llm.linked_splits import ComponentTable, components, linked_blocks, reissue_base, shared_object_tags
 from evalloom.llm.overlap import numbered, overlap_pairs, parse_metres, similar_sets
 from evalloom.llm.quota_sample import quota_sample, repair
 
@@ -55,37 +55,96 @@ def test_linked_blocks(spark):
     assert [tuple(r) for r in linked_blocks(frame(spark, [("a", None), (None, "1 x")])).collect()] == [("a", "a")]
 
 
-def test_extending_blocks_equals_one_run(spark):
-    rng = random.Random(8)
-    pairs = [(f"g{i:03d}", f"1 s{rng.randint(0, 60)}") for i in range(120)] + [(f"g{rng.randint(0, 119):03d}", f"2 t{rng.randint(0, 40)}") for _ in range(60)]
-    early = [p for p in pairs if p[0] < "g070"]
-    late = [p for p in pairs if p[0] >= "g070"]
-    first = linked_blocks(frame(spark, early)).cache()
-    hubs = hub_table(frame(spark, early), first).cache()
-    got = {r["record"]: r["block"] for r in linked_blocks(frame(spark, late), (first, hubs)).collect()}
-    assert got == blocks_of(pairs)
+def present(known):
+    return {r["record"]: r["block"] for r in known.blocks().collect()}
 
 
-def test_splits_fill_targets(spark):
+def test_three_runs_equal_one(spark, tmp_path):
+    rng = random.Random(8)
+    pairs = [(f"g{rng.randint(0, 199):03d}", f"1 s{rng.randint(0, 90)}") for _ in range(150)] + [(f"g{rng.randint(0, 199):03d}", f"2 t{rng.randint(0, 70)}") for _ in range(90)]
+    pairs += [("hot0", "3 h"), ("hot1", "3 h"), ("aaa", "3 h"), ("g900", None)]
+    known = ComponentTable(spark, f"{tmp_path}/table")
+    for i in range(4):  # records come again with further hubs; the last run brings nothing new
+        known.extend(frame(spark, [p for j, p in enumerate(pairs) if j % 3 == i] or pairs[:9]))
+        seen = [p for j, p in enumerate(pairs) if j % 3 <= i]
+        assert present(known) == blocks_of(seen)
+    assert known.runs() == 4 and present(ComponentTable(spark, f"{tmp_path}/table")) == blocks_of(pairs)
+
+
+def test_later_runs_know_merged_blocks(spark, tmp_path):
+    """A third run that comes by a hub of a block which the second run merged away, and by one that the second run brought."""
+    known = ComponentTable(spark, f"{tmp_path}/table")
+    runs = [[("b", "h1"), ("c", "h2")], [("a", "h1"), ("a", "h3")], [("d", "h2"), ("e", "h1"), ("f", "h3")], [("c", "h9"), ("g", "h1"), ("f", "h9")]]
+    done = []
+    for rows in runs:
+        known.extend(frame(spark, rows))
+        done += rows
+        assert present(known) == blocks_of(done)
+    assert set(present(known).values()) == {"a"}
+
+
+def test_a_lost_run_is_written_over(spark, tmp_path):
+    known = ComponentTable(spark, f"{tmp_path}/table")
+    known.extend(frame(spark, [("b", "h1")]))
+    known.extend(frame(spark, [("a", "h1"), ("z", "h1")]))
+    (tmp_path / "table" / "runs" / "1" / "_SUCCESS").unlink()  # as if the second run had been lost before its end
+    assert known.runs() == 1 and present(known) == {"b": "b"}
+    known.extend(frame(spark, [("c", "h1")]))
+    assert present(known) == {"b": "b", "c": "b"}
+
+
+TARGETS = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def test_splits_fill_targets(spark, tmp_path):
     rows = [(f"r{i}", f"b{i // 3}") for i in range(6000)] + [(f"big{i}", "bigblock") for i in range(2500)]
-    blocks = spark.createDataFrame(rows, "record string, block string").withColumn("split", F.lit("clash"))
-    out = assign_splits(blocks, {"train": 0.8, "validation": 0.1, "test": 0.1}).collect()
+    known = ComponentTable(spark, f"{tmp_path}/table")
+    known.extend(frame(spark, rows), TARGETS)
+    out = known.splits().collect()
     count = Counter(r["split"] for r in out)
     assert len(out) == len(rows) and abs(count["train"] / len(rows) - 0.8) < 0.01 and abs(count["test"] / len(rows) - 0.1) < 0.01
     by = defaultdict(set)
     for r in out:
         by[r["block"]].add(r["split"])
-    assert all(len(s) == 1 for s in by.values()) and by["bigblock"] == {"train"}
-
-
-def test_kept_and_quarantined(spark):
-    blocks = spark.createDataFrame([("a1", "a"), ("a2", "a"), ("b1", "b"), ("b2", "b"), ("c1", "c"), ("d1", "d")], "record string, block string")
-    earlier = spark.createDataFrame([("a1", "test"), ("b1", "test"), ("b2", "train"), ("d1", "retired split")], "record string, split string")
-    got = {r["record"]: (r["split"], r["status"]) for r in assign_splits(blocks, {"train": 0.5, "test": 0.5}, earlier, quarantine="train").collect()}
-    assert got["a1"] == got["a2"] == ("test", "kept") and got["b1"] == got["b2"] == ("train", "quarantined") and got["d1"] == ("train", "quarantined") and got["c1"][1] == "new"
-    assert assign_splits(blocks.where("false"), {"train": 1.0}).count() == 0
+    assert all(len(s) == 1 for s in by.values()) and by["big0"] == {"train"} and {r["status"] for r in out} == {"new"}
+
+
+def test_few_records_meet_their_shares(spark, tmp_path):
+    sizes = [103, 60, 40, 33] + [5] * 60 + [1] * 467
+    rows = [(f"r{b}.{i}", f"b{b}") for b, n in enumerate(sizes) for i in range(n)]
+    known = ComponentTable(spark, f"{tmp_path}/table")
+    known.extend(frame(spark, rows), TARGETS)
+    count = Counter(r["split"] for r in known.splits().collect())
+    assert all(abs(count[k] - v * len(rows)) <= 1 for k, v in TARGETS.items())
+
+
+def test_kept_and_quarantined(spark, tmp_path):
+    known = ComponentTable(spark, f"{tmp_path}/table")
+    known.extend(frame(spark, [(f"r{i:02d}", f"h{i}") for i in range(40)]), {"train": 0.5, "test": 0.5})
+    first = {r["record"]: r["split"] for r in known.splits().collect()}
+    train, test = sorted(r for r, s in first.items() if s == "train"), sorted(r for r, s in first.items() if s == "test")
+    hub = lambda r: f"h{int(r[1:])}"
+    # joins one block; ties two of one split; ties two splits; is new
+    late = [("x1", hub(test[0])), ("x2", hub(train[0])), ("x2", hub(train[1])), ("x3", hub(train[2])), ("x3", hub(test[2])), ("x4", "h99"), (None, "h1")]
+    known.extend(frame(spark, late), {"train": 0.5, "test": 0.5}, quarantine="train")
+    got = {r["record"]: (r["split"], r["status"]) for r in known.splits().collect()}
+    assert len(got) == 44 and got["x1"] == got[test[0]] == ("test", "kept") and got["x2"] == got[train[1]] == ("train", "kept")
+    assert got["x3"] == got[test[2]] == got[train[2]] == ("train", "quarantined") and got["x4"] == ("test", "new")
+    assert all(got[r] == (s, "kept") for r, s in first.items() if r not in (test[2], train[2]))
+    # what is quarantined stays so; a split that is no target any more is quarantined when something joins it
+    known.extend(frame(spark, [("x5", hub(test[2])), ("x6", hub(test[5]))]), {"train": 1.0})
+    got = {r["record"]: (r["split"], r["status"]) for r in known.splits().collect()}
+    assert got["x5"] == got[train[2]] == ("train", "quarantined") and got["x6"] == got[test[5]] == ("train", "quarantined") and got[test[6]] == ("test", "kept")
+
+
+def test_component_table_edges(spark, tmp_path):
+    known = ComponentTable(spark, f"{tmp_path}/table")
+    assert known.runs() == 0 and known.blocks().count() == 0
+    known.extend(frame(spark, []), TARGETS)
+    known.extend(frame(spark, [("a", None), ("a", None), (None, "h")]), TARGETS)
+    assert [tuple(r)[:2] for r in known.splits().collect()] == [("a", "a")] and known.runs() == 2
     with pytest.raises(ValueError):
-        assign_splits(blocks, {})
+        known.extend(frame(spark, [("b", None)]), {})
 
 
 def test_tags_and_bases(spark):
