@@ -106,3 +106,26 @@ def forget(df: DataFrame | None) -> None:
         fs, target = _file_system(df.sparkSession, path)
         fs.delete(target, True)
         fs.cancelDeleteOnExit(target)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file in the shared folder; written under another name first, so that it is there whole or not at all."""
+    fs, target = _file_system(spark, path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(part)
+    stream.write(bytearray(data))
+    stream.close()
+    if not fs.rename(part, target):
+        fs.delete(part, False)  # another run has written it
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """The content of a small file, null if there is none."""
+    fs, target = _file_system(spark, path)
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
