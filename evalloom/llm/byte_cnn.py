@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import unicodedata
 
 import numpy as np
@@ -66,8 +67,9 @@ class ByteCNN:
             c = np.concatenate([e[j : WINDOW - w + 1 + j] for j in range(w)], axis=2)
             z = c.reshape(-1, w * EMBED) @ self.filters[w]
             z = np.ascontiguousarray(z.reshape(WINDOW - w + 1, n * FILTERS).T)
-            at[w], cols[w] = z.argmax(axis=1).reshape(n, FILTERS), c
-            pooled.append(z.max(axis=1).reshape(n, FILTERS) + self.bias[w])
+            best = z.argmax(axis=1)
+            at[w], cols[w] = best.reshape(n, FILTERS), c
+            pooled.append(z[np.arange(len(z)), best].reshape(n, FILTERS) + self.bias[w])
         h = np.concatenate(pooled, axis=1)
         active = (h > 0) & (rng.random(h.shape) > 0.3)
         h = np.where(active, h / 0.7, 0).astype(np.float32)
@@ -76,7 +78,8 @@ class ByteCNN:
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(n), y] -= 1
         p /= n
-        grads: dict = {"out": h.T @ p, "out_bias": p.sum(axis=0), "embed": np.zeros_like(self.embed)}
+        grads: dict = {"out": h.T @ p, "out_bias": p.sum(axis=0)}
+        embed = np.zeros(self.embed.size)
         dh = np.where(active, (p @ self.out.T) / 0.7, 0).astype(np.float32)
         rows = np.arange(n)[:, None]
         for i, w in enumerate(WIDTHS):
@@ -86,7 +89,9 @@ class ByteCNN:
             grads["bias", w] = d.sum(axis=0)
             back = d[:, :, None] * self.filters[w].T[None]
             where = x[rows[:, :, None], at[w][:, :, None] + np.arange(w)]
-            np.add.at(grads["embed"], where.ravel(), back.reshape(-1, EMBED))
+            place = (where.reshape(-1, 1).astype(np.int64) * EMBED + np.arange(EMBED)).ravel()
+            embed += np.bincount(place, weights=back.ravel(), minlength=self.embed.size)
+        grads["embed"] = embed.reshape(self.embed.shape).astype(np.float32)
         return grads
 
     def fit(self, texts: list[str], labels: list[str], steps: int = 900, rate: float = 0.004, seed: int = 0) -> ByteCNN:
@@ -115,6 +120,21 @@ class ByteCNN:
         self._tables = None
         return self
 
+    def to_bytes(self) -> bytes:
+        """The labels and weights, for from_bytes."""
+        out = io.BytesIO()
+        many = {f"{kind}{w}": getattr(self, kind)[w] for kind in ("filters", "bias") for w in WIDTHS}
+        np.savez(out, labels=np.array(self.labels), embed=self.embed, out=self.out, out_bias=self.out_bias, **many)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> ByteCNN:
+        with np.load(io.BytesIO(data), allow_pickle=False) as z:
+            net = cls([str(x) for x in z["labels"]])
+            net.embed, net.out, net.out_bias = z["embed"], z["out"], z["out_bias"]
+            net.filters, net.bias = ({w: z[f"{kind}{w}"] for w in WIDTHS} for kind in ("filters", "bias"))
+        return net
+
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
         """(windows, labels). The convolution of one byte at one place of a filter is a table look-up, so no embedding is multiplied here."""
         if self._tables is None:

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import copy
+import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.byte_cnn import ByteCNN, stack, windows
-from evalloom.session import ship_package
+from evalloom.llm.byte_cnn import WINDOW, ByteCNN, stack, windows
+from evalloom.llm.common import spread_small
+from evalloom.session import read_bytes, shared_dir, ship_package, write_bytes
 
 #: Names and codes of the ten languages, squashed and without accents. Fixed values.
 LANGUAGE_NAMES = {
@@ -33,6 +35,8 @@ LANGUAGE_NAMES = {
 LEAST_WORDS = 8
 SWITCH = 3.0  # log-odds that a change of language must bring
 FLOOR = -7.0
+STEPS = 600  # of each fit
+VERSION = 1  # of the network and its training; saved weights of another are not read
 HAN_WORD = 0.6  # words that a Han character counts for
 
 # The lookaheads spare the alternatives a try at every character.
@@ -163,62 +167,87 @@ def stretches(found: list[tuple[int, int, str, float]], scores: np.ndarray) -> l
 
 
 def classify(texts: list[str | None], model: ByteCNN) -> list[list[tuple[int, int, int, float, float]]]:
-    """Stretches of each text. Windows of all units are put through the network in batches; a unit's score is the mean of its windows."""
+    """Stretches of each text. Windows of all units are put through the network in batches; a unit's score is the mean of its windows.
+
+    Units of the same cleaned text, as boilerplate lines are, have the same windows and so are scored once.
+    """
     parsed = [units(t) if t else [] for t in texts]
+    number: dict[str, int] = {}
+    places = [[number.setdefault(u[2], len(number)) for u in doc] for doc in parsed]
     parts: list[bytes] = []
     counts: list[int] = []
-    for doc in parsed:
-        for u in doc:
-            w = windows(u[2].encode("utf-8"))
-            parts += w
-            counts.append(len(w))
+    for text in number:
+        w = windows(text.encode("utf-8"))
+        parts += w
+        counts.append(len(w))
     if not parts:
         return [[] for _ in texts]
     logs = model.log_probabilities(stack(parts))
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     means = np.add.reduceat(logs, starts, axis=0) / np.asarray(counts)[:, None]
     means -= np.log(np.exp(means).sum(axis=1, keepdims=True))
-    out, at = [], 0
-    for doc in parsed:
-        out.append(stretches(doc, means[at : at + len(doc)]))
-        at += len(doc)
-    return out
+    return [stretches(doc, means[at]) if doc else [] for doc, at in zip(parsed, places, strict=True)]
 
 
 _fitted: dict = {}
 
 
-def fit_on_samples(samples: DataFrame, text: str, lang: str, most: int = 20_000, seed: int = 0) -> ByteCNN:
-    """A network fitted on at most ``most`` labelled rows (those of the smallest hashes); the model of the same rows is kept in this process."""
-    rows = samples.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang).orderBy(F.xxhash64(text, lang)).limit(most).collect()
+def fitted(spark: SparkSession, rows: list[tuple[str, str]], seed: int = 0, start: ByteCNN | None = None) -> ByteCNN:
+    """A network fitted on ``rows`` (text, language), going on from ``start`` if given.
+
+    The weights are kept in this process and, as a file of some 30 kB, in the shared folder, under a name made of all that they depend on; so a later run over the same
+    rows, in whatever process, reads them instead of fitting again.
+    """
     if not rows:
         raise ValueError("no labelled text to learn from")
-    return _fit([(r[0], r[1]) for r in rows], seed)
-
-
-def _fit(rows: list[tuple[str, str]], seed: int, start: ByteCNN | None = None) -> ByteCNN:
-    key = (seed, start is None, hash(tuple(rows)))
+    mark = hashlib.sha256(repr((VERSION, seed, sorted(rows))).encode())
+    mark.update(start.to_bytes() if start else b"")
+    key = mark.hexdigest()[:32]
     if key not in _fitted:
-        network = copy.deepcopy(start) if start else ByteCNN(sorted({r[1] for r in rows}), seed)
-        _fitted[key] = network.fit([r[0] for r in rows], [r[1] for r in rows], steps=600, seed=seed)
+        path = f"{shared_dir(spark)}/evalloom-models/{key}.npz"
+        data = read_bytes(spark, path)
+        if data is None:
+            network = copy.deepcopy(start) if start else ByteCNN(sorted({r[1] for r in rows}), seed)
+            network.fit([r[0] for r in sorted(rows)], [r[1] for r in sorted(rows)], steps=STEPS, seed=seed)
+            write_bytes(spark, path, network.to_bytes())
+            _fitted[key] = network
+        else:
+            _fitted[key] = ByteCNN.from_bytes(data)
     return _fitted[key]
 
 
-def fit_on_documents(samples: list[tuple[str, str]], docs: DataFrame, ident: str, text: str, label: Column, most: int = 2000, characters: int = 4000, seed: int = 0) -> ByteCNN:
+def fit_on_samples(samples: DataFrame, text: str, lang: str, most: int = 20_000, seed: int = 0) -> tuple[ByteCNN, list[tuple[str, str]]]:
+    """A network fitted on labelled sentences, at most ``most`` of them (those of the smallest hashes), and the rows it was fitted on."""
+    rows = samples.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang).distinct().orderBy(F.xxhash64(text, lang)).limit(most).collect()
+    listed = [(r[0], r[1]) for r in rows]
+    return fitted(samples.sparkSession, listed, seed), listed
+
+
+def fit_on_documents(samples: DataFrame, sample_text: str, sample_lang: str, docs: DataFrame, ident: str, text: str, label: Column, most: int = 2000, pieces: int = 20_000, seed: int = 0) -> ByteCNN:
     """A network fitted on clean samples and then further on them together with labelled documents.
 
-    Of the documents with a label that names a language, the ``most`` of the smallest hashes of their id are read, up to ``characters`` of
-    each (bounds of the training set only; everything is classified whole). The first network judges them, and those in which it finds
-    one stretch only, of the language of the label, give their sentences to the second fit, which goes on from the first. So wrong labels do not teach.
+    Of the documents with a label that names a language, the ``most`` of the smallest hashes of their id are judged, as whole texts and on the executors, by a
+    first network fitted on the samples alone. Those in which it finds one stretch only, of the language of the label, give their sentences, cut to
+    pieces of a window's length, of which ``pieces`` at most (those of the smallest hashes) come to the driver and into the second fit, which goes on from the first. So
+    wrong labels do not teach. ``most`` and ``pieces`` bound the training set only; everything is classified whole.
     """
-    first = _fit(samples, seed)
-    rows = docs.where(F.col(text).isNotNull() & label.isNotNull()).select(F.substring(text, 1, characters).alias("t"), label.alias("l"), F.xxhash64(F.col(ident)).alias("h"))
-    rows = rows.orderBy("h", "t").limit(most).collect()
-    more = []
-    for r, found in zip(rows, classify([r["t"] for r in rows], first), strict=True):
-        if len(found) == 1 and first.labels[found[0][2]] == r["l"]:
-            more += [(u[2], r["l"]) for u in units(r["t"]) if u[3] >= LEAST_WORDS / 2]
-    return _fit(samples + sorted(set(more)), seed, first) if more else first
+    spark = docs.sparkSession
+    first, rows = fit_on_samples(samples, sample_text, sample_lang, seed=seed)
+    ship_package(spark)
+    labels = first.labels
+
+    def teach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for t, right, found in zip(pdf["t"], pdf["l"], classify(pdf["t"].tolist(), first), strict=True):
+                if len(found) == 1 and labels[found[0][2]] == right:
+                    out += [(u[2][i : i + WINDOW], right) for u in units(t) if u[3] >= LEAST_WORDS / 2 for i in range(0, len(u[2]), WINDOW)]
+            yield pd.DataFrame(out, columns=["piece", "lang"])
+
+    chosen = docs.where(F.col(text).isNotNull() & label.isNotNull()).select(F.col(text).alias("t"), label.alias("l"), F.xxhash64(F.col(ident)).alias("h"))
+    chosen = spread_small(chosen.orderBy("h", F.xxhash64("t")).limit(most)).select("t", "l")
+    more = chosen.mapInPandas(teach, "piece string, lang string").distinct().orderBy(F.xxhash64("piece", "lang")).limit(pieces).collect()
+    return fitted(spark, rows + [(r[0], r[1]) for r in more], seed, first) if more else first
 
 
 def label_language(label: Column) -> Column:
@@ -237,25 +266,37 @@ def label_language(label: Column) -> Column:
 STRETCHES = "stretches array<struct<start:int,end:int,lang:string,confidence:double,words:double>>"
 
 
-def language_stretches(docs: DataFrame, ident: str, text: str, model: ByteCNN, keep: list[str] | None = None, chunk: int = 256) -> DataFrame:
+def slices(texts: list[str | None], characters: int) -> Iterator[list[str | None]]:
+    """Runs of texts of about ``characters`` characters together, at least one text each."""
+    run: list[str | None] = []
+    size = 0
+    for t in texts:
+        n = len(t) if t else 0
+        if run and size + n > characters:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += n
+    if run:
+        yield run
+
+
+def language_stretches(docs: DataFrame, ident: str, text: str, model: ByteCNN, keep: list[str] | None = None, characters: int = 4_000_000) -> DataFrame:
     """(ident, kept columns, stretches): the stretches of each text in reading order; an empty array for a null, empty or wordless text.
 
-    Rows are treated one by one, so repeated ones have equal results; a null ident is kept. start and end are places in the text as stored. One pass over the rows in their partitions, whole texts, no shuffle.
+    Rows are treated one by one, so repeated ones have equal results; a null ident is kept. start and end are places in the text as stored. One pass
+    over the rows in their partitions, whole texts, about ``characters`` characters scored at a time.
     """
     keep = keep or []
     ship_package(docs.sparkSession)
-    slim = docs.select(ident, *keep, text)
-    sc = docs.sparkSession.sparkContext
-    if slim.rdd.getNumPartitions() < 2 * sc.defaultParallelism:
-        slim = slim.repartition(3 * sc.defaultParallelism)  # a small table in few files would leave cores idle
+    slim = spread_small(docs.select(ident, *keep, text))
     labels = model.labels
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            texts = pdf[text].tolist()
-            for i in range(0, len(texts), chunk):
-                for doc in classify([t if isinstance(t, str) else None for t in texts[i : i + chunk]], model):
+            for part in slices([t if isinstance(t, str) else None for t in pdf[text].tolist()], characters):
+                for doc in classify(part, model):
                     out.append([{"start": a, "end": b, "lang": labels[k], "confidence": c, "words": w} for a, b, k, c, w in doc])
             yield pdf[[ident, *keep]].assign(stretches=out)
 

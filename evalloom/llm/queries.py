@@ -365,8 +365,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 def document_languages(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, label, stretches): label is the code that the lang column names, null if it names none."""
     docs = table(spark, folder, "documents").select("doc_id", label_language(F.col("lang")).alias("label"), F.trim("lang").alias("lang"), "text")
-    samples = [(r["sample_text"], r["lang"]) for r in table(spark, folder, "lang_samples").orderBy("sample_id").limit(20_000).collect()]
-    model = fit_on_documents(samples, docs, "doc_id", "text", F.col("label"))
+    model = fit_on_documents(table(spark, folder, "lang_samples"), "sample_text", "lang", docs, "doc_id", "text", F.col("label"))
     return language_stretches(docs, "doc_id", "text", model, ["label"])
 
 

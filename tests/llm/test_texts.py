@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evalloom.llm import language
 from evalloom.llm import tokens as tok
 from evalloom.llm.byte_cnn import ByteCNN, stack, strip_accents, windows, wrongly_decoded
 from evalloom.llm.language import LANGUAGE_NAMES, classify, decode, label_language, language_stretches, repaired, units
@@ -178,3 +179,38 @@ def test_hostile_long_texts_take_linear_time():
     assert sum(u[3] for u in units("word " * n)) == n
     enc = tok.encoding(tok.RANKS)
     assert len(enc.encode_ordinary("word " * n)) >= n
+
+
+def test_fitted_weights_are_kept(spark, monkeypatch):
+    rows = [("der hund und die katze", "de"), ("the dog and the cat", "en"), ("le chien et le chat", "fr")]
+    monkeypatch.setattr(language, "STEPS", 20)
+    one = language.fitted(spark, rows, seed=91)
+    monkeypatch.setattr(language, "_fitted", {})  # as in another process
+    monkeypatch.setattr(ByteCNN, "fit", lambda *a, **k: pytest.fail("fitted again"))
+    two = language.fitted(spark, rows[::-1], seed=91)
+    x = stack([t.encode() for t, _ in rows])
+    assert two.labels == one.labels and (two.log_probabilities(x) == one.log_probabilities(x)).all()
+    with pytest.raises(ValueError):
+        language.fitted(spark, [])
+
+
+def test_equal_units_are_scored_as_if_alone(model):
+    net, held = model
+    texts = [r["sample_text"] for r in held] * 2 + [" ".join(r["sample_text"] for r in held[:5]), None, ""]
+    together = classify(texts, net)
+    for t, found in zip(texts, together, strict=True):
+        alone = classify([t], net)[0]
+        assert [x[:3] for x in alone] == [x[:3] for x in found] and np.allclose([x[3] for x in alone], [x[3] for x in found], atol=1e-5)
+    assert [len(p) for p in language.slices(["a" * 5, None, "b" * 6, "c" * 20, "d"], 11)] == [3, 1, 1]
+    assert list(language.slices([], 10)) == []
+
+
+def test_wrong_labels_do_not_teach(spark, monkeypatch):
+    rows = spark.read.parquet(SAMPLES).collect()
+    text = {x: " ".join(r["sample_text"] for r in rows if r["lang"] == x) for x in ("de", "fr")}
+    docs = spark.createDataFrame([(1, text["de"], "de"), (2, text["fr"], "de"), (3, text["de"] + " " + text["fr"], "fr"), (4, None, "de"), (5, "", "de")], "d int, t string, l string")
+    taught = []
+    monkeypatch.setattr(language, "fitted", lambda s, rows, seed=0, start=None, real=language.fitted: taught.append(rows) or real(s, rows, seed, start))
+    language.fit_on_documents(spark.read.parquet(SAMPLES), "sample_text", "lang", docs, "d", "t", F.col("l"))
+    more = set(taught[1]) - set(taught[0])
+    assert more and {x for _, x in more} == {"de"} and max(len(p) for p, _ in more) <= 96
