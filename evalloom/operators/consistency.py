@@ -6,9 +6,10 @@ import math
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.operators.windows import running_total
 from evalloom.session import ship_package
 
 
@@ -89,15 +90,14 @@ def repeat_variance(df: DataFrame, keys: list[str], repeat: list[str], value: st
 def rank_correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """(keys, n, pearson, spearman): Spearman's is Pearson's over average ranks. Rows with a null are left out.
 
-    Ranks come from counts of equal values, which are sorted per key; the rows themselves are only counted, so a hot key costs as much as
-    it has distinct values.
+    Ranks come from running counts of equal values, by ranges where a key has very many; the rows themselves are only counted.
     """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
     ranked = both
     for c in ("_x", "_y"):
         counts = both.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_n"))
-        upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(c))
-        ranks = counts.select(*keys, c, (upto - (F.col("_n") - 1) / 2.0).alias(f"_r{c}"))
+        counts = running_total(counts, keys, [c], F.col("_n"), "_upto")
+        ranks = counts.select(*keys, c, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(f"_r{c}"))
         ranked = ranked.join(ranks, [*keys, c])
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("pearson"), F.corr("_r_x", "_r_y").alias("spearman"))
 

@@ -81,37 +81,58 @@ def nearest_on_line(probes: DataFrame, probe: str, at: str, points: DataFrame, p
     return out.select(*group, F.col("_probe").alias(probe), F.col("_v").alias(at), F.col("_n.p").alias(point), F.col("_n.v").alias(place), F.col("_n.d").alias("distance"))
 
 
+def _spread_join(many: DataFrame, few: DataFrame, key: str, spread: str, salts: int = 8) -> DataFrame:
+    """Equi-join in which the rows of a hot key of ``many`` go to ``salts`` tasks; ``few`` is repeated once a salt."""
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def nearest_in_plane(probes: DataFrame, probe: str, points: DataFrame, point: str, xy: list[str], cell: float) -> DataFrame:
-    """(probe, point, distance): the nearest point of each probe in two dimensions, ties to the smaller point. Null coordinates are left out.
+    """(probe, point, distance): the nearest point of each probe in two dimensions, ties to the smaller point. Null and NaN coordinates are left out.
 
-    Both sides meet in a grid, a probe in its own cell and the eight around it. A point found within one cell's width is the nearest; probes
-    without one are tried again on cells four times as wide, so only they grow, and after few rounds all are done. Choose ``cell`` near
-    the usual spacing of points. No probe gets a row if there are no points.
+    Points are put into a pyramid of square cells, each level's sixteen to one of the next; only occupied cells are kept. A probe starts at the top, and going
+    down keeps the cells that can hold its nearest point: those whose nearest corner is no further than the furthest corner of the best one. So a probe far from all
+    points meets the near edge of them only, never all. At the bottom (cells of ``cell``; choose it near the usual spacing) it is compared with the
+    points in its cells. Steps from a level to the next are joins on the cell, hot cells salted. No probe gets a row if there are no points.
     """
     x, y = xy
-    there = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).agg(F.min(point).alias("_point"))
-    rest = probes.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(probe).alias("_probe"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    there = cut_lineage(there)
-    edge = there.agg(F.min("_px"), F.max("_px"), F.min("_py"), F.max("_py")).head()
-    if edge[0] is None:
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    there = points.where(ok(x) & ok(y)).groupBy(F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).agg(F.min(point).alias("_point"))
+    rest = probes.where(ok(x) & ok(y)).select(F.col(probe).alias("_probe"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    there = cut_lineage(there.withColumn("_c", F.struct(F.floor(F.col("_px") / cell).cast("long").alias("i"), F.floor(F.col("_py") / cell).cast("long").alias("j"))))
+    box = there.agg(F.min("_c.i"), F.max("_c.i"), F.min("_c.j"), F.max("_c.j")).head()
+    if box[0] is None:
         return rest.select(F.col("_probe").alias(probe), F.lit(None).cast(points.schema[point].dataType).alias(point), F.lit(0.0).alias("distance")).where("false")
-    ends = rest.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).head()
-    wide = max([abs(v) for v in (*edge, *ends) if v is not None], default=0.0) * 2
-    found = None
-    width = float(cell)
-    while True:
-        last = width > wide
-        at = lambda c, w=width: F.floor(F.col(c) / F.lit(w)).cast("long")
-        around = F.array(*[F.struct((at("_x") + i).alias("i"), (at("_y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        near = rest.withColumn("_c", F.explode(around)).join(there.withColumn("_c", F.struct(at("_px").alias("i"), at("_py").alias("j"))), "_c")
-        gap = F.sqrt((F.col("_px") - F.col("_x")) * (F.col("_px") - F.col("_x")) + (F.col("_py") - F.col("_y")) * (F.col("_py") - F.col("_y")))
-        best = near.groupBy("_probe", "_x", "_y").agg(F.min(F.struct(gap.alias("distance"), F.col("_point").alias("point"))).alias("_b"))
-        best = cut_lineage(best if last else best.where(F.col("_b.distance") <= width))
-        found = best if found is None else found.unionByName(best)
-        rest = cut_lineage(rest.join(best.select("_probe"), "_probe", "left_anti"))
-        if last or rest.isEmpty():
-            return found.select(F.col("_probe").alias(probe), F.col("_b.point").alias(point), F.col("_b.distance").alias("distance"))
-        width *= 4
+    depth = 0  # to the level on which all points lie in one cell, or in the four around the origin
+    while depth < 31 and any((hi >> 2 * depth) - (lo >> 2 * depth) > 1 for lo, hi in (box[:2], box[2:])):
+        depth += 1
+    parent = F.struct(F.shiftright("_c.i", 2).alias("i"), F.shiftright("_c.j", 2).alias("j"))
+    levels = [cut_lineage(there.select("_c").distinct())]
+    for _ in range(depth):
+        levels.append(cut_lineage(levels[-1].select(parent.alias("_c")).distinct()))
+    tops = F.array(*[F.struct(F.lit(r["_c"]["i"]).alias("i"), F.lit(r["_c"]["j"]).alias("j")) for r in levels[-1].collect()])  # at most four cells
+    open_ = rest.withColumn("_c", F.explode(tops))
+
+    def bounded(cells: DataFrame, width: float) -> DataFrame:
+        """Of each probe the cells, in _c, that may hold its nearest point."""
+        low, high = lambda k, v: F.col(k) * width - F.col(v), lambda k, v: (F.col(k) + 1) * width - F.col(v)
+        nearest = [F.greatest(F.lit(0.0), low(k, v), -high(k, v)) for k, v in (("_c.i", "_x"), ("_c.j", "_y"))]
+        furthest = [F.greatest(F.abs(low(k, v)), F.abs(high(k, v))) for k, v in (("_c.i", "_x"), ("_c.j", "_y"))]
+        d = cells.select("_probe", "_x", "_y", "_c", F.hypot(*nearest).alias("near"), F.hypot(*furthest).alias("far"))
+        held = d.groupBy("_probe", "_x", "_y").agg(F.min("far").alias("_most"), F.collect_list(F.struct("near", "_c")).alias("_all"))
+        # A hair of slack for rounding; equal distances stay, as ties go to the smaller point.
+        keep = F.filter("_all", lambda c: c["near"] <= F.col("_most") * (1 + 1e-9) + 1e-12)
+        return held.select("_probe", "_x", "_y", F.explode(F.transform(keep, lambda c: c["_c"])).alias("_c"))
+
+    for level in range(depth, 0, -1):
+        below = levels[level - 1].select(F.col("_c").alias("_child"), parent.alias("_c"))
+        down = _spread_join(open_, below, "_c", "_probe").select("_probe", "_x", "_y", F.col("_child").alias("_c"))
+        open_ = cut_lineage(bounded(down, cell * 4.0 ** (level - 1)))
+    near = _spread_join(open_, there, "_c", "_probe")
+    gap = F.sqrt((F.col("_px") - F.col("_x")) * (F.col("_px") - F.col("_x")) + (F.col("_py") - F.col("_y")) * (F.col("_py") - F.col("_y")))
+    best = near.groupBy("_probe", "_x", "_y").agg(F.min(F.struct(gap.alias("distance"), F.col("_point").alias("point"))).alias("_b"))
+    return best.select(F.col("_probe").alias(probe), F.col("_b.point").alias(point), F.col("_b.distance").alias("distance"))
 
 
 def in_boxes(points: DataFrame, coords: list[str], boxes: DataFrame, box: str, cell: float, pad: float = 0.0) -> DataFrame:

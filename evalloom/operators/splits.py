@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.operators.windows import running_total
+
 
 def leak_free(df: DataFrame, key: list[str], need: int, train_need: int = 0) -> DataFrame:
     """(key, n, split): whole keys go to evaluation, smallest first (ties by key), as long as the records before them are fewer than ``need``.
     If train is then short of ``train_need``, keys go back to it, smallest first, while evaluation keeps ``need``; raises if that does not suffice.
 
-    Running totals come from counts per (size), then per key inside the one size where the need is met, so keys are not sorted in one task
-    beyond that size class.
+    Running totals come from counts per (size), then per key inside the one size where the need is met; a size class of very many keys is ranked by ranges.
     """
     sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     classes = sizes.groupBy("n").agg((F.count(F.lit(1)) * F.col("n")).alias("_all"))
@@ -19,7 +20,7 @@ def leak_free(df: DataFrame, key: list[str], need: int, train_need: int = 0) ->
     joined = sizes.join(F.broadcast(classes), "n")  # one row a distinct size
     first = joined.where(F.col("_before") < need)
     # Within a size class every key adds the same, so the position of a key in its class gives its running total.
-    ranked = first.withColumn("_r", F.row_number().over(Window.partitionBy("n").orderBy(*key)))
+    ranked = running_total(first, ["n"], list(key), F.lit(1), "_r")
     chosen = ranked.withColumn("_run", F.col("_before") + (F.col("_r") - 1) * F.col("n")).where(F.col("_run") < need)
     if train_need > 0:
         total = sizes.agg(F.sum("n")).head()[0] or 0

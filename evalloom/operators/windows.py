@@ -2,9 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.session import cut_lineage
+
+#: Rows of one key that a single task may sort; keys with more are sorted by ranges.
+HOT_ROWS = 2_000_000
+
+
+def running_total(df: DataFrame, keys: list[str], order: list, amount: Column, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds ``name``: the sum of ``amount`` over the rows of the key up to this one in ``order``, which should end in a unique column. Null keys form a key.
+
+    Keys of more than ``hot_rows`` rows, of which there are at most rows / hot_rows, are not sorted in one task: their rows are dealt to tasks by ranges of
+    (key, order), each range is added up, and rows add the sums of the ranges before theirs to the running sum within it.
+    """
+    w = lambda *k: Window.partitionBy(*k).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot")).where(F.col("_hot") > hot_rows)
+    hot = hot.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], "_hot").collect()
+    if not hot:
+        return df.withColumn(name, F.sum(amount).over(w(*keys)))
+    kinds = [df.schema[k].dataType.simpleString() for k in keys]
+    listed = F.broadcast(df.sparkSession.createDataFrame([tuple(r)[:-1] for r in hot], ", ".join(f"_h{i} {t}" for i, t in enumerate(kinds))))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)])
+    rest = df.join(listed, same, "left_anti").withColumn(name, F.sum(amount).over(w(*keys)))
+    ranges = 2 * sum(-(-r["_hot"] // hot_rows) for r in hot)
+    # Written before the ranges are numbered: a range computed again elsewhere must be the same one.
+    dealt = cut_lineage(df.join(listed, same, "left_semi").repartitionByRange(ranges, *keys, *order)).withColumn("_range", F.spark_partition_id())
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum(amount).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.col("_range").alias("_range_of"), before.alias("_ranges_before"))
+    found = dealt.withColumn(name, F.sum(amount).over(w(*keys, "_range"))).join(sums, same & (F.col("_range") == F.col("_range_of")))
+    return rest.unionByName(found.select(*df.columns, (F.col(name) + F.coalesce("_ranges_before", F.lit(0))).alias(name)))
+
 
 def top_k(df: DataFrame, strata: list[str], order: list, k: int, position: str = "position") -> DataFrame:
     """The first ``k`` rows of each stratum in ``order``, which should end in a unique column. For k up to a thousand Spark limits groups before the
@@ -55,46 +87,70 @@ def fair_targets(capacities: dict[str, int], total: int) -> dict[str, int]:
     return shares
 
 
-def water_fill(df: DataFrame, bucket: str, order: list, total: int) -> DataFrame:
-    """The rows that filling the emptiest bucket again and again would take: by rank in bucket, then bucket, up to ``total``. Adds ``level``.
+def fill_level(sizes: list[tuple[int, int]], total: int) -> tuple[int, int]:
+    """(level, left): the level to which ``total`` rows fill all buckets, and how many are left over for buckets that reach above it.
 
-    How many rows each bucket gives follows from bucket counts alone, which are few; rows are then ranked and cut per bucket.
+    ``sizes``: (size, how many buckets have it), rising.
     """
-    counts = {r[0]: r[1] for r in df.where(F.col(bucket).isNotNull()).groupBy(bucket).agg(F.count(F.lit(1))).collect()}
-    level, left = 0, total
-    open_buckets = sorted(counts)
-    while open_buckets:
-        step = min(counts[b] for b in open_buckets) - level
-        if step * len(open_buckets) > left:
-            step = left // len(open_buckets)
-            level += step
-            left -= step * len(open_buckets)
+    level, left, open_ = 0, max(0, total), sum(k for _, k in sizes)
+    for size, k in sizes:
+        if (size - level) * open_ > left:
             break
-        level += step
-        left -= step * len(open_buckets)
-        open_buckets = [b for b in open_buckets if counts[b] > level]
-    take = {b: min(counts[b], level) + (1 if b in open_buckets[:left] else 0) for b in counts}
-    quota = F.lit(0)
-    for b, n in take.items():
-        quota = F.when(F.col(bucket) == F.lit(b), F.lit(n)).otherwise(quota)
-    ranked = df.where(quota > 0).withColumn("level", F.row_number().over(Window.partitionBy(bucket).orderBy(*order)))
-    # The constant bound lets Spark limit each bucket before the shuffle; the quota is the bucket's own.
-    return ranked.where(F.col("level") <= F.lit(max(take.values(), default=0))).where(F.col("level") <= quota)
-
-
-def cap_running_size(df: DataFrame, bucket: str, order: list, size: str, cap: float) -> DataFrame:
+        left -= (size - level) * open_
+        level, open_ = size, open_ - k
+    return (level + left // open_, left % open_) if open_ else (level, 0)
+
+
+def _filled(ranked, bucket: str, df: DataFrame, total: int, extra: list) -> DataFrame:
+    """Rows of ``ranked(k)``, the first k rows of each bucket by their column ``level``, up to the fill level; the rows left over go, one each, to the first buckets in order ``extra``.
+
+    How far buckets are filled follows from how many there are of each size (sizes above ``total`` count as that), a short list.
+    """
+    counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_n", F.least("_rows", F.lit(max(0, total))))
+    sizes = counts.groupBy("_n").agg(F.count(F.lit(1)).alias("k")).collect()
+    level, left = fill_level(sorted((r["_n"], r["k"]) for r in sizes), total)
+    more = counts.where(F.col("_n") > level).orderBy(*extra).limit(left).select(F.col(bucket).alias("_more"), F.lit(True).alias("_one"))
+    out = ranked(max(1, level + 1)).join(more, F.col(bucket).eqNullSafe(F.col("_more")), "left")
+    return out.where((F.col("level") <= level) | F.col("_one")).drop("_more", "_one")
+
+
+def water_fill(df: DataFrame, bucket: str, order: list, total: int) -> DataFrame:
+    """The rows that filling the emptiest bucket again and again would take: by rank in bucket, then bucket, up to ``total``. Adds ``level``. Null buckets are left out.
+
+    Buckets may be many; hot ones send their first rows only.
+    """
+    known = df.where(F.col(bucket).isNotNull())
+    return _filled(lambda k: top_k(known, [bucket], order, k, "level"), bucket, known, total, [F.col(bucket)])
+
+
+def hierarchical_fill(df: DataFrame, levels: list[str], order: list, total: int) -> DataFrame:
+    """Up to ``total`` rows, spread evenly over the values of the first level: smallest first, each gets all it has or an equal part of what remains, so that the rest goes to the
+    larger ones. Within a value rows alternate over the values of the second level, within each of those over the third's, and so on. Adds ``level``, the place within the first-level
+    value. ``order`` should end in a unique column; null is a value of its own."""
+    first = levels[0]
+
+    def ranked(k: int) -> DataFrame:
+        out, at = df, list(order)
+        for i in range(len(levels), 0, -1):
+            out = top_k(out, levels[:i], at, k, f"_turn{i}")
+            at = [F.col(f"_turn{i}"), F.col(levels[i - 1])]
+        return out.withColumnRenamed("_turn1", "level").drop(*[f"_turn{i}" for i in range(2, len(levels) + 1)])
+
+    return _filled(ranked, first, df, total, [F.desc("_rows"), F.desc_nulls_last(first)])
+
+
+def cap_running_size(df: DataFrame, bucket: str, order: list, size: str, cap: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows of each bucket in order while the sizes before them are under the cap; ``room`` is what the cap leaves a row, so the last may be truncated."""
-    w = Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = F.sum(size).over(w) - F.col(size)
-    return df.withColumn("_before", before).where(F.col("_before") < cap).withColumn("room", F.least(F.col(size), F.lit(cap) - F.col("_before"))).drop("_before")
+    run = running_total(df, [bucket], order, F.col(size), "_run", hot_rows).withColumn("_before", F.col("_run") - F.col(size))
+    return run.where(F.col("_before") < cap).withColumn("room", F.least(F.col(size), F.lit(cap) - F.col("_before"))).drop("_run", "_before")
 
 
-def interleave(df: DataFrame, kind: str, kinds: list[str], order: list) -> DataFrame:
+def interleave(df: DataFrame, kind: str, kinds: list[str], order: list, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds (``turn``, ``seat``) by which rows of the listed kinds alternate: first of each kind, second of each, and so on."""
     seat = F.lit(len(kinds))
     for i, k in enumerate(kinds):
         seat = F.when(F.col(kind) == k, F.lit(i)).otherwise(seat)
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).withColumn("seat", seat)
+    return running_total(df, [kind], order, F.lit(1), "turn", hot_rows).withColumn("seat", seat)
 
 
 def even_positions(i: Column, n: Column, count: int) -> Column:

@@ -134,7 +134,11 @@ def table_files(spark: SparkSession, folder: str) -> DataFrame:
     """The tables found in the folder, by file name, with the last file of each."""
     index = readers.files(spark, folder, "*.parquet")
     key = F.regexp_extract("path", r"/(\w+)\.parquet", 1)
-    return readers.latest_per_key(index, key).where(F.col("key").isin("region", "nation", "events")).select("key", F.col("path").isNotNull().alias("there"))
+    return readers.latest_per_key(index, key).select("key", F.col("path").isNotNull().alias("there"))
+
+
+#: The tables that the driver's folder holds.
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "clips", "consistency_groups", "candidate_groups", "plan_settings", "split_targets", "source_weights", "sample_targets", "lang_samples"]
 
 
 def streamed_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -201,7 +205,7 @@ def catalog() -> dict:
         "variation_settings": (variation_settings, SETTINGS_SQL),
         "json_round_trip": (json_round_trip, JSON_SQL),
         "conversation_round_trip": (conversation_round_trip, TALK_SQL),
-        "table_files": (table_files, "SELECT unnest(['region', 'nation', 'events']) AS key, true AS there"),
+        "table_files": (table_files, f"SELECT unnest({TABLES}) AS key, true AS there"),
         "streamed_scores": (streamed_scores, STREAM_SQL),
         "task_hooks": (task_hooks, HOOKS_SQL),
     }

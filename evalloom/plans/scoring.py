@@ -241,35 +241,23 @@ CHOICES_SQL = f"""{THREE_SQL} SELECT l_orderkey, CASE WHEN least(a, b, c) > 3 TH
 
 
 def chance_baseline(spark: SparkSession, folder: str) -> DataFrame:
-    """The constant that answers the distances and sizes of the clips best, by question type; of truths that are a plain number. chance_baseline_all reads units too."""
-    return _chance(table(spark, folder, "clips").select("question_type", parse.to_float(F.col("ground_truth")).alias("target")))
-
-
-def chance_baseline_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The same of all truths, with their units and decimal commas."""
-    return _chance(table(spark, folder, "clips").select("question_type", parse.length_metres(F.col("ground_truth")).alias("target")))
-
-
-def _chance(clips: DataFrame) -> DataFrame:
+    """The constant that answers the distances and sizes of the clips best, by question type; truths with their units and decimal commas."""
+    clips = table(spark, folder, "clips").select("question_type", parse.length_metres(F.col("ground_truth")).alias("target"))
     out = baseline.best_constant(clips, ["question_type"], "target")
     return out.select("question_type", r("constant", 9).alias("constant"), r("mean_mra").alias("mean_mra"), "n")
 
 
+_LENGTH = "'^\\s*~?\\s*([-+]?[0-9]+(?:[.,][0-9]+)?)\\s*(mm|cm|m|met(?:re|er)s?)?\\s*$'"
 CHANCE_SQL = f"""
-    WITH t AS (SELECT question_type, CAST(trim(ground_truth) AS DOUBLE) AS t, count(*) AS n FROM clips WHERE regexp_full_match(ground_truth, '\\s*[0-9]+\\.?[0-9]*\\s*') GROUP BY 1, 2),
+    WITH g AS (SELECT question_type, try_cast(replace(regexp_extract(lower(ground_truth), {_LENGTH}, 1), ',', '.') AS DOUBLE)
+        / CASE regexp_extract(lower(ground_truth), {_LENGTH}, 2) WHEN 'mm' THEN 1000 WHEN 'cm' THEN 100 ELSE 1 END AS t FROM clips),
+    t AS (SELECT question_type, t, count(*) AS n FROM g WHERE t IS NOT NULL GROUP BY 1, 2),
     f AS (SELECT unnest([1.0, {", ".join(repr(x) for x in metrics.CANDIDATE_FACTORS)}, {", ".join(repr(2 - x) for x in metrics.CANDIDATE_FACTORS)}]::DOUBLE[]) AS f),
     c AS (SELECT DISTINCT question_type, t * f AS c FROM t, f),
     s AS (SELECT question_type, c, round(sum(n * {mra_sql("c", "t")}) / sum(n), 9) AS m, CAST(sum(n) AS BIGINT) AS n FROM c JOIN t USING (question_type) GROUP BY 1, 2)
     SELECT question_type, round(c, 9) AS constant, round(m, 6) AS mean_mra, n FROM s QUALIFY row_number() OVER (PARTITION BY question_type ORDER BY m DESC, c) = 1
 """
 
-_LENGTH = "'^\\s*~?\\s*([-+]?[0-9]+(?:[.,][0-9]+)?)\\s*(mm|cm|m|met(?:re|er)s?)?\\s*$'"
-CHANCE_ALL_SQL = f"""
-    WITH g AS (SELECT question_type, try_cast(replace(regexp_extract(lower(ground_truth), {_LENGTH}, 1), ',', '.') AS DOUBLE)
-        / CASE regexp_extract(lower(ground_truth), {_LENGTH}, 2) WHEN 'mm' THEN 1000 WHEN 'cm' THEN 100 ELSE 1 END AS t FROM clips),
-    t AS (SELECT question_type, t, count(*) AS n FROM g WHERE t IS NOT NULL GROUP BY 1, 2),
-    {CHANCE_SQL[CHANCE_SQL.index("f AS (SELECT unnest") :]}"""
-
 
 def _region_summaries(spark: SparkSession, folder: str) -> DataFrame:
     customers = table(spark, folder, "customer")
@@ -306,15 +294,17 @@ def best_per_column(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def row_averages(spark: SparkSession, folder: str) -> DataFrame:
-    wide = breakdown.pivot_table(_nation_scores(spark, folder).where("score > 3500"), ["n_name"], "c_mktsegment", ["BUILDING", "MACHINERY", "HOUSEHOLD"], F.first("score"))
-    mean, partial = breakdown.row_average(["BUILDING", "MACHINERY", "HOUSEHOLD"])
-    return wide.select("n_name", r(mean, 4).alias("mean"), partial.alias("partial"))
+    """Mean values of each user's events by type, side by side, with their average and whether a type is missing."""
+    kinds = ["click", "view", "purchase"]
+    each = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("score"))
+    wide = breakdown.pivot_table(each, ["user_id"], "event_type", kinds, F.first("score"))
+    mean, partial = breakdown.row_average(kinds)
+    return wide.select("user_id", r(mean).alias("mean"), partial.alias("partial"))
 
 
-ROWAVG_SQL = f"""
-    WITH s AS (SELECT n_name, max(score) FILTER (WHERE c_mktsegment = 'BUILDING') AS a, max(score) FILTER (WHERE c_mktsegment = 'MACHINERY') AS b, max(score) FILTER (WHERE c_mktsegment = 'HOUSEHOLD') AS c
-        FROM ({SCORES_SQL}) WHERE score > 3500 GROUP BY 1)
-    SELECT n_name, round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT, 0), 4) AS mean, a IS NULL OR b IS NULL OR c IS NULL AS partial FROM s
+ROWAVG_SQL = """
+    WITH s AS (SELECT user_id, avg(value) FILTER (WHERE event_type = 'click') AS a, avg(value) FILTER (WHERE event_type = 'view') AS b, avg(value) FILTER (WHERE event_type = 'purchase') AS c FROM events GROUP BY 1)
+    SELECT user_id, round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT, 0), 6) AS mean, a IS NULL OR b IS NULL OR c IS NULL AS partial FROM s
 """
 
 
@@ -361,7 +351,6 @@ def catalog() -> dict:
         "constraint_report": (constraint_report, CONSTRAINT_SQL),
         "choice_transitivity": (choice_transitivity, CHOICES_SQL),
         "chance_baseline": (chance_baseline, CHANCE_SQL),
-        "chance_baseline_all": (chance_baseline_all, CHANCE_ALL_SQL),
         "weighted_merge": (weighted_merge, MERGE_SQL),
         "rank_models": (rank_models, f"SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY score DESC NULLS LAST, n_name) AS rank FROM ({SCORES_SQL})"),
         "best_per_column": (best_per_column, f"SELECT *, coalesce(score = CASE WHEN c_mktsegment <> 'BUILDING' THEN max(score) OVER (PARTITION BY c_mktsegment) ELSE min(score) OVER (PARTITION BY c_mktsegment) END, false) AS best FROM ({SCORES_SQL})"),

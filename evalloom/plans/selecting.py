@@ -27,24 +27,33 @@ def k_per_stratum(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("p_brand", "p_type", "p_partkey", F.col("position").cast("bigint").alias("position"))
 
 
-def _filled(customers: DataFrame) -> DataFrame:
-    out = windows.water_fill(customers, "c_nationkey", ["c_custkey"], 60)
+def water_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """60 customers, nations in turn."""
+    out = windows.water_fill(table(spark, folder, "customer"), "c_nationkey", ["c_custkey"], 60)
     return out.select("c_nationkey", "c_custkey", F.col("level").cast("bigint").alias("level"))
 
 
-def water_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """60 customers of a balance above 9000, nations in turn; water_fill_all takes all customers."""
-    return _filled(table(spark, folder, "customer").where("c_acctbal > 9000"))
+WATER_SQL = """SELECT c_nationkey, c_custkey, level FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS level FROM customer)
+    ORDER BY level, c_nationkey LIMIT 60"""
 
 
-def water_fill_all(spark: SparkSession, folder: str) -> DataFrame:
-    return _filled(table(spark, folder, "customer"))
+def hierarchical_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """1,000 clips over objects, within them over scenes, within those over motions, as they are written; rows of one clip are one."""
+    clips = last_wins(table(spark, folder, "clips"), ["clip_id"], "ingested_at", ["anchor_labels", "scene_id", "motion_family"]).withColumn("object", F.try_element_at("anchor_labels", F.lit(1)))
+    out = windows.hierarchical_fill(clips, ["object", "scene_id", "motion_family"], ["clip_id"], 1000)
+    return out.select("clip_id", "object", F.col("level").cast("bigint").alias("level"))
 
 
-WATER_SQL = """SELECT c_nationkey, c_custkey, level FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS level FROM customer WHERE c_acctbal > 9000)
-    ORDER BY level, c_nationkey LIMIT 60"""
-
-WATER_ALL_SQL = WATER_SQL.replace(" WHERE c_acctbal > 9000", "")
+FILL_SQL = """
+    WITH RECURSIVE c AS (SELECT clip_id, anchor_labels[1] AS object, scene_id, motion_family FROM clips QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY ingested_at DESC) = 1),
+    m AS (SELECT *, row_number() OVER (PARTITION BY object, scene_id, motion_family ORDER BY clip_id) AS t3 FROM c),
+    s AS (SELECT *, row_number() OVER (PARTITION BY object, scene_id ORDER BY t3, motion_family NULLS FIRST) AS t2 FROM m),
+    o AS (SELECT *, row_number() OVER (PARTITION BY object ORDER BY t2, scene_id NULLS FIRST) AS level FROM s),
+    n AS (SELECT object, count(*) AS n, row_number() OVER (ORDER BY count(*), object NULLS FIRST) AS i, count(*) OVER () AS k FROM o GROUP BY object),
+    q AS (SELECT i, object, k, least(n, 1000 // k) AS quota, 1000 - least(n, 1000 // k) AS rest FROM n WHERE i = 1
+        UNION ALL SELECT n.i, n.object, n.k, least(n.n, rest // (n.k - q.i)), rest - least(n.n, rest // (n.k - q.i)) FROM q JOIN n ON n.i = q.i + 1)
+    SELECT clip_id, o.object, level FROM o JOIN q ON o.object IS NOT DISTINCT FROM q.object WHERE level <= quota
+"""
 
 
 def bucket_cap_running(spark: SparkSession, folder: str) -> DataFrame:
@@ -249,15 +258,19 @@ def greedy_novelty(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gt_diverse(spark: SparkSession, folder: str) -> DataFrame:
-    """Equal numbers of groups per answer value of each question type, scenes in turn."""
+    """Five groups per answer value of each question type, scenes in turn."""
     groups = table(spark, folder, "consistency_groups").where("scene_id is not null and shared_ground_truth is not null")
-    groups = first_wins(groups, ["question_type", "shared_ground_truth", "group_id"], "scene_id", ["scene_id"])
-    first = windows.top_k(groups, ["question_type", "shared_ground_truth", "scene_id"], ["group_id"], 10, "in_scene")
+    groups = groups.groupBy("question_type", "shared_ground_truth", "group_id").agg(F.min("scene_id").alias("scene_id"))
+    first = windows.top_k(groups, ["question_type", "shared_ground_truth", "scene_id"], ["group_id"], 5, "in_scene")
     out = windows.top_k(first, ["question_type", "shared_ground_truth"], ["in_scene", "scene_id", "group_id"], 5)
-    return out.groupBy("question_type", "shared_ground_truth").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("question_type", "shared_ground_truth", "group_id", F.col("position").cast("bigint").alias("position"))
 
 
-GT_SQL = "SELECT question_type, shared_ground_truth, least(5, count(DISTINCT group_id)) AS n FROM consistency_groups WHERE scene_id IS NOT NULL AND shared_ground_truth IS NOT NULL GROUP BY 1, 2"
+GT_SQL = """
+    WITH g AS (SELECT question_type, shared_ground_truth, group_id, min(scene_id) AS scene_id FROM consistency_groups WHERE scene_id IS NOT NULL AND shared_ground_truth IS NOT NULL GROUP BY 1, 2, 3),
+    s AS (SELECT *, row_number() OVER (PARTITION BY question_type, shared_ground_truth, scene_id ORDER BY group_id) AS i FROM g)
+    SELECT question_type, shared_ground_truth, group_id, row_number() OVER (PARTITION BY question_type, shared_ground_truth ORDER BY i, scene_id, group_id) AS position FROM s QUALIFY position <= 5
+"""
 
 
 def catalog() -> dict:
@@ -265,7 +278,7 @@ def catalog() -> dict:
         "topk_two_pass_diverse": (topk_two_pass_diverse, TWO_PASS_SQL),
         "k_per_stratum": (k_per_stratum, "SELECT p_brand, p_type, p_partkey, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_retailprice DESC, p_partkey) AS position FROM part QUALIFY position <= 3"),
         "water_fill": (water_fill, WATER_SQL),
-        "water_fill_all": (water_fill_all, WATER_ALL_SQL),
+        "hierarchical_fill": (hierarchical_fill, FILL_SQL),
         "bucket_cap_running": (bucket_cap_running, CAP_SQL),
         "interleave": (interleave, INTERLEAVE_SQL),
         "even_fill_quota": (even_fill_quota, EVEN_SQL),

@@ -170,29 +170,30 @@ def first_per_key(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def semi_join(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders").where("o_totalprice > 300000")
-    return table(spark, folder, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
+    """Deliveries of groups that are candidates."""
+    wanted = table(spark, folder, "candidate_groups").select("group_id")
+    return table(spark, folder, "consistency_groups").join(wanted, "group_id", "left_semi").select("group_id", "ingested_at")
 
 
 def anti_join(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders").where("o_totalprice > 300000")
-    return table(spark, folder, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Deliveries of groups that are not."""
+    wanted = table(spark, folder, "candidate_groups").select("group_id")
+    return table(spark, folder, "consistency_groups").join(wanted, "group_id", "left_anti").select("group_id", "ingested_at")
 
 
 REUSE = ["motion_family", "question_type", "dimension", "radius"]
 
 
 def nullsafe_reuse(spark: SparkSession, folder: str) -> DataFrame:
-    """Per scene spelling, the share of clips whose setting (null equals null) occurs among the groups."""
-    clips = table(spark, folder, "clips").where(F.col("engine").isNotNull())
-    out = joins.reuse_ratio(clips, table(spark, folder, "consistency_groups").where("target_group_size >= 12"), "engine", REUSE)
+    """Per engine, the share of clips whose setting (null equals null) occurs among the groups."""
+    out = joins.reuse_ratio(table(spark, folder, "clips"), table(spark, folder, "consistency_groups"), "engine", REUSE)
     return out.select("engine", "wanted", "reused", r("ratio").alias("ratio"))
 
 
 REUSE_SQL = f"""
-    WITH g AS (SELECT DISTINCT {", ".join(REUSE)} FROM consistency_groups WHERE target_group_size >= 12)
+    WITH g AS (SELECT DISTINCT {", ".join(REUSE)} FROM consistency_groups)
     SELECT engine, count(*) AS wanted, count(g.question_type) AS reused, round(count(g.question_type) / count(*), 6) AS ratio
-    FROM clips c LEFT JOIN g ON {" AND ".join(f"c.{x} IS NOT DISTINCT FROM g.{x}" for x in REUSE)} WHERE engine IS NOT NULL GROUP BY 1
+    FROM clips c LEFT JOIN g ON {" AND ".join(f"c.{x} IS NOT DISTINCT FROM g.{x}" for x in REUSE)} GROUP BY 1
 """
 
 
@@ -243,25 +244,18 @@ def _box_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def box_range_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Events in the boxes that parts of a size up to 10 span over value and key of the event; box_range_join_all has those of all parts."""
-    boxes = _part_boxes(table(spark, folder, "part").where("p_size <= 10"))
-    return joins.in_boxes(_box_events(spark, folder), ["value", "k"], boxes, "p_partkey", 1.0).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("events"))
-
-
-def box_range_join_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Events in the boxes that all parts span. Parts of one size and key range span the same box, so events meet each distinct box once."""
+    """Events in the boxes that parts span over value and key of the event. Parts of one size and key range span the same box, so events meet each distinct box once."""
     extents = ["value_min", "value_max", "k_min", "k_max"]
     boxes = _part_boxes(table(spark, folder, "part")).withColumn("box", F.struct(*extents))
     counts = joins.in_boxes(_box_events(spark, folder), ["value", "k"], boxes.select("box", *extents).distinct(), "box", 1.0).groupBy("box").agg(F.count(F.lit(1)).alias("events"))
     return boxes.select("p_partkey", "box").join(counts, "box").select("p_partkey", "events")
 
 
-BOX_SQL = """SELECT p_partkey, count(*) AS events FROM part JOIN events ON value BETWEEN p_size * 3.0 AND p_size * 3.0 + 0.5 AND CAST(props->>'$.k' AS DOUBLE) BETWEEN 10 AND 10 + p_partkey % 7
-    WHERE p_size <= 10 GROUP BY 1"""
-
-
-BOX_ALL_SQL = """SELECT p_partkey, count(*) AS events FROM part JOIN events ON value BETWEEN p_size * 3.0 AND p_size * 3.0 + 0.5 AND CAST(props->>'$.k' AS DOUBLE) BETWEEN 10 AND 10 + p_partkey % 7
-    GROUP BY 1"""
+BOX_SQL = """
+    WITH b AS (SELECT DISTINCT p_size * 3.0 AS lo, 10 + p_partkey % 7 AS top FROM part), e AS (SELECT value, CAST(props->>'$.k' AS DOUBLE) AS k FROM events),
+    n AS (SELECT lo, top, count(*) AS events FROM b JOIN e ON value BETWEEN lo AND lo + 0.5 AND k BETWEEN 10 AND top GROUP BY 1, 2)
+    SELECT p_partkey, events FROM part JOIN n ON p_size * 3.0 = lo AND 10 + p_partkey % 7 = top
+"""
 
 
 def pareto_frontier(spark: SparkSession, folder: str) -> DataFrame:
@@ -322,21 +316,12 @@ TOP_SQL = """SELECT question_type, label, n, row_number() OVER (PARTITION BY que
 
 
 def crosstab_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    """Segments of the customers of a balance above 9500, by nation; crosstab_pivot_all counts all customers."""
-    nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
-    rich = table(spark, folder, "customer").where("c_acctbal > 9500")
-    return distribution.crosstab(rich, "c_nationkey", "c_mktsegment", nations, SEGMENTS)
-
-
-CROSSTAB_SQL = "SELECT n_nationkey AS c_nationkey, " + ", ".join(f"count(*) FILTER (WHERE c_mktsegment = '{s}') AS \"{s}\"" for s in SEGMENTS) + " FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_acctbal > 9500 GROUP BY 1"
-
-
-def crosstab_pivot_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments of the customers by nation, nations without customers included."""
     nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
     return distribution.crosstab(table(spark, folder, "customer"), "c_nationkey", "c_mktsegment", nations, SEGMENTS)
 
 
-CROSSTAB_ALL_SQL = CROSSTAB_SQL.replace(" AND c_acctbal > 9500", "")
+CROSSTAB_SQL = "SELECT n_nationkey AS c_nationkey, " + ", ".join(f"count(*) FILTER (WHERE c_mktsegment = '{s}') AS \"{s}\"" for s in SEGMENTS) + " FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1"
 
 
 def pivot_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -347,20 +332,22 @@ PIVOT_SQL = "SELECT o_orderpriority, " + ", ".join(f"round(avg(o_totalprice) FIL
 
 
 def set_ops(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "customer").where("c_acctbal > 9800").select(F.col("c_nationkey").alias("nation"))
-    s = table(spark, folder, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation"))
-    parts = {"union": c.union(s).distinct(), "union_all": c.unionAll(s), "intersect": c.intersect(s), "except": c.exceptAll(s).distinct()}
+    """Customers and the buyers named in orders: what set operations leave of the two."""
+    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"))
+    o = table(spark, folder, "orders").select(F.col("o_custkey").alias("id"))
+    parts = {"union": c.union(o).distinct(), "union_all": c.unionAll(o), "intersect": c.intersect(o), "except": c.exceptAll(o).distinct(), "except_all": o.exceptAll(c)}
     out = None
     for name, df in parts.items():
-        one = df.groupBy("nation").agg(F.count(F.lit(1)).alias("n")).withColumn("op", F.lit(name))
+        one = df.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum("id").alias("total")).withColumn("op", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 SETS_SQL = """
-    WITH c AS (SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9800), s AS (SELECT s_nationkey AS nation FROM supplier WHERE s_acctbal > 5000)
-    SELECT 'union' AS op, nation, count(*) AS n FROM (FROM c UNION FROM s) GROUP BY 2 UNION ALL SELECT 'union_all', nation, count(*) FROM (FROM c UNION ALL FROM s) GROUP BY 2
-    UNION ALL SELECT 'intersect', nation, count(*) FROM (FROM c INTERSECT FROM s) GROUP BY 2 UNION ALL SELECT 'except', nation, count(*) FROM (SELECT DISTINCT nation FROM (FROM c EXCEPT ALL FROM s)) GROUP BY 2
+    WITH c AS (SELECT c_custkey AS id FROM customer), o AS (SELECT o_custkey AS id FROM orders),
+    u AS (SELECT 'union' AS op, id FROM (FROM c UNION FROM o) UNION ALL SELECT 'union_all', id FROM (FROM c UNION ALL FROM o) UNION ALL SELECT 'intersect', id FROM (FROM c INTERSECT FROM o)
+        UNION ALL SELECT 'except', id FROM (FROM c EXCEPT FROM o) UNION ALL SELECT 'except_all', id FROM (FROM o EXCEPT ALL FROM c))
+    SELECT ops.op, count(id) AS n, min(id) AS low, max(id) AS high, CAST(sum(id) AS BIGINT) AS total FROM (SELECT unnest(['union', 'union_all', 'intersect', 'except', 'except_all']) AS op) ops LEFT JOIN u USING (op) GROUP BY 1
 """
 
 
@@ -463,14 +450,13 @@ def catalog() -> dict:
         "covisible": (covisible, COVISIBLE_SQL),
         "latest_per_key": (latest_per_key, LATEST_SQL),
         "first_per_key": (first_per_key, LATEST_SQL.replace("DESC", "ASC")),
-        "semi_join": (semi_join, "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
-        "anti_join": (anti_join, "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
+        "semi_join": (semi_join, "SELECT group_id, ingested_at FROM consistency_groups WHERE group_id IN (SELECT group_id FROM candidate_groups)"),
+        "anti_join": (anti_join, "SELECT group_id, ingested_at FROM consistency_groups WHERE group_id NOT IN (SELECT group_id FROM candidate_groups)"),
         "nullsafe_join": (nullsafe_reuse, REUSE_SQL),
         "ordered_children": (ordered_children, CHILDREN_SQL),
         "pair_theta_join": (pair_theta_join, THETA_SQL),
         "nearest_neighbor": (nearest_neighbor, NEAREST_SQL),
         "box_range_join": (box_range_join, BOX_SQL),
-        "box_range_join_all": (box_range_join_all, BOX_ALL_SQL),
         "pareto_frontier": (pareto_frontier, PARETO_SQL),
         "delta_report": (delta_report, DELTA_SQL),
         "share_table": (share_table, "SELECT l_returnflag, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1)::DOUBLE AS share FROM lineitem GROUP BY 1"),
@@ -480,7 +466,6 @@ def catalog() -> dict:
         "angle_bins": (angle_bins, BINS_SQL),
         "top_labels": (top_labels, TOP_SQL),
         "crosstab_pivot": (crosstab_pivot, CROSSTAB_SQL),
-        "crosstab_pivot_all": (crosstab_pivot_all, CROSSTAB_ALL_SQL),
         "pivot_scores": (pivot_scores, PIVOT_SQL),
         "set_ops": (set_ops, SETS_SQL),
         "group_reconstruction": (group_reconstruction, RECONSTRUCTION_SQL),

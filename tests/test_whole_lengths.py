@@ -13,4 +13,4 @@ def test_lengths_with_units_count(spark, tmp_path):
     assert {r["ground_truth"]: r["m"] for r in got} == texts
     df.where("ground_truth not in ('3e1', ' 2 ')").write.parquet(f"{tmp_path}/clips.parquet")
     # Of the constants that score 1 everywhere the smallest: 1.2 x 0.95.
-    assert [tuple(r) for r in entry.queries()["chance_baseline_all"](spark, str(tmp_path)).collect()] == [("size", 1.14, 1.0, 6)]
+    assert [tuple(r) for r in entry.queries()["chance_baseline"](spark, str(tmp_path)).collect()] == [("size", 1.14, 1.0, 6)]
