@@ -106,13 +106,16 @@ class Pool:
         self.last: tuple | None = None
 
     def _fetch(self) -> None:
-        keys, is_open = self.spark_key()
-        order = [f"_k{i}" for i in range(len(keys))]
         tie = F.coalesce(F.col(self.columns[0]).cast("string"), F.lit("None"))
         size = self.most + sum(self.taken.values())
-        found = self.candidates.where(is_open).select(*self.columns, *[c.alias(n) for c, n in zip(keys, order, strict=True)], tie.alias("_tie")).orderBy(*order, "_tie").limit(size).collect()
+        order: list[str] = []
+        found = self.candidates.select(*self.columns, tie.alias("_tie")).limit(size + 1).collect() if self.heap is None else None
+        if found is None or len(found) > size:  # more than the driver holds: the first ones by key
+            keys, is_open = self.spark_key()
+            order = [f"_k{i}" for i in range(len(keys))]
+            found = self.candidates.where(is_open).select(*self.columns, *[c.alias(n) for c, n in zip(keys, order, strict=True)], tie.alias("_tie")).orderBy(*order, "_tie").limit(size).collect()
         rows = [(tuple(tuple(v) if isinstance(v, list) else v for v in r[: len(self.columns)]), r["_tie"]) for r in found]
-        self.last = (tuple(found[-1][n] for n in order), found[-1]["_tie"]) if len(rows) == size else None
+        self.last = (tuple(found[-1][n] for n in order), found[-1]["_tie"]) if order and len(rows) == size else None
         self.rows, self.heap, spare = [r for r, _ in rows], [], Counter(self.taken)
         for i, (row, text) in enumerate(rows):
             if spare[row]:
@@ -289,7 +292,7 @@ def family_balanced(candidates: DataFrame, c: GroupColumns, family_targets: dict
                 counts = [labels, own["label"], own["motion"], own["answer"], rooms, own["room"], pairs, anchors]
                 rules = [*goals, Rule("count", scenes), Rule("count", own["scene"]), *fills, *[Rule("count", t) for t in counts]]
                 found = counted_greedy(df, c.ident, rules, [c.prior, "_less"], k, caps, [own["dimension"]], most)
-                out.extend((i, family, len(out) + n) for n, (i, _, _) in enumerate(found, 1))
+                out.extend([(i, family, len(out) + n) for n, (i, _, _) in enumerate(found, 1)])
                 return len(found)
 
             got, target = 0, family_targets[family]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions import text
-from evalloom.operators import greedy, sequences, splits, windows
+from evalloom.operators import greedy, reshape, sequences, splits, windows
 from evalloom.operators.joins import first_wins, last_wins
 from evalloom.plans.tables import r, table
 
@@ -235,28 +235,193 @@ def degenerate_keys(spark: SparkSession, folder: str) -> DataFrame:
 DEGENERATE_SQL = "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT round(l_tax, 2)) >= 9"
 
 
+def _picked_clips(spark: SparkSession, folder: str) -> DataFrame:
+    return last_wins(table(spark, folder, "clips"), ["clip_id"], "ingested_at", ["group_id", "trajectory", "direction", "variation_tag", "quality_score"])
+
+
 def greedy_group_clips(spark: SparkSession, folder: str) -> DataFrame:
-    clips = last_wins(table(spark, folder, "clips"), ["clip_id"], "ingested_at", ["group_id", "trajectory", "direction", "variation_tag", "quality_score"])
-    return greedy.clips_of_group(clips, "group_id", "clip_id", ["trajectory", "direction", "variation_tag"], "quality_score", 6)
+    """Six clips of each group, each the one whose trajectory, direction and tag are used least so far, then the best."""
+    return greedy.clips_of_group(_picked_clips(spark, folder), "group_id", "clip_id", ["trajectory", "direction", "variation_tag"], "quality_score", 6)
+
+
+GROUP_CLIPS_SQL = """
+    WITH RECURSIVE c AS (
+        SELECT clip_id, group_id, coalesce(trajectory, '~') AS t, coalesce(direction, '~') AS d, coalesce(variation_tag, '~') AS v, CASE WHEN NOT isnan(quality_score) THEN quality_score END AS q
+        FROM clips QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY ingested_at DESC) = 1
+    ), r AS (
+        SELECT group_id, 0 AS position, []::VARCHAR[] AS ids, []::VARCHAR[] AS seen FROM c GROUP BY group_id
+        UNION ALL
+        SELECT group_id, position + 1, list_append(ids, pick.clip_id), list_concat(seen, ['t' || pick.t, 'd' || pick.d, 'v' || pick.v]) FROM (
+            SELECT r.group_id, r.position, r.ids, r.seen,
+                arg_min(c, (len(list_filter(r.seen, lambda x: x = 't' || c.t)) + len(list_filter(r.seen, lambda x: x = 'd' || c.d)) + len(list_filter(r.seen, lambda x: x = 'v' || c.v)), c.q IS NULL, -coalesce(c.q, 0), c.clip_id)) AS pick
+            FROM r JOIN c ON r.group_id = c.group_id AND NOT list_contains(r.ids, c.clip_id) WHERE r.position < 6 GROUP BY ALL)
+    )
+    SELECT group_id, ids[-1] AS clip_id, CAST(position AS INT) AS position FROM r WHERE position > 0
+"""
 
 
 def greedy_scene_passes(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidates of each customer's orders: a kind each, then new clerks' days, then the rest."""
+    """Five orders of each customer: a kind each, then new days of the month, then the rest."""
     orders = table(spark, folder, "orders").withColumn("day", F.dayofmonth("o_orderdate"))
     return greedy.scene_three_passes(orders, "o_custkey", "o_orderkey", ["o_orderpriority", "o_orderstatus"], "day", "o_totalprice", 5)
 
 
+PASSES_SQL = """
+    WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice AS p, day(o_orderdate) AS d, row_number() OVER (PARTITION BY o_custkey, o_orderpriority, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders),
+    one AS (SELECT * FROM o WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY p DESC, o_orderkey) <= 5),
+    rest AS (SELECT * FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM one)),
+    ranked AS (SELECT 0 AS rule, o_custkey, o_orderkey, p FROM one UNION ALL
+        SELECT CASE WHEN row_number() OVER (PARTITION BY o_custkey, d ORDER BY p DESC, o_orderkey) = 1 AND (o_custkey, d) NOT IN (SELECT (o_custkey, d) FROM one) THEN 1 ELSE 2 END, o_custkey, o_orderkey, p FROM rest)
+    SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY rule, p DESC, o_orderkey) AS INT) AS position FROM ranked QUALIFY position <= 5
+"""
+
+
 def greedy_balanced(spark: SparkSession, folder: str) -> DataFrame:
+    """150 parts, types and brands used evenly, at most five of a brand and thirty of a type as long as that goes."""
     ids = greedy.balanced_under_caps(table(spark, folder, "part"), "p_partkey", "p_brand", "p_type", 150, 5, 30)
     return spark.createDataFrame([(k, i + 1) for i, k in enumerate(ids)], "p_partkey bigint, position int")
 
 
+#: State: the picked keys and, for each, its brand and type. ``closed`` gives up the brand cap, then both, where no candidate is left.
+BALANCED_SQL = """
+    WITH RECURSIVE p AS (SELECT p_partkey, p_brand AS b, p_type AS t FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey::VARCHAR) <= 150),
+    r AS (
+        SELECT 0 AS n, []::BIGINT[] AS ids, []::VARCHAR[] AS bs, []::VARCHAR[] AS ts
+        UNION ALL
+        SELECT n + 1, list_append(ids, x.p_partkey), list_append(bs, x.b), list_append(ts, x.t) FROM (
+            SELECT n, ids, bs, ts, arg_min(p, (CASE WHEN ub < 5 AND ut < 30 THEN 0 WHEN ut < 30 THEN 1 ELSE 2 END, ut, ub, p_partkey::VARCHAR)) AS x
+            FROM (SELECT r.*, p, p.p_partkey, len(list_filter(bs, lambda v: v = p.b)) AS ub, len(list_filter(ts, lambda v: v = p.t)) AS ut FROM r, p WHERE n < 150 AND NOT list_contains(ids, p.p_partkey))
+            GROUP BY n, ids, bs, ts)
+    )
+    SELECT ids[-1] AS p_partkey, CAST(n AS INT) AS position FROM r WHERE n > 0
+"""
+
+
 def greedy_novelty(spark: SparkSession, folder: str) -> DataFrame:
+    """60 parts, each the one with the newest brand, words of its name, and type."""
     rows = table(spark, folder, "part").withColumn("words", F.split("p_name", " "))
     ids = greedy.novelty_pick(rows, "p_partkey", "p_brand", "words", "p_type", 60)
     return spark.createDataFrame([(k, i + 1) for i, k in enumerate(ids)], "p_partkey bigint, position int")
 
 
+NOVELTY_SQL = """
+    WITH RECURSIVE p AS (SELECT p_partkey, p_brand AS b, p_type AS t, string_split(p_name, ' ') AS w FROM part),
+    r AS (
+        SELECT 0 AS n, []::BIGINT[] AS ids, []::VARCHAR[] AS bs, []::VARCHAR[] AS ts, []::VARCHAR[] AS ws
+        UNION ALL
+        SELECT n + 1, list_append(ids, x.p_partkey), list_append(bs, x.b), list_append(ts, x.t), list_concat(ws, x.w) FROM (
+            SELECT n, ids, bs, ts, ws, arg_min(p, (-(1000 * (NOT list_contains(bs, p.b))::INT + 50 * len(list_filter(list_distinct(p.w), lambda v: NOT list_contains(ws, v))) + 10 * (NOT list_contains(ts, p.t))::INT), p.p_partkey::VARCHAR)) AS x
+            FROM r, p WHERE n < 60 AND NOT list_contains(ids, p.p_partkey) GROUP BY n, ids, bs, ts, ws)
+    )
+    SELECT ids[-1] AS p_partkey, CAST(n AS INT) AS position FROM r WHERE n > 0
+"""
+
+
+def _candidate_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups as candidates: their newest delivery, one label key, and how many clips they have."""
+    groups = table(spark, folder, "consistency_groups").withColumn("at", F.struct("ingested_at", F.size("clip_ids")))
+    groups = last_wins(groups, ["group_id"], "at", ["question_type", "scene_id", "room_bucket", "motion_family", "dimension", "radius", "anchor_labels", "anchor_ids", "shared_ground_truth", "clip_ids"])
+    prior = table(spark, folder, "candidate_groups").groupBy("group_id").agg(F.max("from_eval_plan").alias("prior"))
+    labels = reshape.atomic_labels(F.coalesce("anchor_labels", F.array().cast("array<string>")))
+    return groups.join(prior, "group_id", "left").select(
+        "group_id", "question_type", "scene_id", "room_bucket", "dimension", "radius", "motion_family", F.col("shared_ground_truth").alias("answer"), F.concat_ws("|", F.array_sort("anchor_ids")).alias("anchor"),
+        labels.alias("labels"), F.concat_ws("|", labels).alias("label"), F.when(F.col("prior"), 0).otherwise(1).alias("fresh"), F.size("clip_ids").alias("clips"),
+    )
+
+
+GREEDY_COLUMNS = greedy.GroupColumns("group_id", "question_type", "scene_id", "label", "labels", "room_bucket", "motion_family", "answer", "anchor", "dimension", "fresh", "clips")
+FAMILY_TARGETS = {"object_dimensions": 24, "object_distance_to_camera": 20, "object_pair_distance_center": 12}
+
+
+def greedy_families(spark: SparkSession, folder: str) -> DataFrame:
+    """56 groups balanced over families, scenes, labels and more, no single label more than six times."""
+    rows = _candidate_columns(spark, folder)
+    words = [r[0] for r in rows.select(F.explode("labels")).distinct().collect()]  # label words
+    out = greedy.family_balanced(rows, GREEDY_COLUMNS, FAMILY_TARGETS, label_caps=dict.fromkeys(words, 6))
+    return spark.createDataFrame(out, "group_id string, question_type string, position int")
+
+
+def greedy_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """One group for each of ninety targets, five rounds over the eighteen commonest settings of motion, question and dimension, the used labels, scenes and rooms last."""
+    rows = _candidate_columns(spark, folder).withColumn("tie", F.conv(F.substring(F.md5("group_id"), 1, 8), 16, 10).cast("bigint"))
+    match = ["motion_family", "question_type", "dimension"]
+    kinds = rows.groupBy(*match).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *match).limit(18).collect()
+    targets = [tuple(r[m] for m in match) for _ in range(5) for r in kinds if r["n"] >= 5]
+    out = greedy.pick_for_targets(rows, "group_id", match, targets, "labels", "scene_id", "room_bucket", ["tie"])
+    return spark.createDataFrame(out, "group_id string, position int")
+
+
+def greedy_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """Twelve parts for each container size bucket, at most two of a brand and eight of a type as long as that goes."""
+    parts = table(spark, folder, "part").withColumn("bucket", F.floor(F.col("p_size") / 10).cast("int"))
+    out = greedy.bucket_passes(parts, "p_partkey", "bucket", [0, 1, 2, 3, 4], "p_brand", "p_type", 12, 2, 8)
+    return spark.createDataFrame(out, "p_partkey bigint, bucket int, position int")
+
+
+def fair_motion_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Max-min fair shares of 700 groups over the motions as they are written, each at most what there is; and equal demands with the shortfall handed round."""
+    there = {r[0]: r[1] for r in table(spark, folder, "consistency_groups").where("motion_family is not null").groupBy("motion_family").agg(F.count(F.lit(1))).collect()}
+    fair, equal = windows.fair_targets(there, 700), greedy.adaptive_targets(there, 700)
+    return spark.createDataFrame([(k, n, fair[k], equal[k]) for k, n in there.items()], "motion_family string, available bigint, fair bigint, equal bigint")
+
+
+#: The level at which min(n, level) over all names adds up to 700 or less; the rest goes one by one to the first names that have room.
+FAIR_SQL = """
+    WITH c AS (SELECT motion_family, count(*) AS n FROM consistency_groups WHERE motion_family IS NOT NULL GROUP BY 1), tot AS (SELECT least(700, sum(n)) AS total FROM c),
+    l AS (SELECT max(level) AS level FROM (SELECT level, sum(least(n, level)) AS filled FROM c, (SELECT unnest(range(0, 701)) AS level) GROUP BY 1) WHERE filled <= (SELECT total FROM tot)),
+    f AS (SELECT *, least(n, level) AS base, CASE WHEN n > level THEN row_number() OVER (PARTITION BY n > level ORDER BY motion_family) END AS turn FROM c, l),
+    g AS (SELECT motion_family, n AS available, CAST(base + CASE WHEN turn <= (SELECT total - (SELECT sum(base) FROM f) FROM tot) THEN 1 ELSE 0 END AS BIGINT) AS fair FROM f)
+    SELECT *, fair AS equal FROM g
+"""
+
+
+def sharded_scenes(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers with the shard, of eight, that their lines are worked on by: largest first, to the shard with the least so far; and the load of it."""
+    sizes = {r[0]: r[1] for r in table(spark, folder, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1))).collect()}
+    shard = greedy.longest_first_shards(sizes, 8)
+    rows = spark.createDataFrame([(k, sizes[k], v) for k, v in shard.items()], "l_suppkey bigint, n bigint, shard bigint")
+    return rows.withColumn("load", F.sum("n").over(Window.partitionBy("shard")))
+
+
+SHARDS_SQL = """
+    WITH RECURSIVE s AS (SELECT l_suppkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l_suppkey) AS i FROM lineitem GROUP BY 1),
+    r AS (
+        SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS load, -1::BIGINT AS shard
+        UNION ALL
+        SELECT s.i, list_transform(load, lambda v, j: v + CASE WHEN j = list_position(load, list_min(load)) THEN s.n ELSE 0 END), list_position(load, list_min(load)) - 1 FROM r JOIN s ON s.i = r.i + 1
+    ), f AS (SELECT load FROM r ORDER BY i DESC LIMIT 1)
+    SELECT l_suppkey, n, r.shard::BIGINT AS shard, f.load[r.shard + 1]::BIGINT AS load FROM r JOIN s USING (i), f
+"""
+
+
+def relaxed_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """The widest price tolerance of a schedule that is needed until 400 parts lie within it of their type's mean price, and the parts then selected."""
+    parts = table(spark, folder, "part").withColumn("off", F.round(F.abs(F.col("p_retailprice") - F.avg("p_retailprice").over(Window.partitionBy("p_type"))), 4))
+    found, used = greedy.relax_until([1.0, 5.0, 20.0, 50.0, 200.0, 1000.0], lambda w: parts.where(F.col("off") <= w).select("p_partkey").collect(), lambda rows: len(rows) >= 400)
+    return spark.createDataFrame([(r[0], used) for r in found], "p_partkey bigint, tolerance double")
+
+
+RELAXED_SQL = """
+    WITH p AS (SELECT p_partkey, round(abs(p_retailprice - avg(p_retailprice) OVER (PARTITION BY p_type)), 4) AS off FROM part),
+    w AS (SELECT w, row_number() OVER (ORDER BY w) AS i, (SELECT count(*) FROM p WHERE off <= w) AS n FROM (SELECT unnest([1.0, 5.0, 20.0, 50.0, 200.0, 1000.0]::DOUBLE[]) AS w)),
+    stop AS (SELECT min(i) AS i FROM (SELECT i FROM w WHERE n >= 400 UNION ALL SELECT i - 1 FROM (SELECT i, n, lag(n) OVER (ORDER BY i) AS before FROM w) WHERE n <= before UNION ALL SELECT max(i) FROM w))
+    SELECT p_partkey, w.w AS tolerance FROM p, w JOIN stop USING (i) WHERE off <= w.w
+"""
+
+
+HAMMING_DEDUP_SQL = """
+    WITH RECURSIVE b AS (SELECT vec_id, label, list_sum(list_transform(range(0, 62), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS bits, embedding[64]::DOUBLE AS q FROM embeddings),
+    o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY q DESC, vec_id) AS i FROM b),
+    r AS (
+        SELECT label, 0::BIGINT AS i, []::BIGINT[] AS ids, []::BIGINT[] AS kept FROM o GROUP BY label
+        UNION ALL
+        SELECT label, i, CASE WHEN fits THEN list_append(ids, vec_id) ELSE ids END, CASE WHEN fits THEN list_append(kept, bits) ELSE kept END FROM (
+            SELECT r.label, o.i, r.ids, r.kept, o.vec_id, o.bits, len(r.ids) < 10 AND len(list_filter(r.kept, lambda k: bit_count(xor(k, o.bits)) < 24)) = 0 AS fits FROM r JOIN o ON o.label = r.label AND o.i = r.i + 1)
+    ), final AS (SELECT label, arg_max(ids, i) AS ids FROM r GROUP BY 1)
+    SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY NOT list_contains(ids, vec_id), i) AS INT) AS position FROM o JOIN final USING (label) QUALIFY position <= 10
+"""
+
+
 def gt_diverse(spark: SparkSession, folder: str) -> DataFrame:
     """Five groups per answer value of each question type, scenes in turn."""
     groups = table(spark, folder, "consistency_groups").where("scene_id is not null and shared_ground_truth is not null")
@@ -289,14 +454,20 @@ def catalog() -> dict:
         "monotonic_fraction": (monotonic_fraction, MONOTONIC_SQL),
         "bounce_sequence": (bounce_sequence, BOUNCE_SQL),
         "hamming_distances": (hamming_distances, HAMMING_SQL),
-        "hamming_dedup": (hamming_dedup, None),
+        "hamming_dedup": (hamming_dedup, HAMMING_DEDUP_SQL),
         "ood_split": (ood_split, OOD_SQL),
         "leak_free_split": (leak_free_split, LEAK_SQL),
         "shared_split_keys": (shared_split_keys, SHARED_SQL),
         "degenerate_keys": (degenerate_keys, DEGENERATE_SQL),
         "gt_diverse": (gt_diverse, GT_SQL),
-        "greedy_group_clips": (greedy_group_clips, None),
-        "greedy_scene_passes": (greedy_scene_passes, None),
-        "greedy_balanced": (greedy_balanced, None),
-        "greedy_novelty": (greedy_novelty, None),
+        "greedy_group_clips": (greedy_group_clips, GROUP_CLIPS_SQL),
+        "greedy_scene_passes": (greedy_scene_passes, PASSES_SQL),
+        "greedy_balanced": (greedy_balanced, BALANCED_SQL),
+        "greedy_novelty": (greedy_novelty, NOVELTY_SQL),
+        "greedy_families": (greedy_families, None),
+        "greedy_targets": (greedy_targets, None),
+        "greedy_buckets": (greedy_buckets, None),
+        "fair_targets": (fair_motion_targets, FAIR_SQL),
+        "longest_first_shards": (sharded_scenes, SHARDS_SQL),
+        "relaxed_selection": (relaxed_selection, RELAXED_SQL),
     }
