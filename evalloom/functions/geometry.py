@@ -96,9 +96,12 @@ def overlap_volume(a: Column, b: Column) -> Column:
     return F.aggregate(sides, F.lit(1.0), lambda s, x: s * x)
 
 
-def contains(outer: Column, inner: Column, share: float = 0.9) -> Column:
-    """Whether at least ``share`` of the inner box's volume lies in the outer one."""
-    return F.try_divide(overlap_volume(outer, inner), volume(inner)) >= share
+def contains(outer: Column, inner: Column, share: float = 0.9, same_floor: float = 0.01) -> Column:
+    """Whether at least ``share`` of the inner box's volume lies in the outer one. Boxes whose floors are within ``same_floor`` stand side by side on something, so neither holds the other;
+    a box without volume is in none."""
+    lies_in = F.try_divide(overlap_volume(outer, inner), volume(inner)) >= share
+    beside = F.abs(outer["lo"][1] - inner["lo"][1]) < same_floor
+    return F.coalesce(lies_in & (volume(inner) > 1e-9) & ~beside, F.lit(False))
 
 
 def rests_on(lower: Column, upper: Column, gap: float = 0.05) -> Column:

@@ -87,7 +87,7 @@ def asked(conversations: Column) -> Column:
 
 
 def question_kind(question: Column) -> Column:
-    """pair_distance, camera_distance, size or unknown, by words. 'distance between' alone decides; 'distance from' only without a camera."""
+    """pair_distance, camera_distance, size or unknown, by words. 'distance between' alone decides; 'distance from' only without a camera. The words and their order are fixed values."""
     q = F.lower(question)
     has = lambda w: F.contains(q, F.lit(w))
     pair = has("distance between") | (has("distance from") & ~has("camera"))

@@ -46,6 +46,24 @@ def score_breakdown(df: DataFrame, axes: dict[str, list[str]], group: str, value
     return groups.withColumn("_cv", cv).groupBy("axis", "value").agg(F.sum("_n").alias("n"), *means, F.count("_cv").alias("n_groups"), F.avg("_cv").alias("mean_cv"))
 
 
+def roll_up(df: DataFrame, pattern: Column, groups: dict[str, list[str]], group: str, pred: str, metric: Column, dialect: str = "latex") -> DataFrame:
+    """(variation, n, metric, n_groups, mean_cv): rows pooled by the larger variation that their pattern belongs to, so that patterns weigh by their rows: the mean metric in percent over the
+    rows that have one, and the mean dispersion over their groups. Patterns of no variation are left out."""
+    names = F.lit(None).cast("string")
+    for name, patterns in groups.items():
+        names = F.when(pattern.isin(*patterns), name).otherwise(names)
+    rows = df.withColumn("variation", names).where(F.col("variation").isNotNull())
+    out = score_breakdown(rows, {"variation": ["variation"]}, group, pred, {"metric": metric}, dialect)
+    return out.select(F.col("value").alias("variation"), "n", (F.col("metric") * 100).alias("metric"), "n_groups", "mean_cv")
+
+
+def extremes(df: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
+    """(keys, easiest, highest, hardest, lowest): the name of the highest and of the lowest value of each key, ties to the first name; null values are left out."""
+    known = df.where(F.col(value).isNotNull())
+    best = known.groupBy(*keys).agg(F.min(F.struct((-F.col(value)).alias("v"), F.col(name).alias("n"))).alias("_h"), F.min(F.struct(F.col(value).alias("v"), F.col(name).alias("n"))).alias("_l"))
+    return best.select(*keys, F.col("_h.n").alias("easiest"), (-F.col("_h.v")).alias("highest"), F.col("_l.n").alias("hardest"), F.col("_l.v").alias("lowest"))
+
+
 def long_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Wide metric columns as rows (keys, metric, v); null values are dropped."""
     out = df.unpivot(keys, metrics, "metric", "v")

@@ -58,3 +58,31 @@ def conversation_stats(df: DataFrame, conversations: str, modality: Column) -> D
     chars = F.aggregate(answers, F.lit(0), lambda a, x: a + F.coalesce(F.length(x["value"]), F.lit(0)))
     out = df.select(modality.alias("modality"), F.size(c).alias("_t"), F.size(answers).alias("_a"), chars.alias("_c"))
     return out.groupBy("modality").agg(F.count(F.lit(1)).alias("n"), F.sum("_t").alias("turns"), F.sum("_a").alias("answers"), F.try_divide(F.sum("_c"), F.sum("_a")).alias("mean_answer_chars"))
+
+
+def nested_counts(entries: DataFrame, entry_keys: list[str], questions: str, kind: str, labels: str) -> DataFrame:
+    """(counter, key, value, n) of entries with an array of question structs: entries by each of ``entry_keys``, questions by kind, by kind and each entry key, labels, and labels by kind.
+
+    One pass: every entry lists what it counts for, and one shuffle adds it up. A null entry key counts as '?'; null kinds and labels are left out. ``key`` is null for plain counters.
+    """
+    none = F.lit(None).cast("string")
+    item = lambda counter, key, value: F.struct(F.lit(counter).alias("counter"), key.alias("key"), value.alias("value"))
+    named = {k: F.coalesce(F.col(k).cast("string"), F.lit("?")) for k in entry_keys}
+    own = F.array(*[item(k, none, v) for k, v in named.items()])
+    per_question = F.flatten(F.transform(F.coalesce(F.col(questions), F.array().cast(entries.schema[questions].dataType)), lambda q: F.concat(
+        F.array(item(kind, none, q[kind]), *[item(f"{kind}_{k}", q[kind], v) for k, v in named.items()]),
+        F.flatten(F.transform(F.coalesce(q[labels], F.array().cast("array<string>")), lambda x: F.array(item(labels, none, x), item(f"{kind}_{labels}", q[kind], x)))),
+    )))
+    rows = entries.select(F.explode(F.concat(own, per_question)).alias("_i")).select("_i.*")
+    rows = rows.where(F.col("value").isNotNull() & (F.col("key").isNotNull() | ~F.startswith("counter", F.lit(f"{kind}_"))))
+    return rows.groupBy("counter", "key", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def multiview_stats(records: DataFrame, scene: str, questions: str, kind: str) -> DataFrame:
+    """(metric, value, v) of records with an array of question structs: records, questions, scenes, questions by kind ('unknown' for none), and the mean questions of a record (0 without records)."""
+    n = F.size(F.coalesce(F.col(questions), F.array().cast(records.schema[questions].dataType))).cast("bigint")
+    none = F.lit(None).cast("string")
+    whole = records.agg(F.count(F.lit(1)).cast("double").alias("records"), F.coalesce(F.sum(n), F.lit(0)).cast("double").alias("questions"), F.count_distinct(scene).cast("double").alias("scenes"), F.coalesce(F.avg(n), F.lit(0.0)).alias("questions_per_record"))
+    out = whole.unpivot([], ["records", "questions", "scenes", "questions_per_record"], "metric", "v").select("metric", none.alias("value"), "v")
+    kinds = records.select(F.explode(questions).alias("_q")).groupBy(F.coalesce(F.col(f"_q.{kind}"), F.lit("unknown")).alias("value")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    return out.unionByName(kinds.select(F.lit("questions_of_kind").alias("metric"), "value", "v"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.functions.geometry import distance
 from evalloom.operators.joins import band_pairs
 
 #: Items of a view that meet in one piece; a larger view is cut into blocks of about as many.
@@ -48,6 +49,74 @@ def pair_questions(df: DataFrame, scene: str, ident: str, value: str, least: flo
     return pairs.select(scene, "id_a", "id_b", distance_question(a, b).alias("question"), F.round(F.abs(F.col("value_a") - F.col("value_b")) + F.lit(1e-9), 1).alias("answer"))
 
 
+def first_pairs(df: DataFrame, scene: str, ident: str, columns: list[str], most: int) -> DataFrame:
+    """(scene, pair, <column>_a, <column>_b for the ident and each column): the first ``most`` pairs of objects of each scene, in the order of the first and then the second ident; pair counts from 0.
+
+    Only a scene's first ``most`` + 1 objects can be in them; they are what is shuffled and gathered.
+    """
+    at = F.row_number().over(Window.partitionBy(scene).orderBy(ident))
+    first = df.withColumn("_at", at).where(F.col("_at") <= most + 1)
+    objects = F.array_sort(F.collect_list(F.struct(ident, *columns))).alias("_o")
+    held = first.groupBy(scene).agg(objects)
+    pairs = F.flatten(F.transform("_o", lambda a, i: F.transform(F.slice(F.col("_o"), i + 2, most), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    each = held.select(scene, F.posexplode(F.slice(pairs, 1, most)).alias("pair", "_p"))
+    return each.select(scene, "pair", *[F.col(f"_p.{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in (ident, *columns)])
+
+
+def _rounded(x: Column, digits: int = 1) -> Column:
+    return F.round(x + F.lit(1e-9), digits)
+
+
+def _rows(pairs: DataFrame, keys: list[str], rows: list[Column]) -> DataFrame:
+    """One row a struct of ``rows`` that is not null."""
+    out = pairs.select(*keys, F.explode(F.array_compact(F.array(*rows))).alias("_q"))
+    return out.select(*keys, "_q.*")
+
+
+def _question(kind: str, question: Column, answer: Column, needed: Column, extra: Column) -> Column:
+    made = F.struct(F.lit(kind).alias("question_type"), extra.alias("dimension"), question.alias("question"), answer.alias("answer"))
+    return F.when(F.coalesce(needed, F.lit(False)) & answer.isNotNull(), made)
+
+
+def size_comparisons(pairs: DataFrame, keys: list[str], name: str, dims: list[str]) -> DataFrame:
+    """(keys, question_type, dimension, question, answer) for pairs with <name>_a, <name>_b and <dim>_a, <dim>_b: how many times as large the first is in each dimension, and how large it
+    is given the other's size. A null size, or one of 0 of the second, gives none."""
+    a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
+    rows = []
+    for d in dims:
+        x, y = F.col(f"{d}_a").cast("double"), F.col(f"{d}_b").cast("double")
+        there = y != 0
+        rows.append(_question("object_size_comparison_relative", F.concat(F.lit(f"How many times the {d} of the "), b, F.lit(f" is the {d} of the "), a, F.lit("?")), _rounded(F.try_divide(x, y)), there, F.lit(d)))
+        given = F.concat(F.lit(f"If the {d} of the "), b, F.lit(" is "), F.format_string("%.1f", _rounded(y)), F.lit(f" metres, what is the {d} of the "), a, F.lit(" in metres?"))
+        rows.append(_question("object_size_comparison_absolute", given, _rounded(x), there, F.lit(d)))
+    return _rows(pairs, keys, rows)
+
+
+def distance_rows(pairs: DataFrame, keys: list[str], name: str, place: str, dims: list[str]) -> DataFrame:
+    """(keys, question_type, dimension, question, answer) for pairs with places (arrays of three): the distance of the centres, and the same given each size of the first that is not 0."""
+    a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
+    gap = _rounded(distance(F.col(f"{place}_a"), F.col(f"{place}_b")))
+    rows = [_question("object_pair_distance_center", distance_question(a, b), gap, F.lit(True), F.lit(None).cast("string"))]
+    for d in dims:
+        x = F.col(f"{d}_a").cast("double")
+        given = F.concat(F.lit("The "), a, F.lit(" has a "), F.lit(d), F.lit(" of "), F.format_string("%.1f", _rounded(x)), F.lit(" metres. "), distance_question(a, b))
+        rows.append(_question("object_pair_distance_center_w_size", given, gap, x != 0, F.lit(d)))
+    return _rows(pairs, keys, rows)
+
+
+def distance_comparisons(quads: DataFrame, keys: list[str], names: list[str], first: Column, second: Column) -> DataFrame:
+    """(keys, question_type, dimension, question, answer): how many times the distance of the pair ``names[2:]``, which is ``second``, the distance of ``names[:2]`` is, which is ``first``; and
+    what it is, given the other. No ratio for a second distance of 0."""
+    a, b, x, y = [F.col(n) for n in names]
+    pair = lambda p, q: F.concat(F.lit("the "), p, F.lit(" and the "), q)
+    ratio = F.concat(F.lit("How many times as far apart as "), pair(x, y), F.lit(" are "), pair(a, b), F.lit("?"))
+    given = F.concat(F.lit("If "), pair(x, y), F.lit(" are "), F.format_string("%.1f", _rounded(second)), F.lit(" metres apart, how far apart are "), pair(a, b), F.lit(", in metres?"))
+    none = F.lit(None).cast("string")
+    return _rows(quads, keys, [
+        _question("object_distance_comparison_relative", ratio, _rounded(F.try_divide(first, second)), second != 0, none), _question("object_comparison_absolute_distance", given, _rounded(first), second.isNotNull(), none)
+    ])
+
+
 def frequent_pairs(df: DataFrame, view: str, item: str, least: int, most_items: int | None = None) -> DataFrame:
     """(item_a, item_b, views) of items that occur together in at least ``least`` views.
 

@@ -104,3 +104,17 @@ def reconstruct_groups(df: DataFrame, group: str, order: Column, first: list[str
     members = F.array_sort(F.collect_list(F.struct(order.alias("_o"), F.col(ident).alias("_i"))))
     out = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.min_by(F.struct(*first), F.struct(order, F.col(ident))).alias("_f"), F.count(F.lit(1)).alias("n"), members.alias("_m"))
     return out.select(group, "_f.*", "n", F.transform("_m", lambda x: x["_i"]).alias("members"))
+
+
+def assemble_groups(picked: DataFrame, group: str, clip: str, position: str, candidates: DataFrame, columns: list[str], target: int, least: int, folder: str) -> DataFrame:
+    """(group, columns, clip_ids, clips, target_group_size, selected_group_size): records of the groups whose picked clips are at least ``least``.
+
+    ``picked``: (group, clip, position from 1), see greedy.clips_of_group; ``candidates``: one row a group. Clips are numbered anew in the order picked: 'g_clip00' of group 'g' stands at
+    position 1 and has its video under ``folder``; ``clips`` is an array of structs clip_id, source, video_path. A group's picks must fit a record.
+    """
+    held = F.array_sort(F.collect_list(F.struct(F.col(position).alias("_p"), F.col(clip).alias("_s"))))
+    groups = picked.groupBy(group).agg(held.alias("_held")).where(F.size("_held") >= least)
+    name = lambda i: F.concat(F.col(group), F.format_string("_clip%02d", i))
+    clips = F.transform("_held", lambda x, i: F.struct(name(i).alias("clip_id"), x["_s"].alias("source"), F.concat(F.lit(f"{folder}/videos/"), name(i), F.lit("/video.mp4")).alias("video_path")))
+    out = candidates.select(group, *columns).join(groups, group)
+    return out.select(group, *columns, F.transform(clips, lambda c: c["clip_id"]).alias("clip_ids"), clips.alias("clips"), F.lit(target).alias("target_group_size"), F.size("_held").alias("selected_group_size"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evalloom.plans import places, scoring, selecting, shaping
+from evalloom.plans import building, exchange, places, scoring, selecting, shaping
 
-MODULES = (scoring, shaping, selecting, places)
+MODULES = (scoring, shaping, selecting, places, building, exchange)
 
 
 def _all() -> dict:

@@ -79,8 +79,8 @@ def box_relations(spark: SparkSession, folder: str) -> DataFrame:
 BOXES_SQL = f"""
     WITH e AS (SELECT vec_id, label, {", ".join(f"{_axis(i, f)} AS {f}{i}" for i in range(3) for f in ("min", "max"))} FROM embeddings),
     o AS (SELECT *, {", ".join(f"lag({f}{i}) OVER w AS {f}o{i}" for i in range(3) for f in ("min", "max"))} FROM e WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
-    v AS (SELECT vec_id, {" * ".join(f"greatest(0.0, least(max{i}, maxo{i}) - greatest(min{i}, mino{i}))" for i in range(3))} AS c, {" * ".join(f"(maxo{i} - mino{i})" for i in range(3))} AS inner_volume FROM o WHERE mino0 IS NOT NULL)
-    SELECT vec_id, round(c, 6) AS common, c / inner_volume >= 0.5 AS holds FROM v
+    v AS (SELECT vec_id, {" * ".join(f"greatest(0.0, least(max{i}, maxo{i}) - greatest(min{i}, mino{i}))" for i in range(3))} AS c, {" * ".join(f"(maxo{i} - mino{i})" for i in range(3))} AS inner_volume, abs(min1 - mino1) AS floors FROM o WHERE mino0 IS NOT NULL)
+    SELECT vec_id, round(c, 6) AS common, c / inner_volume >= 0.5 AND inner_volume > 1e-9 AND floors >= 0.01 AS holds FROM v
 """
 
 

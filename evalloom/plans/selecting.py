@@ -334,10 +334,12 @@ FAMILY_TARGETS = {"object_dimensions": 24, "object_distance_to_camera": 20, "obj
 
 
 def greedy_families(spark: SparkSession, folder: str) -> DataFrame:
-    """56 groups balanced over families, scenes, labels and more, no single label more than six times."""
+    """Up to 56 groups, of each family a quarter of its groups at most, balanced over families, scenes, labels and more; no single label more than twelve times."""
     rows = _candidate_columns(spark, folder)
     words = [r[0] for r in rows.select(F.explode("labels")).distinct().collect()]  # label words
-    out = greedy.family_balanced(rows, GREEDY_COLUMNS, FAMILY_TARGETS, label_caps=dict.fromkeys(words, 6))
+    there = {r[0]: r[1] for r in rows.groupBy("question_type").agg(F.count(F.lit(1))).collect()}
+    targets = {k: min(n, there.get(k, 0) // 4) for k, n in FAMILY_TARGETS.items()}
+    out = greedy.family_balanced(rows, GREEDY_COLUMNS, targets, label_caps=dict.fromkeys(words, 12))
     return spark.createDataFrame(out, "group_id string, question_type string, position int")
 
 

@@ -41,7 +41,7 @@ def test_shards(sizes, shards):
 
 @given(st.lists(st.floats(0.1, 5), min_size=1, max_size=20), st.integers(1, 12))
 def test_spread(values, count):
-    got = config.spread(tuple(values), count)
+    got = config.evenly_chosen(tuple(values), count)
     assert len(got) == count and set(got) <= set(values) and (count == 1 or len(set(values)) < count or (got[0], got[-1]) == (min(values), max(values)))
 
 

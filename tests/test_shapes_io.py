@@ -145,8 +145,8 @@ def test_frames_and_config(spark):
     quality = lambda p, d, a, c: one(spark, frames.run_quality(F.lit(p), F.lit(d), a, c))
     assert quality("approach", "fw", arr(0.1, 0.2, 0.3), arr(0.5, 0.5, 0.5)) == pytest.approx(300) and quality("passby", "bw", arr(0.1, 0.1), arr(0.2, 0.8)) == pytest.approx(260)
     assert quality("spherical", "cw", arr(0.1), arr(0.4)) == pytest.approx(190) and quality("around", "cw", arr(), arr()) == 0
-    assert config.spread((3, 1, 2, 2), 2) == (1, 3) and config.spread((1, 2), 5) == (1, 2, 1, 2, 1) and config.spread((4,), 1) == (4,)
-    assert config.BuildConfig(scenes={"thor": ("a",), "interiorgs": ("b",)}).validate()
+    assert config.evenly_chosen((3, 1, 2, 2), 2) == (1, 3) and config.evenly_chosen((1, 2), 5) == (1, 2, 1, 2, 1) and config.evenly_chosen((4,), 1) == (4,)
+    assert config.BuildConfig(scenes={"thor": ("a",), "interiorgs": ("b",)}).checked()
     for bad in ({"group_size": 3}, {"engines": ()}, {"engines": ("x",)}, {}):
         with pytest.raises(ValueError):
-            config.BuildConfig(**bad).validate()
+            config.BuildConfig(**bad).checked()
