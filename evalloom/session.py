@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import os
 import pathlib
 import tempfile
@@ -71,18 +72,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor; done once a Spark context."""
+    """Make this package importable in the Python workers of every executor, by a zip file in the shared folder; done once a Spark context."""
     sc = spark.sparkContext
     if getattr(sc, "_evalloom_shipped", False):
         return
     root = pathlib.Path(__file__).resolve().parent
     files = sorted(root.rglob("*.py"))
     mark = hashlib.md5(b"".join(p.read_bytes() for p in files)).hexdigest()[:12]
-    path = pathlib.Path(tempfile.mkdtemp()) / f"evalloom-{mark}.zip"  # on the driver only; Spark serves it to the executors
-    with zipfile.ZipFile(path, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for p in files:
             z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(path))
+    path = f"{scratch(spark, 'package')}/evalloom-{mark}.zip"
+    write_bytes(spark, path, data.getvalue())
+    fs, target = _file_system(spark, path)
+    sc.addPyFile(fs.makeQualified(target).toString())
     sc._evalloom_shipped = True
 
 
