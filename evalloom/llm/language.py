@@ -35,8 +35,8 @@ LANGUAGE_NAMES = {
 LEAST_WORDS = 8
 SWITCH = 3.0  # log-odds that a change of language must bring
 FLOOR = -7.0
-STEPS = 600  # of each fit
-VERSION = 1  # of the network and its training; saved weights of another are not read
+STEPS = (300, 500)  # of a first fit and of one that goes on from another
+VERSION = 2  # of the network and its training; saved weights of another are not read
 HAN_WORD = 0.6  # words that a Han character counts for
 
 # The lookaheads spare the alternatives a try at every character.
@@ -208,7 +208,7 @@ def fitted(spark: SparkSession, rows: list[tuple[str, str]], seed: int = 0, star
         data = read_bytes(spark, path)
         if data is None:
             network = copy.deepcopy(start) if start else ByteCNN(sorted({r[1] for r in rows}), seed)
-            network.fit([r[0] for r in sorted(rows)], [r[1] for r in sorted(rows)], steps=STEPS, seed=seed)
+            network.fit([r[0] for r in sorted(rows)], [r[1] for r in sorted(rows)], steps=STEPS[start is not None], seed=seed)
             write_bytes(spark, path, network.to_bytes())
             _fitted[key] = network
         else:

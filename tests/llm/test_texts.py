@@ -183,7 +183,7 @@ def test_hostile_long_texts_take_linear_time():
 
 def test_fitted_weights_are_kept(spark, monkeypatch):
     rows = [("der hund und die katze", "de"), ("the dog and the cat", "en"), ("le chien et le chat", "fr")]
-    monkeypatch.setattr(language, "STEPS", 20)
+    monkeypatch.setattr(language, "STEPS", (20, 20))
     one = language.fitted(spark, rows, seed=91)
     monkeypatch.setattr(language, "_fitted", {})  # as in another process
     monkeypatch.setattr(ByteCNN, "fit", lambda *a, **k: pytest.fail("fitted again"))
