@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 #: Ranges of a hash into which running totals are cut.
 BUCKETS = 1024
@@ -15,6 +17,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of strings and numbers as a frame that no Python worker has to unpack; none is an empty frame of that schema."""
+    kind = StructType.fromDDL(schema)
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields])
+    text = json.dumps([dict(zip(kind.names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), ArrayType(kind))))
+
+
 def setting(spark: SparkSession, folder: str, name: str) -> float:
     """One amount of plan_settings (a handful of rows)."""
     row = table(spark, folder, "plan_settings").where(F.col("setting") == name).select("amount").head()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import BUCKETS, salted_join, unit_hash
+from evalloom.llm.common import BUCKETS, local_rows, salted_join, unit_hash
 from evalloom.session import cut_lineage, forget, stored
 
 MOST_ROUNDS = 60
@@ -121,7 +121,7 @@ class ComponentTable:
 
     def _part(self, name: str, runs: range) -> DataFrame:
         """The rows that the given runs wrote, with ``run``."""
-        out = self.spark.createDataFrame([], f"{self.PARTS[name]}, run int")
+        out = local_rows(self.spark, [], f"{self.PARTS[name]}, run int")
         for i in runs:
             if self._exists(f"{name}/{i}"):
                 out = out.unionByName(self.spark.read.schema(self.PARTS[name]).parquet(f"{self.folder}/{name}/{i}").withColumn("run", F.lit(i)))
@@ -174,7 +174,7 @@ class ComponentTable:
         seen_hubs = None
         if run == 0:  # nothing is known yet
             added = found = self._write("members", run, _clustered(rows))
-            became = self.spark.createDataFrame([], "was string, block string")
+            became = local_rows(self.spark, [], "was string, block string")
         else:
             known = there.select("hub").distinct().join(self._all("hubs").select("hub", "block"), "hub")
             seen_hubs = known.select("hub")
@@ -237,7 +237,7 @@ def fill_deficits(fresh: DataFrame, shares: dict[str, float], fixed: dict[str, i
         to = max(deficit, key=lambda k: deficit[k])
         deficit[to] -= row["size"]
         chosen.append((row["block"], row["size"], to))
-    picked = spark.createDataFrame(chosen, "block string, size bigint, split string")
+    picked = local_rows(spark, chosen, "block string, size bigint, split string")
     small = fresh.where(F.col("size") < LARGE_SHARE * new)
     left = {k: max(0.0, v) for k, v in deficit.items()}
     room = sum(left.values())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import budget_cuts, unit_hash
+from evalloom.llm.common import budget_cuts, local_rows, unit_hash
 from evalloom.session import cut_lineage
 
 
@@ -51,7 +51,7 @@ def mix(texts: DataFrame, targets: dict[str, tuple[float, int]], total: float |
         empty = texts.select("ident", "source", "tokens", F.lit(0).alias("uses")).where("false")
         return empty, [(s, w, 0.0, 0, 0.0, there.get(s, 0), 0, m) for s, (w, m) in targets.items()]
     # One row a target: small enough to be sent everywhere.
-    wanted = F.broadcast(spark.createDataFrame(plan, "_s string, _epochs int, budget bigint, _whole bigint, _mean double"))
+    wanted = F.broadcast(local_rows(spark, plan, "_s string, _epochs int, budget bigint, _whole bigint, _mean double"))
     u = unit_hash(F.col("ident"), salt=f"mix{seed}")
     # 1 - u**(mean/w) grows with the key -ln(u)/w and lies in (0, 1), about evenly spread; texts without a weight follow.
     keyed = texts.join(wanted, F.col("source") == F.col("_s")).select(
@@ -66,13 +66,13 @@ def mix(texts: DataFrame, targets: dict[str, tuple[float, int]], total: float |
             taken, end = cuts[s]
             left.append((s, rest - taken, not epochs and not taken, *(end or (-1.0, None))))
     ids = texts.schema["ident"].dataType.simpleString()
-    ends = F.broadcast(spark.createDataFrame(left, f"_e string, _left bigint, _bare boolean, _at double, _id {ids}"))
+    ends = F.broadcast(local_rows(spark, left, f"_e string, _left bigint, _bare boolean, _at double, _id {ids}"))
     inside = F.coalesce((F.col("at") < F.col("_at")) | ((F.col("at") == F.col("_at")) & (F.col("ident") <= F.col("_id"))), F.lit(False))
     placed = keyed.join(ends, F.col("source") == F.col("_e"), "left")
     gap = F.abs(F.col("tokens") - F.col("_left"))
     fits = ~inside & (F.col("_left") > 0) & (F.col("_bare") | (gap < F.col("_left")))
     closing = placed.where(fits).groupBy("source").agg(F.min(F.struct(gap.alias("gap"), -F.col("tokens"), "at", "ident")).alias("c")).collect()  # one row a source
-    closers = F.broadcast(spark.createDataFrame([(r["source"], r["c"]["ident"]) for r in closing], f"_c string, _closer {ids}"))
+    closers = F.broadcast(local_rows(spark, [(r["source"], r["c"]["ident"]) for r in closing], f"_c string, _closer {ids}"))
     uses = F.col("epochs") + F.when(inside | F.coalesce(F.col("ident") == F.col("_closer"), F.lit(False)), 1).otherwise(0)
     out = placed.join(closers, F.col("source") == F.col("_c"), "left").select("ident", "source", "tokens", uses.cast("int").alias("uses"))
     out = cut_lineage(out.where(F.col("uses") > 0))

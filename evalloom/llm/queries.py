@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm.capping import cap_per_contributor
-from evalloom.llm.common import blank_to_null, current_delivery, label_keys, nearest_category, salted_join, scene_key, setting, squash, table
+from evalloom.llm.common import blank_to_null, current_delivery, label_keys, local_rows, nearest_category, salted_join, scene_key, setting, squash, table
 from evalloom.llm.language import fit_on_documents, label_language, language_stretches
 from evalloom.llm.linked_splits import ComponentTable, reissue_base, shared_object_tags
 from evalloom.llm import mixing
@@ -220,7 +220,7 @@ def p4_target_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_target_report(spark: SparkSession, folder: str) -> DataFrame:
     """Every target with what is available, needed and sampled, whether it is missed and why."""
-    return spark.createDataFrame(_quota(spark, folder)[1], REPORT)
+    return local_rows(spark, _quota(spark, folder)[1], REPORT)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -356,7 +356,7 @@ def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Every source with its target and actual share of the tokens."""
-    return spark.createDataFrame(_mixed(spark, folder)[1], mixing.REPORT)
+    return local_rows(spark, _mixed(spark, folder)[1], mixing.REPORT)
 
 
 # ---- 9: languages of documents ----

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import budget_cuts, salted_join, unit_hash
+from evalloom.llm.common import budget_cuts, local_rows, salted_join, unit_hash
 
 #: Cost of one record under a floor, in units of the sample size: more than any deviation from the shares can cost.
 FLOOR_WEIGHT = 1e6
@@ -144,7 +144,7 @@ def quota_sample(groups: DataFrame, ident: str, axes: list[str], targets: dict[t
     known = [F.when(F.col(a).isin(*names), F.col(a)) if names else F.lit(None).cast("string") for a, names in zip(axes, categories, strict=True)]
     signature: Column = F.to_json(F.struct(*[k.alias(f"_a{i}") for i, k in enumerate(known)]), {"ignoreNullFields": "false"})
     keyed = groups.select(ident, *axes, signature.alias("_sig"), unit_hash(F.col(ident), salt=f"quota{seed}").alias("_pos"))
-    plan = spark.createDataFrame([(*s, float(n)) for s, n in take.items()], ", ".join(f"`_a{i}` string" for i in range(len(axes))) + ", budget double")
+    plan = local_rows(spark, [(*s, n) for s, n in take.items()], ", ".join(f"`_a{i}` string" for i in range(len(axes))) + ", budget bigint")
     plan = plan.select(F.to_json(F.struct(*[f"_a{i}" for i in range(len(axes))]), {"ignoreNullFields": "false"}).alias("_sig"), "budget")
     cuts = budget_cuts(keyed, "_sig", "_pos", F.lit(1), ident, plan, len(take)).select("_sig", "last")
     picked = salted_join(keyed, cuts, "_sig", F.col(ident)).where(F.struct("_pos", ident) <= F.col("last"))

@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalloom.llm.common import local_rows
+
 SPACE = 16**12
 
 
@@ -33,7 +35,7 @@ def raise_thresholds(rates: dict[str, float], earlier: dict[str, float] | None =
 
 def save_thresholds(spark: SparkSession, thresholds: dict[str, float], folder: str) -> None:
     """Writes the thresholds (stratum, threshold) for the runs to come; ``folder`` must be new, so that no earlier state is lost if the write fails."""
-    spark.createDataFrame(sorted(thresholds.items()), "stratum string, threshold double").coalesce(1).write.parquet(folder)
+    local_rows(spark, sorted(thresholds.items()), "stratum string, threshold double").coalesce(1).write.parquet(folder)
 
 
 def load_thresholds(spark: SparkSession, folder: str) -> dict[str, float]:
